@@ -141,3 +141,35 @@ def next_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], take:
     return (b.join(firsts, by + ["_bkt"])
             .withColumn(out, F.coalesce(F.col("_lead_in"), F.col("_next_first")))
             .drop("_bkt", "_lead_in", "_next_first"))
+
+
+def _lerp(a, b, t):
+    """numpy's linear interpolation (a + (b-a)t, or b - (b-a)(1-t) for t >= 0.5)."""
+    d = b - a
+    return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: dict, by: Sequence[str] = (), n_buckets=None) -> DataFrame:
+    """Exact quantiles with numpy's default (linear) interpolation, one row per group.
+
+    ``probs`` maps output column -> probability. Spark's exact ``percentile`` keeps every value of
+    a group in one aggregation buffer; here the values go through :func:`ordered_distinct`, so only
+    the two values around each requested rank are picked out.
+    """
+    by = list(by)
+    od = ordered_distinct(df, value, by, n_buckets)
+    items = list(probs.items())
+    pe = F.explode(F.array(*[F.struct(F.lit(i).alias("_pi"), F.lit(float(p)).alias("_p"))
+                            for i, (_, p) in enumerate(items)])).alias("_pp")
+    x = od.select(*by, value, "_below", "_m", "_tot", pe).select(*by, value, "_below", "_m", "_tot", "_pp._pi", "_pp._p")
+    idx = F.col("_p") * (F.col("_tot") - F.lit(1)).cast("double")
+    x = x.withColumn("_idx", idx).withColumn("_rlo", F.floor("_idx")).withColumn("_rhi", F.ceil("_idx"))
+    covers = lambda r: (F.col("_below") <= F.col(r)) & (F.col(r) < F.col("_below") + F.col("_m"))
+    x = x.where(covers("_rlo") | covers("_rhi"))
+    g = x.groupBy(*by, "_pi").agg(
+        F.max(F.when(covers("_rlo"), F.col(value).cast("double"))).alias("_a"),
+        F.max(F.when(covers("_rhi"), F.col(value).cast("double"))).alias("_b"),
+        F.first("_idx").alias("_idx"), F.first("_rlo").alias("_rlo"))
+    g = g.withColumn("_q", _lerp(F.col("_a"), F.col("_b"), F.col("_idx") - F.col("_rlo")))
+    return g.groupBy(*by).agg(*[F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(name)
+                                for i, (name, _) in enumerate(items)])

@@ -48,3 +48,61 @@ order by abs(round_even(fold_change * 100000.0::DOUBLE, 0) / 100000.0::DOUBLE) d
 limit 50"""))
 def q_top_changes(spark, sf_dir):
     return finish(flagship.top_changes(spark, sf_dir, 50))
+
+
+# --- insertion profiles and per-gene insertion tables --------------------------------------------
+
+from duocount.operators import insertions as I  # noqa: E402
+from duocount.operators import profile as PR  # noqa: E402
+from duocount.operators import sets as S  # noqa: E402
+from duocount.spec import FEATURE_KEYS  # noqa: E402
+
+KEYS_SQL = "seq_id, locus_tag, type, gene, start_pos, end_pos, feat_length, product"
+
+
+@register("insertion_profile", "A01 A02 A03 (count mode for control, score mode for test)", with_views(f"""
+select c.condition, c.seq_id, c."start" as position, {R6('count(*)')} as count
+from coords c join mode m using (condition) where m.empty_score group by 1, 2, 3
+union all
+select c.condition, c.seq_id, c."start" as position, {R6('try_cast(c.score as double)')} as count
+from coords c join mode m using (condition) where not m.empty_score""",
+    ("mode", "select condition, bool_and(score = '.') as empty_score from coords group by 1")))
+def q_profile(spark, sf_dir):
+    return finish(I.profile_from_coordinates(adapters.coordinates(spark, sf_dir), by=["condition"]))
+
+
+@register("top_positions", "A01 O02 (top-k report)", with_views("""
+select condition, position, count(*) as count from ins group by 1, 2
+order by count desc, condition, position limit 100"""))
+def q_top_positions(spark, sf_dir):
+    return finish(I.top_counts(adapters.insertions(spark, sf_dir), ["condition", "position"], 100))
+
+
+@register("gene_totals", "J04 A04 F04 F05", with_views(f"""
+select {KEYS_SQL}, condition, total_reads, n_rows, unique_sites, first_pos, last_pos from tot"""))
+def q_gene_totals(spark, sf_dir):
+    sites = I.insertion_sites(adapters.insertions(spark, sf_dir))
+    return finish(I.feature_totals(adapters.features(spark, sf_dir), sites, FEATURE_KEYS))
+
+
+@register("gene_insertions_wide", "J02 J04 F04 F05 O01", with_views(f"""
+select {KEYS_SQL}, position,
+       {R6("coalesce(sum(case when condition = 'control' then reads end), 0)")} as control_count,
+       {R6("coalesce(sum(case when condition = 'test' then reads end), 0)")} as test_count,
+       bool_or(within_cds) as within_cds
+from hits where position is not null group by all"""))
+def q_gene_wide(spark, sf_dir):
+    sites = I.insertion_sites(adapters.insertions(spark, sf_dir))
+    return finish(I.gene_window_table(adapters.features(spark, sf_dir), sites, FEATURE_KEYS))
+
+
+@register("score_track", "W03", with_views(f"""
+select seq_id, start_pos as seg_start, end_pos as seg_end, {R6('nim_score')} as value, locus_tag as label from g
+union all
+select seq_id, end_pos as seg_start, nxt as seg_end, 0.0 as value, '' as label from g where nxt is not null""",
+    ("g", """select seq_id, start_pos, end_pos, locus_tag, nim_score,
+               lead(start_pos) over (partition by seq_id order by start_pos, end_pos, locus_tag) as nxt
+        from scores where condition = 'control'""")))
+def q_score_track(spark, sf_dir):
+    scores = flagship.score_tables(spark, sf_dir)
+    return finish(I.score_track(flagship.condition_table(scores, "control"), "nim_score"))
