@@ -106,3 +106,209 @@ select seq_id, end_pos as seg_start, nxt as seg_end, 0.0 as value, '' as label f
 def q_score_track(spark, sf_dir):
     scores = flagship.score_tables(spark, sf_dir)
     return finish(I.score_track(flagship.condition_table(scores, "control"), "nim_score"))
+
+
+# --- sets and Venn regions ----------------------------------------------------------------------
+
+def _merged(spark, sf_dir):
+    return flagship.comparison(spark, sf_dir)
+
+
+def RND5(x: str) -> str:
+    return f"(round_even(({x})::DOUBLE * 100000.0::DOUBLE, 0) / 100000.0::DOUBLE)"
+
+
+def MEMBER(side: str, t: float, lo: float, hi: float) -> str:
+    return (f"coalesce({RND5('nim_score_' + side)} <= {t} and {RND5('first_insert_pct_' + side)} >= {lo}"
+            f" and {RND5('last_insert_pct_' + side)} <= {hi}, false)")
+
+
+SET_T, SET_LO, SET_HI = 500.0, 5.0, 95.0
+SETS_VIEW = ("sets", f"""select *, {MEMBER('control', SET_T, SET_LO, SET_HI)} as in_control_set,
+        {MEMBER('test', SET_T, SET_LO, SET_HI)} as in_test_set from cmp""")
+SETS0_VIEW = ("sets0", f"""select *, {MEMBER('control', 0.0, 0.0, 100.0)} as in_control_set,
+        {MEMBER('test', 0.0, 0.0, 100.0)} as in_test_set from cmp""")
+LABEL_SQL = ("case when in_control_set and in_test_set then 'AB' when in_control_set then 'Ab' "
+             "when in_test_set then 'aB' end")
+
+
+@register("venn_sets", "F08 U02 F11 P05", with_views(f"""
+select locus_tag, in_control_set, in_test_set, {LABEL_SQL} as set_label,
+       coalesce(last_insert_pct_control < 10 and last_insert_pct_control > 0, false) as control_last_lt10,
+       coalesce(last_insert_pct_test < 10 and last_insert_pct_test > 0, false) as test_last_lt10,
+       coalesce(first_insert_pct_control > 90, false) as control_first_gt90,
+       coalesce(first_insert_pct_test > 90, false) as test_first_gt90
+from sets""", SETS_VIEW))
+def q_venn_sets(spark, sf_dir):
+    df, spec = _merged(spark, sf_dir)
+    df = S.add_truncation_flags(S.add_set_membership(df, spec, SET_T, (SET_LO, SET_HI)), spec)
+    return finish(df.select("locus_tag", "in_control_set", "in_test_set", "set_label", "control_last_lt10",
+                            "test_last_lt10", "control_first_gt90", "test_first_gt90"))
+
+
+@register("venn_counts", "A07 (default thresholds: score 0, percentiles 0-100)", with_views("""
+select count(*) filter (where in_control_set and not in_test_set) as only_control,
+       count(*) filter (where in_test_set and not in_control_set) as only_test,
+       count(*) filter (where in_control_set and in_test_set) as both
+from sets0""", SETS0_VIEW))
+def q_venn_counts(spark, sf_dir):
+    df, spec = _merged(spark, sf_dir)
+    return finish(S.venn_counts(S.add_set_membership(df, spec)))
+
+
+@register("venn_region", "F09", with_views(f"""
+select locus_tag, gene, {R6('nim_score_control')} as nim_score_control, {R6('nim_score_test')} as nim_score_test,
+       {LABEL_SQL} as set_label
+from sets where ({LABEL_SQL}) = 'Ab'""", SETS_VIEW))
+def q_venn_region(spark, sf_dir):
+    df, spec = _merged(spark, sf_dir)
+    df = S.filter_region(S.add_set_membership(df, spec, SET_T, (SET_LO, SET_HI)), "Ab")
+    return finish(df.select("locus_tag", "gene", "nim_score_control", "nim_score_test", "set_label"))
+
+
+SWEEP = [float(t) for t in range(0, 2001, 100)]
+
+
+@register("venn_sweep", "A07 over a threshold sweep (F08 per threshold)", with_views(f"""
+select t.threshold,
+       count(*) filter (where {MEMBER('control', 't.threshold', 0.0, 100.0)} and not {MEMBER('test', 't.threshold', 0.0, 100.0)}) as only_control,
+       count(*) filter (where {MEMBER('test', 't.threshold', 0.0, 100.0)} and not {MEMBER('control', 't.threshold', 0.0, 100.0)}) as only_test,
+       count(*) filter (where {MEMBER('control', 't.threshold', 0.0, 100.0)} and {MEMBER('test', 't.threshold', 0.0, 100.0)}) as both
+from cmp cross join (select unnest({[t for t in SWEEP]})::DOUBLE as threshold) t
+group by t.threshold"""))
+def q_venn_sweep(spark, sf_dir):
+    df, spec = _merged(spark, sf_dir)
+    return finish(S.threshold_sweep(df, spec, SWEEP))
+
+
+@register("set_ops", "U01 (difference and intersection of two independent id sets)", with_views("""
+select 'control_only' as op, locus_tag from
+  (select locus_tag from scores where condition = 'control' and unique_sites = 0
+   except select locus_tag from scores where condition = 'test' and unique_sites = 0)
+union all
+select 'both' as op, locus_tag from
+  (select locus_tag from scores where condition = 'control' and unique_sites = 0
+   intersect select locus_tag from scores where condition = 'test' and unique_sites = 0)"""))
+def q_set_ops(spark, sf_dir):
+    scores = flagship.score_tables(spark, sf_dir)
+    a = scores.where((F.col("condition") == "control") & (F.col("unique_sites") == 0)).select("locus_tag")
+    b = scores.where((F.col("condition") == "test") & (F.col("unique_sites") == 0)).select("locus_tag")
+    return (S.set_difference(a, b).select(F.lit("control_only").alias("op"), "locus_tag")
+            .unionByName(S.set_intersection(a, b).select(F.lit("both").alias("op"), "locus_tag")))
+
+
+@register("zero_in_one", "F10", with_views("""
+select locus_tag, coalesce((nim_score_control = 0 and nim_score_test > 0) or
+                           (nim_score_control > 0 and nim_score_test = 0), false) as zero_in_one
+from cmp"""))
+def q_zero_in_one(spark, sf_dir):
+    df, spec = _merged(spark, sf_dir)
+    return cmp.flag_zero_in_one(df, spec).select("locus_tag", "zero_in_one")
+
+
+@register("table_page", "F13 O03 (filter, sort, one page: the limit is the feature)", with_views(f"""
+select locus_tag, {R6('nim_score_test')} as nim_score_test, {R6('fold_change')} as fold_change
+from cmp where fold_change > 0 order by nim_score_test desc, locus_tag limit 50 offset 100"""))
+def q_table_page(spark, sf_dir):
+    df, _ = _merged(spark, sf_dir)
+    p = cmp.page(df, [F.col("nim_score_test").desc()], ["locus_tag"], 2, 50, F.col("fold_change") > 0)
+    return finish(p.select("locus_tag", "nim_score_test", "fold_change"))
+
+
+# --- histograms, ranges, rings --------------------------------------------------------------------
+
+HIST_W = 250.0
+HIST_BINS_SQL = f"""
+select condition, bin, {R6(f'bin * {HIST_W}')} as bin_lo, {R6(f'(bin + 1) * {HIST_W}')} as bin_hi,
+       coalesce(cnt, 0) as count
+from (select b.condition, b.bin, c.cnt from
+        (select cond.condition, r.range as bin from (select unnest(['control','test']) as condition) cond
+         cross join range(0, (select nb from hs)) r) b
+      left join (select condition, bin, count(*) as cnt from binned group by 1, 2) c
+        on c.condition = b.condition and c.bin = b.bin)"""
+
+
+@register("histogram_fixed", "A08 (paired histogram, fixed width, empty bins included)", with_views(
+    HIST_BINS_SQL,
+    ("hv", "select condition, nim_score::DOUBLE as x from scores where nim_score is not null and not isnan(nim_score)"),
+    ("hs", f"select cast(ceil((max(x) + {HIST_W}) / {HIST_W}) as bigint) - 1 as nb from hv"),
+    ("b0", f"select condition, x, cast(floor(x / {HIST_W}) as bigint) as b from hv"),
+    ("b1", f"select condition, x, case when x < b * {HIST_W} then b - 1 else b end as b from b0"),
+    ("b2", f"select condition, x, case when x >= (b + 1) * {HIST_W} then b + 1 else b end as b from b1"),
+    ("binned", f"""select condition, case when x >= ((select nb from hs) - 1) * {HIST_W} then (select nb from hs) - 1
+                   else b end as bin from b2 where x >= 0 and x <= (select nb from hs) * {HIST_W}""")))
+def q_hist_fixed(spark, sf_dir):
+    scores = flagship.score_tables(spark, sf_dir)
+    return finish(PR.paired_histogram(flagship.condition_table(scores, "control"),
+                                      flagship.condition_table(scores, "test"), "nim_score", HIST_W))
+
+
+@register("histogram_auto", "A09 A10 (numpy 'auto' edges from the test side)", with_views("""
+select h.condition, h.bin, round_even(h.bin_lo * 1000000.0, 0) / 1000000.0 as bin_lo,
+       round_even(h.bin_hi * 1000000.0, 0) / 1000000.0 as bin_hi, h.count,
+       (select max(count) from h) as y_max, (select min(count) from h) as y_min
+from h""",
+    ("hv", "select condition, nim_score::DOUBLE as x from scores where nim_score is not null and not isnan(nim_score)"),
+    ("tv", "select x, row_number() over (order by x) - 1 as r from hv where condition = 'test'"),
+    ("st", "select count(*) as n, min(x) as lo, max(x) as hi from tv"),
+    ("qi", """select p, p * (n - 1) as idx, floor(p * (n - 1)) as rlo, ceil(p * (n - 1)) as rhi
+             from st cross join (select unnest([0.25, 0.75]) as p)"""),
+    ("qv", """select qi.p, qi.idx - qi.rlo as t, a.x as a, b.x as b from qi
+             join tv a on a.r = qi.rlo join tv b on b.r = qi.rhi"""),
+    ("qq", """select p, case when t >= 0.5 then b - (b - a) * (1.0 - t) else a + (b - a) * t end as q from qv"""),
+    ("wd", """select n, lo, hi, hi - lo as ptp, (hi - lo) / (log2(n) + 1.0) as sturges,
+             2.0 * ((select q from qq where p = 0.75) - (select q from qq where p = 0.25)) * pow(n, -1.0 / 3.0) as fd
+             from st"""),
+    ("ed", """select lo as first_e, hi as last_e, greatest(1, cast(ceil(ptp / (case when fd > 0 then least(fd, sturges) else sturges end)) as bigint)) as nb
+             from wd"""),
+    ("es", "select first_e, last_e, nb, (last_e - first_e) / nb as step from ed"),
+    ("b0", """select hv.condition, hv.x, cast(floor((hv.x - es.first_e) / es.step) as bigint) as b, es.*
+             from hv cross join es"""),
+    ("b1", "select *, case when x < first_e + b * step then b - 1 else b end as b1 from b0"),
+    ("b2", "select *, case when x >= first_e + (b1 + 1) * step then b1 + 1 else b1 end as b2 from b1"),
+    ("binned", """select condition, case when x >= first_e + (nb - 1) * step then nb - 1 else b2 end as bin
+                 from b2 where x >= first_e and x <= last_e"""),
+    ("h", """select g.condition, g.bin, es.first_e + g.bin * es.step as bin_lo, es.first_e + (g.bin + 1) * es.step as bin_hi,
+                   coalesce(c.cnt, 0) as count
+            from (select cond.condition, r.range as bin from (select unnest(['control','test']) as condition) cond
+                  cross join range(0, (select nb from es)) r) g
+            cross join es
+            left join (select condition, bin, count(*) as cnt from binned group by 1, 2) c
+              on c.condition = g.condition and c.bin = g.bin""")))
+def q_hist_auto(spark, sf_dir):
+    scores = flagship.score_tables(spark, sf_dir)
+    h = PR.paired_histogram(flagship.condition_table(scores, "control"),
+                            flagship.condition_table(scores, "test"), "nim_score", None, "test")
+    yr = PR.histogram_y_range(h).first()
+    return finish(h.withColumn("y_max", F.lit(yr["y_max"])).withColumn("y_min", F.lit(yr["y_min"])))
+
+
+@register("histogram_grouped", "A11", with_views(f"""
+select condition, cast(floor(nim_score / {HIST_W}) as bigint) as bin,
+       {R6(f'floor(nim_score / {HIST_W}) * {HIST_W}')} as bin_lo, count(*) as count
+from scores where nim_score >= 0 group by 1, 2, 3"""))
+def q_hist_grouped(spark, sf_dir):
+    return finish(PR.grouped_histogram(flagship.score_tables(spark, sf_dir), "nim_score", HIST_W))
+
+
+@register("genome_range", "A06 A05", with_views("""
+select seq_id, max(end_pos) - min(start_pos) as genome_range, max(start_pos) - min(start_pos) as ring_length
+from feat group by seq_id"""))
+def q_genome_range(spark, sf_dir):
+    return finish(PR.genome_range(adapters.features(spark, sf_dir), ["seq_id"]))
+
+
+RING_F = (0.1, 0.9)
+
+
+@register("circos_rings", "P07 P15 F06 F07 C06 (window from fractions, hide both-zero)", with_views(f"""
+select cast(seq_id as varchar) as block_id, start_pos, end_pos, locus_tag,
+       {R6('nim_score_control')} as inner, {R6('nim_score_test')} as outer, {R6('fold_change')} as hist
+from cmp
+where start_pos >= cast({RING_F[0]} * (select max(end_pos) - min(start_pos) from cmp) as bigint)
+  and end_pos <= cast({RING_F[1]} * (select max(end_pos) - min(start_pos) from cmp) as bigint)
+  and not coalesce(nim_score_control = 0 and nim_score_test = 0, false)"""))
+def q_circos(spark, sf_dir):
+    df, spec = _merged(spark, sf_dir)
+    metric = spec.metrics[0]  # first comparison column when none is chosen (P15)
+    return finish(PR.ring_tables(df, "nim_score_control", "nim_score_test", metric, RING_F, hide_zeros=True))
