@@ -8,16 +8,23 @@ from pyspark.sql import functions as F
 from duocount.operators import compare as cmp
 from duocount.operators import insertions as ins_ops
 from duocount.plans import adapters
+from duocount.session import cut_lineage
 from duocount.spec import FEATURE_KEYS, ComparisonSpec
 
 SPEC = ComparisonSpec()
 
 
-def score_tables(spark: SparkSession, sf_dir: str, bin_width=None) -> DataFrame:
-    """Per-gene score table, long form (J04 -> A04 -> C04/C05)."""
+def score_tables(spark: SparkSession, sf_dir: str, bin_width=None, materialise: bool = True) -> DataFrame:
+    """Per-gene score table, long form (J04 -> A04 -> C04/C05).
+
+    Materialised in the checkpoint folder by default: it is one row per gene and condition (small
+    next to the insertions it summarises), it is read twice by every comparison (control and test
+    side), and cutting the lineage here keeps later plans from re-running the interval join.
+    """
     feat = adapters.features(spark, sf_dir)
     ins = adapters.insertions(spark, sf_dir)
-    return ins_ops.gene_scores(feat, ins, FEATURE_KEYS, bin_width=bin_width)
+    scores = ins_ops.gene_scores(feat, ins, FEATURE_KEYS, bin_width=bin_width)
+    return cut_lineage(scores) if materialise else scores
 
 
 def condition_table(scores: DataFrame, condition: str) -> DataFrame:
@@ -28,7 +35,8 @@ def comparison(spark: SparkSession, sf_dir: str, bin_width=None):
     """Merged comparison: control and test score tables joined null-safely, with fold change and
     percentile-rank difference. Returns ``(df, spec)``."""
     scores = score_tables(spark, sf_dir, bin_width)
-    return cmp.compare(condition_table(scores, "control"), condition_table(scores, "test"), SPEC)
+    df, spec = cmp.compare(condition_table(scores, "control"), condition_table(scores, "test"), SPEC)
+    return cut_lineage(df), spec
 
 
 def top_changes(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:

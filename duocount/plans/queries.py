@@ -312,3 +312,93 @@ def q_circos(spark, sf_dir):
     df, spec = _merged(spark, sf_dir)
     metric = spec.metrics[0]  # first comparison column when none is chosen (P15)
     return finish(PR.ring_tables(df, "nim_score_control", "nim_score_test", metric, RING_F, hide_zeros=True))
+
+
+# --- differential abundance ---------------------------------------------------------------------
+
+from duocount.operators import ordered as OR  # noqa: E402
+from duocount.operators.diffexp import counts as DC  # noqa: E402
+from duocount.operators.diffexp.run import attach_results, differential_abundance  # noqa: E402
+
+POOL_VIEWS = (
+    ("ents", "select distinct entity_id from pool"),
+    ("smps", "select distinct sample, condition from pool"),
+    ("pm", """select e.entity_id, s.sample, s.condition, coalesce(p.cnt, 0) as cnt
+             from ents e cross join smps s left join pool p on p.entity_id = e.entity_id and p.sample = s.sample"""),
+    ("lg", "select entity_id, avg(ln(cnt::DOUBLE)) as lgm from pm group by 1 having min(cnt) > 0"),
+    ("sfac", "select sample, exp(median(ln(cnt::DOUBLE) - lgm)) as size_factor from pm join lg using (entity_id) group by 1"),
+    ("nrm", "select pm.entity_id, pm.sample, pm.cnt::DOUBLE / sfac.size_factor as q from pm join sfac using (sample)"),
+)
+
+
+def _pool_design(spark, sf_dir):
+    long = adapters.pools(spark, sf_dir)
+    return long, DC.design_of(long)
+
+
+@register("pool_matrix", "D01 F03 J06 (count matrix, missing pairs 0)", with_views("""
+select entity_id, sample, condition, cnt from pm""", *POOL_VIEWS))
+def q_pool_matrix(spark, sf_dir):
+    long, design = _pool_design(spark, sf_dir)
+    m = DC.count_matrix(long, design)
+    samples = spark.createDataFrame(list(enumerate(zip(design.samples, design.conditions))),
+                                    "pos int, sc struct<sample:string, condition:string>").select("pos", "sc.*")
+    x = m.select("entity_id", F.posexplode("counts").alias("pos", "cnt"))
+    return finish(x.join(F.broadcast(samples), "pos").select("entity_id", "sample", "condition", "cnt"))
+
+
+@register("size_factors", "D02 (median of ratios)", with_views(f"""
+select sample, {R6('size_factor')} as size_factor from sfac""", *POOL_VIEWS))
+def q_size_factors(spark, sf_dir):
+    long, design = _pool_design(spark, sf_dir)
+    sf = DC.size_factors(DC.count_matrix(long, design), design)
+    return finish(spark.createDataFrame(list(zip(design.samples, sf)), "sample string, size_factor double"))
+
+
+@register("normalized_counts", "D03 (baseMean, row variance)", with_views(f"""
+select entity_id, {R6('avg(q)')} as baseMean, {R6('var_samp(q)')} as rowVar from nrm group by 1""", *POOL_VIEWS))
+def q_normalized(spark, sf_dir):
+    long, design = _pool_design(spark, sf_dir)
+    m = DC.count_matrix(long, design)
+    sf = DC.size_factors(m, design)
+    return finish(DC.normalised(m, sf).select("entity_id", "baseMean", "rowVar"))
+
+
+@register("nonzero_per_sample", "A13", with_views("""
+select sample, count(*) filter (where cnt <> 0) as nonzero from pool group by 1"""))
+def q_nonzero(spark, sf_dir):
+    return finish(DC.nonzero_per_sample(adapters.pools(spark, sf_dir)))
+
+
+@register("bh_adjust", "D11 (BH over the control percentile rank used as a p-value; ties exercised)", with_views(f"""
+select locus_tag, {R6('p')} as p,
+       {R6('least(1.0, min(q) over (order by p desc range between unbounded preceding and current row))')} as padj
+from rr""",
+    ("pr", """select locus_tag, case when nim_score_control is null then null
+               else rank() over (order by nim_score_control)::DOUBLE / count(nim_score_control) over () end as p from cmp"""),
+    ("rr", """select locus_tag, p, p * (count(p) over ()) /
+                     (count(p) over (order by p range between unbounded preceding and current row)) as q from pr""")))
+def q_bh(spark, sf_dir):
+    df, spec = flagship.comparison(spark, sf_dir)
+    base = OR.min_rank_pct(df.select("locus_tag", "nim_score_control"), "nim_score_control", "p")
+    return finish(OR.bh_adjust(base, "p", "padj").select("locus_tag", "p", "padj"))
+
+
+@register("de_results", "D04-D10 D14 D16 (filtered mode; no SQL oracle: iterative fits)")
+def q_de(spark, sf_dir):
+    r = differential_abundance(adapters.pools(spark, sf_dir), filtering=True, with_pca=False)
+    feat = adapters.features(spark, sf_dir).select(
+        "locus_tag", F.regexp_replace("locus_tag", "^LT", "").alias("entity_id"))
+    return finish(attach_results(feat, r.results, "entity_id").drop("entity_id"))
+
+
+@register("de_results_unfiltered", "D04-D08 D11 D16 (no Cook's cut-off, no independent filtering)")
+def q_de_unf(spark, sf_dir):
+    r = differential_abundance(adapters.pools(spark, sf_dir), filtering=False, with_pca=False)
+    return finish(r.results.select("entity_id", "baseMean", "log2FoldChange", "lfcSE", "stat", "pvalue", "padj"))
+
+
+@register("sample_pca", "D12 D13 O04 D15 (no SQL oracle: eigen-decomposition)")
+def q_pca(spark, sf_dir):
+    r = differential_abundance(adapters.pools(spark, sf_dir), filtering=True, with_pca=True)
+    return finish(r.pca)
