@@ -402,3 +402,43 @@ def q_de_unf(spark, sf_dir):
 def q_pca(spark, sf_dir):
     r = differential_abundance(adapters.pools(spark, sf_dir), filtering=True, with_pca=True)
     return finish(r.pca)
+
+
+# --- attributes and coordinate files ------------------------------------------------------------
+
+import uuid  # noqa: E402
+
+from duocount.functions.attributes import parse_attributes, widen_attributes  # noqa: E402
+from duocount.session import checkpoint_dir  # noqa: E402
+from duocount.sources import coordinates as CO  # noqa: E402
+
+
+def ATTR(key: str) -> str:
+    return (f"split_part(list_filter(list_filter(string_split(attributes, ';'), lambda p: p like '%=%'), "
+            f"lambda p: split_part(p, '=', 1) = '{key}')[-1], '=', 2)")
+
+
+@register("attributes", "C02 C03 (last duplicate wins, a=b=c gives b, bare words skipped)", with_views(f"""
+select event_id, {ATTR('ID')} as "ID", {ATTR('k')} as k, {ATTR('type')} as type from attr"""))
+def q_attributes(spark, sf_dir):
+    a = adapters.attributes(spark, sf_dir).select("event_id", parse_attributes("attributes").alias("attr_map"))
+    return widen_attributes(a, "attr_map")
+
+
+@register("coordinates_ring", "P08 (ring track of coordinate rows, start - 1)", with_views("""
+select cast(seq_id as varchar) as block_id, "start" - 1 as "start", "end", try_cast(score as double) as value from coords"""))
+def q_coords_ring(spark, sf_dir):
+    return finish(PR.coordinates_ring(adapters.coordinates(spark, sf_dir)))
+
+
+@register("coordinates_roundtrip", "S01 S06 S02 (write coordinate files with a header, scan them back)", with_views("""
+select seq_id, source, type, "start", "end", score, strand, phase, attributes, condition from coords"""))
+def q_coords_roundtrip(spark, sf_dir):
+    out = f"{checkpoint_dir(spark)}/coords-{uuid.uuid4().hex}"
+    coords = adapters.coordinates(spark, sf_dir)
+    for cond in ("control", "test"):
+        header = spark.createDataFrame([(1, "##gff-version 3"), (2, f"#condition {cond}")], "line_no long, text string")
+        CO.write_coordinates(coords.where(F.col("condition") == cond), f"{out}/{cond}", header)
+    back = CO.read_coordinates(spark, f"{out}/*/part-*")
+    return back.select(*[c for c in back.columns if c not in ("file_path", "_corrupt")],
+                       F.regexp_extract("file_path", r"/(control|test)/part-", 1).alias("condition"))
