@@ -51,8 +51,15 @@ def sample_table(long: DataFrame) -> DataFrame:
     return long.select("sample", "condition").distinct()
 
 
-def design_of(long: DataFrame, levels=("control", "test")) -> Design:
-    rows = sorted((r["condition"], r["sample"]) for r in sample_table(long).collect())
+def design_of(long: DataFrame, levels=("control", "test"), check_integers: bool = True) -> Design:
+    """Samples and conditions (one row per sample reaches the driver); with ``check_integers`` the
+    same aggregate counts negative or fractional counts and raises on any."""
+    agg = long.groupBy("sample", "condition").agg(
+        F.count_if((F.col("cnt") != F.floor("cnt")) | (F.col("cnt") < 0)).alias("_bad")).collect()
+    bad_counts = sum(r["_bad"] for r in agg)
+    if check_integers and bad_counts:
+        raise CountDataError(f"{bad_counts} counts are negative or not integers")
+    rows = sorted((r["condition"], r["sample"]) for r in agg)
     bad = [c for c, _ in rows if c not in levels]
     if bad:
         raise CountDataError(f"conditions {sorted(set(bad))} are not in {levels}")

@@ -27,6 +27,8 @@ PRIOR_VAR_FLOOR = 0.25     # smallest prior variance of log dispersion
 TREND_RESID_RANGE = (1e-4, 15.0)   # genes used in each trend refit: residual ratio inside this range
 TREND_MAX_OUTER = 10
 TREND_TOL = 1e-6
+TREND_MAX_INNER = 25       # IRLS steps per refit, as a GLM fit's default iteration cap
+TREND_INNER_TOL = 1e-6     # relative coefficient change that ends one refit
 MAD_SCALE = 1.4826
 
 
@@ -85,7 +87,7 @@ def fit_trend(genes: DataFrame, n_samples: int):
         fitted = F.lit(a0) + F.lit(a1) * F.col("x")
         sub = base.where((F.col("y") / fitted > TREND_RESID_RANGE[0]) & (F.col("y") / fitted < TREND_RESID_RANGE[1]))
         b0, b1 = a0, a1
-        for _ in range(50):
+        for _ in range(TREND_MAX_INNER):
             mu = F.lit(b0) + F.lit(b1) * F.col("x")
             w = F.lit(1.0) / (mu * mu)
             s = sub.agg(F.sum(w).alias("w"), F.sum(w * F.col("x")).alias("wx"), F.sum(w * F.col("x") * F.col("x")).alias("wxx"),
@@ -97,7 +99,8 @@ def fit_trend(genes: DataFrame, n_samples: int):
                 return None
             n0 = (s["wy"] * s["wxx"] - s["wx"] * s["wxy"]) / det
             n1 = (s["w"] * s["wxy"] - s["wx"] * s["wy"]) / det
-            done = abs(n0 - b0) <= 1e-8 * (abs(b0) + 1e-12) and abs(n1 - b1) <= 1e-8 * (abs(b1) + 1e-12)
+            done = (abs(n0 - b0) <= TREND_INNER_TOL * (abs(b0) + 1e-12)
+                    and abs(n1 - b1) <= TREND_INNER_TOL * (abs(b1) + 1e-12))
             b0, b1 = n0, n1
             if done:
                 break

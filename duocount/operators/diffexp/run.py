@@ -26,52 +26,56 @@ class DEResult:
 
 
 def differential_abundance(long_counts: DataFrame, filtering: bool = True, levels=("control", "test"),
-                           with_pca: bool = True, checkpoint: bool = True) -> DEResult:
+                           with_pca: bool = True, results: bool = True, materialise: bool = True) -> DEResult:
     """Negative-binomial two-group test of ``entity_id, sample, condition, cnt`` (test over control).
 
     ``filtering=True``: Cook's cut-off and independent filtering (the default mode); ``False``: neither,
     BH over every p-value (D16). Outlier replacement needs 7 replicates per group and is not applied
-    below that, as in the published default.
+    below that, as in the published default. ``results=False`` stops after the dispersion trend (all
+    the PCA needs). Per-gene tables are materialised in the checkpoint folder between passes.
     """
     log = {"replicates": None, "run": False, "success": False, "reason": None}
     try:
-        C.check_integer_counts(long_counts)
         design = C.design_of(long_counts, levels)
         log["replicates"] = len(design.samples)
         if len(set(design.conditions)) < 2:
             raise CountDataError("both conditions need replicates")
         log["run"] = True
         matrix = C.count_matrix(long_counts, design)
+        if materialise:
+            matrix = cut_lineage(matrix, "counts")
         sf = C.size_factors(matrix, design)
         norm = C.normalised(matrix, sf)
         gw = norm.mapInPandas(D.genewise_mapper(sf, design.groups),
                               "entity_id string, counts array<bigint>, norm array<double>, baseMean double, "
                               "rowVar double, allZero boolean, dispGeneEst double")
-        if checkpoint:
-            gw = cut_lineage(gw)
+        if materialise:
+            gw = cut_lineage(gw, "genewise")
         S = len(design.samples)
         trend = D.fit_trend(gw, S)
         log["trend"] = "parametric" if trend else "mean"
         trend = trend or D.mean_trend(gw)
-        prior_var = D.prior_variance(gw, trend, S)
-        res = gw.select("entity_id", "counts", "baseMean", "allZero", "dispGeneEst").mapInPandas(
-            FT.wald_mapper(sf, design.groups, trend, prior_var), FT.RESULT_SCHEMA)
-        if checkpoint:
-            res = cut_lineage(res)
-        if filtering:
-            res = SEL.apply_cooks_cutoff(res, S)
-            res, info = SEL.independent_filtering(res)
-            log["filter"] = info
-        else:
-            res = SEL.adjust_all(res)
+        res = None
+        if results:
+            prior_var = D.prior_variance(gw, trend, S)
+            log["prior_var"] = prior_var
+            res = gw.select("entity_id", "counts", "baseMean", "allZero", "dispGeneEst").mapInPandas(
+                FT.wald_mapper(sf, design.groups, trend, prior_var), FT.RESULT_SCHEMA)
+            if materialise:
+                res = cut_lineage(res, "wald")
+            if filtering:
+                res = SEL.apply_cooks_cutoff(res, S)
+                res, info = SEL.independent_filtering(res)
+                log["filter"] = info
+            else:
+                res = SEL.adjust_all(res)
         pca = None
         if with_pca:
-            rows, explained = P.sample_pca(P.transformed(norm, trend), design.samples, design.conditions)
+            rows, explained = P.sample_pca(P.transformed(gw, trend), design.samples, design.conditions)
             pca = long_counts.sparkSession.createDataFrame(rows, "sample string, condition string, pc1 double, pc2 double")
             log["explained"] = explained
             log.update(P.axis_labels(explained))
-        log.update({"success": True, "size_factors": dict(zip(design.samples, sf)), "trend_coef": list(trend),
-                    "prior_var": prior_var})
+        log.update({"success": True, "size_factors": dict(zip(design.samples, sf)), "trend_coef": list(trend)})
         return DEResult(res, pca, log)
     except CountDataError as e:
         log["reason"] = str(e)

@@ -400,7 +400,7 @@ def q_de_unf(spark, sf_dir):
 
 @register("sample_pca", "D12 D13 O04 D15 (no SQL oracle: eigen-decomposition)")
 def q_pca(spark, sf_dir):
-    r = differential_abundance(adapters.pools(spark, sf_dir), filtering=True, with_pca=True)
+    r = differential_abundance(adapters.pools(spark, sf_dir), with_pca=True, results=False)
     return finish(r.pca)
 
 

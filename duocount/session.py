@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from typing import Optional
 
 from pyspark.sql import SparkSession
@@ -49,7 +50,13 @@ def checkpoint_dir(spark: SparkSession, fallback: Optional[str] = None) -> str:
     return fallback
 
 
-def cut_lineage(df):
-    """Materialise ``df`` in the checkpoint folder (reliable, survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str = "t"):
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+
+    One pass (``Dataset.checkpoint`` would compute the plan twice unless persisted), survives
+    executor loss, and later reads get column pruning and filter pushdown.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/duocount-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
