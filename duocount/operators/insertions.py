@@ -73,9 +73,12 @@ def insertion_sites(ins: DataFrame, by: Sequence[str] = (), position: str = "pos
 
 
 def condition_totals(sites: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Per run and condition: distinct sites and reads over the whole genome (denominators of C04)."""
+    """Per run and condition: distinct sites, reads and rows over the whole genome (denominators of C04).
+
+    """
     return sites.groupBy(*by, "condition").agg(
-        F.count(F.lit(1)).alias("total_sites"), F.sum("reads").cast("bigint").alias("total_reads"))
+        F.count(F.lit(1)).alias("total_sites"), F.sum("reads").cast("bigint").alias("total_reads"),
+        F.sum("rows").cast("bigint").alias("total_rows"))
 
 
 def _window_bounds(features: DataFrame, buffer_frac: float) -> DataFrame:
@@ -137,9 +140,11 @@ def gene_scores(features: DataFrame, ins: DataFrame, keys: Sequence[str], by: Se
     """
     by = list(by)
     sites = insertion_sites(ins, by)
+    if not bin_width:
+        bin_width = iv.choose_bin_width(_window_bounds(features, buffer_frac), "_lo", "_hi")
     tot = feature_totals(features, sites, keys, by, conditions, bounds, buffer_frac, bin_width)
     den = condition_totals(sites, by).withColumnsRenamed(
-        {"total_sites": "cond_sites", "total_reads": "cond_reads"})
+        {"total_sites": "cond_sites", "total_reads": "cond_reads"}).drop("total_rows")
     kb = F.col("feat_length") / F.lit(1000.0)
     t = tot.join(den, by + ["condition"], "left")
     length = F.col("feat_length").cast("double")
