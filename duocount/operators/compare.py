@@ -151,3 +151,21 @@ def page(df: DataFrame, order: Sequence, tiebreak: Sequence[str], page_index: in
     if condition is not None:
         df = df.where(condition)
     return df.orderBy(*order, *tiebreak).offset(int(page_index) * page_size).limit(page_size)
+
+
+def insert_column(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Append a column at the end."""
+    return df.withColumn(name, value)
+
+
+def add_row_id(df: DataFrame, name: str = "row_id", keys: Optional[Sequence[str]] = None) -> DataFrame:
+    """A unique row id (P06): the entity key when given (stable across runs), else a
+    ``monotonically_increasing_id`` (unique, not consecutive, not stable across re-reads)."""
+    if keys:
+        return df.withColumn(name, F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def lookup(df: DataFrame, value, key: str = "locus_tag") -> DataFrame:
+    """Rows of one entity (F12); on a Parquet table the equality is pushed to the scan."""
+    return df.where(F.col(key) == F.lit(value))

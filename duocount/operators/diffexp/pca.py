@@ -66,3 +66,8 @@ def sample_pca(tr: DataFrame, samples: Sequence[str], conditions: Sequence[str],
 def axis_labels(explained) -> dict:
     return {"x_label": f"PC1: {round(100 * explained[0])}% variance",
             "y_label": f"PC2: {round(100 * explained[1]) if len(explained) > 1 else 0}% variance"}
+
+
+def split_by_condition(pca: DataFrame, condition: str) -> DataFrame:
+    """PCA rows of one condition."""
+    return pca.where(F.col("condition") == F.lit(condition))

@@ -95,9 +95,9 @@ def min_rank_pct_many(df: DataFrame, values: dict, by: Sequence[str] = (), n_buc
     out = df
     for name, src in sides:
         r = ranks.where(F.col("_side") == name).select(
-            *by, F.col("_v").alias(f"_v_{name}"), F.col("_pct").alias(name))
-        cond = [out[b] == r[b] for b in by] + [out[src].cast("double") == r[f"_v_{name}"]]
-        out = out.join(r, cond, "left").drop(f"_v_{name}", *[r[b] for b in by])
+            *[F.col(b).alias(f"_k_{b}") for b in by], F.col("_v").alias(f"_v_{name}"), F.col("_pct").alias(name))
+        cond = [out[b] == r[f"_k_{b}"] for b in by] + [out[src].cast("double") == r[f"_v_{name}"]]
+        out = out.join(r, cond, "left").drop(f"_v_{name}", *[f"_k_{b}" for b in by])
     return out
 
 
