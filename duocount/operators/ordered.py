@@ -153,19 +153,23 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict, by: Sequence[str] =
     """Exact quantiles with numpy's default (linear) interpolation, one row per group.
 
     ``probs`` maps output column -> probability. Spark's exact ``percentile`` keeps every value of
-    a group in one aggregation buffer; here the values go through :func:`ordered_distinct`, so only
-    the two values around each requested rank are picked out.
+    a group in one aggregation buffer; here the values go through :func:`ordered_distinct` and each
+    distinct value emits only the probabilities whose neighbouring ranks it holds (about two rows
+    per probability in total), so nothing is multiplied by the number of probabilities.
     """
     by = list(by)
     od = ordered_distinct(df, value, by, n_buckets)
     items = list(probs.items())
-    pe = F.explode(F.array(*[F.struct(F.lit(i).alias("_pi"), F.lit(float(p)).alias("_p"))
-                            for i, (_, p) in enumerate(items)])).alias("_pp")
-    x = od.select(*by, value, "_below", "_m", "_tot", pe).select(*by, value, "_below", "_m", "_tot", "_pp._pi", "_pp._p")
-    idx = F.col("_p") * (F.col("_tot") - F.lit(1)).cast("double")
-    x = x.withColumn("_idx", idx).withColumn("_rlo", F.floor("_idx")).withColumn("_rhi", F.ceil("_idx"))
-    covers = lambda r: (F.col("_below") <= F.col(r)) & (F.col(r) < F.col("_below") + F.col("_m"))
-    x = x.where(covers("_rlo") | covers("_rhi"))
+    parr = F.array(*[F.lit(float(p)) for _, p in items])
+    n1 = (F.col("_tot") - F.lit(1)).cast("double")
+    idx = lambda i: F.element_at(parr, i + 1) * n1
+    holds = lambda r: (F.col("_below") <= r) & (r < F.col("_below") + F.col("_m"))
+    hit = F.filter(F.sequence(F.lit(0), F.lit(len(items) - 1)),
+                   lambda i: holds(F.floor(idx(i))) | holds(F.ceil(idx(i))))
+    x = (od.select(*by, value, "_below", "_m", "_tot", F.explode(hit).alias("_pi"))
+         .withColumn("_idx", F.element_at(parr, F.col("_pi") + 1) * n1)
+         .withColumn("_rlo", F.floor("_idx")).withColumn("_rhi", F.ceil("_idx")))
+    covers = lambda r: holds(F.col(r))
     g = x.groupBy(*by, "_pi").agg(
         F.max(F.when(covers("_rlo"), F.col(value).cast("double"))).alias("_a"),
         F.max(F.when(covers("_rhi"), F.col(value).cast("double"))).alias("_b"),

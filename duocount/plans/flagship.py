@@ -31,12 +31,19 @@ def condition_table(scores: DataFrame, condition: str) -> DataFrame:
     return scores.where(F.col("condition") == condition).drop("condition")
 
 
-def comparison(spark: SparkSession, sf_dir: str, bin_width=None):
+def comparison(spark: SparkSession, sf_dir: str, bin_width=None, materialise: bool = False):
     """Merged comparison: control and test score tables joined null-safely, with fold change and
-    percentile-rank difference. Returns ``(df, spec)``."""
+    percentile-rank difference. Returns ``(df, spec)``.
+
+    The merged table (one row per gene) is written once before ranking, so the rank's cut-point
+    pass and its main pass both read it instead of re-running the merge. ``materialise`` also writes
+    the ranked result, for callers that stack further ordered operators on it.
+    """
     scores = score_tables(spark, sf_dir, bin_width)
-    df, spec = cmp.compare(condition_table(scores, "control"), condition_table(scores, "test"), SPEC)
-    return cut_lineage(df), spec
+    merged = cmp.merge_conditions(condition_table(scores, "control"), condition_table(scores, "test"), SPEC)
+    merged, spec = cmp.add_fold_change(merged, SPEC)
+    df, spec = cmp.add_pctl_rank_diff(cut_lineage(merged, "merged"), spec)
+    return (cut_lineage(df, "compared") if materialise else df), spec
 
 
 def top_changes(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:

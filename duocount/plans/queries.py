@@ -379,7 +379,7 @@ from rr""",
     ("rr", """select locus_tag, p, p * (count(p) over ()) /
                      (count(p) over (order by p range between unbounded preceding and current row)) as q from pr""")))
 def q_bh(spark, sf_dir):
-    df, spec = flagship.comparison(spark, sf_dir)
+    df, spec = flagship.comparison(spark, sf_dir, materialise=True)
     base = OR.min_rank_pct(df.select("locus_tag", "nim_score_control"), "nim_score_control", "p")
     return finish(OR.bh_adjust(base, "p", "padj").select("locus_tag", "p", "padj"))
 
@@ -398,7 +398,7 @@ def q_de_unf(spark, sf_dir):
     return finish(r.results.select("entity_id", "baseMean", "log2FoldChange", "lfcSE", "stat", "pvalue", "padj"))
 
 
-@register("sample_pca", "D12 D13 O04 D15 (no SQL oracle: eigen-decomposition)")
+@register("sample_pca", "D12 D13 O04 (no SQL oracle: eigen-decomposition)")
 def q_pca(spark, sf_dir):
     r = differential_abundance(adapters.pools(spark, sf_dir), with_pca=True, results=False)
     return finish(r.pca)
