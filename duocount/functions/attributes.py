@@ -25,12 +25,22 @@ def parse_attributes(attr="attributes") -> Column:
     return F.map_from_entries(last_wins)
 
 
-def widen_attributes(df: DataFrame, map_col: str = "attr_map", keys=None, drop: bool = True) -> DataFrame:
+MAX_KEYS = 1000
+
+
+def widen_attributes(df: DataFrame, map_col: str = "attr_map", keys=None, drop: bool = True,
+                     max_keys: int = MAX_KEYS) -> DataFrame:
     """One column per attribute key (C03). Keys come from one distinct pass unless given.
 
-    The distinct key set is bounded by the vocabulary of attribute names, not by rows.
+    The distinct key set is the vocabulary of attribute names, not the rows; more than ``max_keys``
+    distinct names is refused (a table that wide is not a column layout), no rows are dropped.
     """
     if keys is None:
-        keys = sorted(r[0] for r in df.select(F.explode(F.map_keys(map_col)).alias("k")).distinct().collect())
+        found = (df.select(F.explode(F.map_keys(map_col)).alias("k")).distinct()
+                 .limit(max_keys + 1).collect())
+        if len(found) > max_keys:
+            from duocount.spec import SchemaError
+            raise SchemaError(f"more than {max_keys} distinct attribute names; pass keys= explicitly")
+        keys = sorted(r[0] for r in found)
     out = df.select("*", *[F.element_at(F.col(map_col), F.lit(k)).alias(k) for k in keys])
     return out.drop(map_col) if drop else out

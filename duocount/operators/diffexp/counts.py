@@ -73,15 +73,17 @@ def check_integer_counts(long: DataFrame) -> None:
 
 
 def count_matrix(long: DataFrame, design: Design) -> DataFrame:
-    """``entity_id, counts ARRAY<BIGINT>`` in design order; a missing (entity, sample) pair is 0.
+    """``entity_id, counts ARRAY<BIGINT>`` in design order; a missing (entity, sample) pair is 0 and
+    repeated rows of one pair add up.
 
-    One grouped aggregate builds a small map per entity (at most one entry per sample); the array
-    is read from it in the design's sample order.
+    One grouped aggregate with a conditional sum per sample of the design: algebraic, so partial
+    aggregation collapses a hot entity map-side and no list is collected per entity.
     """
-    m = (long.groupBy("entity_id")
-         .agg(F.map_from_entries(F.collect_list(F.struct(F.col("sample"), F.col("cnt").cast("bigint")))).alias("_m")))
-    arr = F.array(*[F.coalesce(F.element_at(F.col("_m"), F.lit(s)), F.lit(0).cast("bigint")) for s in design.samples])
-    return m.select("entity_id", arr.alias("counts"))
+    cnt, smp = F.col("cnt").cast("bigint"), F.col("sample")
+    sums = [F.coalesce(F.sum(F.when(smp == F.lit(s), cnt)), F.lit(0).cast("bigint")).alias(f"_s{i}")
+            for i, s in enumerate(design.samples)]
+    agg = long.where(smp.isin(list(design.samples))).groupBy("entity_id").agg(*sums)
+    return agg.select("entity_id", F.array(*[F.col(f"_s{i}") for i in range(len(design.samples))]).alias("counts"))
 
 
 def nonzero_per_sample(long: DataFrame) -> DataFrame:
