@@ -19,6 +19,38 @@ DEFAULT_BUCKETS = 64
 APPROX_ACCURACY = 10000
 
 
+def _sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _sql_double(x: float) -> str:
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def count_below_sql(at, n: int, x_sql: str) -> str:
+    """SQL text of a balanced CASE tree counting entries ``at(0..n-1)`` (ascending) below ``x_sql``."""
+    def rec(lo, hi):
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"CASE WHEN {at(mid)} < {x_sql} THEN {rec(mid + 1, hi)} ELSE {rec(lo, mid)} END"
+    return rec(0, n)
+
+
+def count_below(cuts, x: str, n: int = None):
+    """Number of entries of the ascending ``cuts`` strictly below column ``x``.
+
+    ``cuts`` is a Python list (literals) or the name of an array column of known length ``n``.
+    A balanced CASE tree: log2(n) comparisons per row inside whole-stage codegen, where a lambda over
+    the array would be evaluated row by row outside it; built as one SQL expression so the driver
+    makes one call instead of one per node.
+    """
+    if isinstance(cuts, (list, tuple)):
+        vals = [float(c) for c in cuts]
+        return F.expr(count_below_sql(lambda i: _sql_double(vals[i]), len(vals), x))
+    return F.expr(count_below_sql(lambda i: f"element_at({_sql_name(cuts)}, {i + 1})", n, x))
+
+
 def _n_buckets(df: DataFrame, n_buckets) -> int:
     if n_buckets:
         return int(n_buckets)
@@ -38,15 +70,15 @@ def with_buckets(vals: DataFrame, value: str, by: Sequence[str], n_buckets: int,
     probs = [i / n_buckets for i in range(1, n_buckets)]
     if not probs:
         return vals.withColumn(bucket_col, F.lit(0))
+    v = F.col(value).cast("double")
+    x_sql = f"CAST({_sql_name(value)} AS DOUBLE)"
     if not by:
-        row = vals.agg(F.percentile_approx(F.col(value).cast("double"), probs, APPROX_ACCURACY).alias("c")).first()
+        row = vals.agg(F.percentile_approx(v, probs, APPROX_ACCURACY).alias("c")).first()
         cuts = sorted(set(x for x in (row[0] or []) if x is not None))
-        arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-        return vals.withColumn(bucket_col, F.size(F.filter(arr, lambda c: c < F.col(value).cast("double"))))
-    cuts = vals.groupBy(*by).agg(
-        F.array_distinct(F.percentile_approx(F.col(value).cast("double"), probs, APPROX_ACCURACY)).alias("_cuts"))
+        return vals.withColumn(bucket_col, count_below(cuts, x_sql) if cuts else F.lit(0))
+    cuts = vals.groupBy(*by).agg(F.percentile_approx(v, probs, APPROX_ACCURACY).alias("_cuts"))
     return (vals.join(cuts, by, "left")
-            .withColumn(bucket_col, F.size(F.filter("_cuts", lambda c: c < F.col(value).cast("double"))))
+            .withColumn(bucket_col, count_below("_cuts", x_sql, len(probs)))
             .drop("_cuts"))
 
 
@@ -164,8 +196,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict, by: Sequence[str] =
     n1 = (F.col("_tot") - F.lit(1)).cast("double")
     idx = lambda i: F.element_at(parr, i + 1) * n1
     holds = lambda r: (F.col("_below") <= r) & (r < F.col("_below") + F.col("_m"))
-    hit = F.filter(F.sequence(F.lit(0), F.lit(len(items) - 1)),
-                   lambda i: holds(F.floor(idx(i))) | holds(F.ceil(idx(i))))
+    def holds_sql(r):
+        return f"(_below <= {r} AND {r} < _below + _m)"
+    cases = []
+    for i, (_, p) in enumerate(items):
+        ix = f"({_sql_double(p)} * CAST(_tot - 1 AS DOUBLE))"
+        cases.append(f"CASE WHEN {holds_sql(f'FLOOR({ix})')} OR {holds_sql(f'CEIL({ix})')} THEN {i} END")
+    hit = F.expr(f"array_compact(array({', '.join(cases)}))")
     x = (od.select(*by, value, "_below", "_m", "_tot", F.explode(hit).alias("_pi"))
          .withColumn("_idx", F.element_at(parr, F.col("_pi") + 1) * n1)
          .withColumn("_rlo", F.floor("_idx")).withColumn("_rhi", F.ceil("_idx")))
@@ -175,5 +212,5 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict, by: Sequence[str] =
         F.max(F.when(covers("_rhi"), F.col(value).cast("double"))).alias("_b"),
         F.first("_idx").alias("_idx"), F.first("_rlo").alias("_rlo"))
     g = g.withColumn("_q", _lerp(F.col("_a"), F.col("_b"), F.col("_idx") - F.col("_rlo")))
-    return g.groupBy(*by).agg(*[F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(name)
+    return g.groupBy(*by).agg(*[F.expr(f"max(CASE WHEN _pi = {i} THEN _q END)").alias(name)
                                 for i, (name, _) in enumerate(items)])

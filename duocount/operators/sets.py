@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from duocount.functions.scalar import round_half_even, set_label, truncated_first, truncated_last
 from duocount.operators.compare import condition_columns, score_columns
+from duocount.operators.ordered import count_below
 from duocount.spec import ComparisonSpec, SchemaError
 
 
@@ -83,9 +84,11 @@ def threshold_sweep(df: DataFrame, spec: ComparisonSpec, thresholds: Sequence[fl
     def entry(score, first, last):
         s, f, l_ = (round_half_even(F.col(x), 5) if rounded else F.col(x) for x in (score, first, last))
         ok = F.coalesce((f >= F.lit(float(lo))) & (l_ <= F.lit(float(hi))) & s.isNotNull(), F.lit(False))
-        return F.when(ok, F.size(F.filter(arr, lambda t: t < s))).otherwise(F.lit(T_))
+        return F.when(ok, count_below(ts, f"_s_{score}")).otherwise(F.lit(T_))
 
-    cells = (df.select(*by, entry(nim_c, cf, cl).alias("kc"), entry(nim_t, tf, tl).alias("kt"))
+    shown = df.select(*by, *[(round_half_even(F.col(x), 5) if rounded else F.col(x)).alias(f"_s_{x}")
+                             for x in (nim_c, nim_t)], nim_c, nim_t, cf, cl, tf, tl)
+    cells = (shown.select(*by, entry(nim_c, cf, cl).alias("kc"), entry(nim_t, tf, tl).alias("kt"))
              .groupBy(*by, "kc", "kt").agg(F.count(F.lit(1)).alias("n")))
     k = F.col("k")
     per = (cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(T_ - 1))))
