@@ -130,15 +130,19 @@ def feature_totals(features: DataFrame, sites: DataFrame, keys: Sequence[str], b
 
 def gene_scores(features: DataFrame, ins: DataFrame, keys: Sequence[str], by: Sequence[str] = (),
                 conditions: Sequence[str] = CONDITIONS, bounds: str = "open", buffer_frac: float = 0.0,
-                bin_width=None) -> DataFrame:
+                bin_width=None, strand_col: str = None) -> DataFrame:
     """Per-gene score table in long form, one row per feature and condition.
 
     nim_score = (distinct sites in gene / gene kb) / (distinct sites in condition / 10^6)
     nrm_score = (reads in gene / gene kb) / (reads in condition / 10^6)
     first/last_insert_pct = 100 * (first/last site - start) / feat_length; 0 when the gene has none,
     so that an essential gene (score 0) sits inside every percentile window.
+    ``strand_col`` (off by default): for features on the ``-`` strand the percentages are measured
+    from the end, first = 100 * (end - last site) / feat_length, last = 100 * (end - first site) / feat_length.
     """
     by = list(by)
+    if strand_col and strand_col not in keys:
+        keys = list(keys) + [strand_col]
     sites = insertion_sites(ins, by)
     if not bin_width:
         bin_width = iv.choose_bin_width(_window_bounds(features, buffer_frac), "_lo", "_hi")
@@ -148,16 +152,20 @@ def gene_scores(features: DataFrame, ins: DataFrame, keys: Sequence[str], by: Se
     kb = F.col("feat_length") / F.lit(1000.0)
     t = tot.join(den, by + ["condition"], "left")
     length = F.col("feat_length").cast("double")
+    first_off = F.col("first_pos") - F.col("start_pos")
+    last_off = F.col("last_pos") - F.col("start_pos")
+    if strand_col:
+        minus = F.col(strand_col) == F.lit("-")
+        first_off, last_off = (F.when(minus, F.col("end_pos") - F.col("last_pos")).otherwise(first_off),
+                               F.when(minus, F.col("end_pos") - F.col("first_pos")).otherwise(last_off))
     return t.select(
         *[c for c in tot.columns if c not in ("first_pos", "last_pos")],
         F.try_divide(F.try_divide(F.col("unique_sites").cast("double"), kb),
                      F.col("cond_sites") / F.lit(1e6)).alias("nim_score"),
         F.try_divide(F.try_divide(F.col("total_reads").cast("double"), kb),
                      F.col("cond_reads") / F.lit(1e6)).alias("nrm_score"),
-        F.coalesce(F.try_divide(F.lit(100.0) * (F.col("first_pos") - F.col("start_pos")), length),
-                   F.lit(0.0)).alias("first_insert_pct"),
-        F.coalesce(F.try_divide(F.lit(100.0) * (F.col("last_pos") - F.col("start_pos")), length),
-                   F.lit(0.0)).alias("last_insert_pct"),
+        F.coalesce(F.try_divide(F.lit(100.0) * first_off, length), F.lit(0.0)).alias("first_insert_pct"),
+        F.coalesce(F.try_divide(F.lit(100.0) * last_off, length), F.lit(0.0)).alias("last_insert_pct"),
     )
 
 

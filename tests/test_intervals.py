@@ -99,3 +99,16 @@ def test_window_table_and_align(spark):
     assert a == [("1", 1, 2.0, 0.0), ("1", 2, 0.0, 5.0)]
     st = I.stack_conditions(c, t)
     assert sorted(r.group for r in st.select("group").distinct().collect()) == ["Control", "Test"]
+
+
+def test_strand_aware_percentiles(spark):
+    feat = spark.createDataFrame([("1", "P", "CDS", "p", 1001, 2000, 1000, "x", "+"), ("1", "M", "CDS", "m", 3001, 4000, 1000, "x", "-")],
+                                 FEAT + ", strand string")
+    ins = spark.createDataFrame([("1", "control", 1101, 1), ("1", "control", 1901, 1),
+                                 ("1", "control", 3101, 1), ("1", "control", 3901, 1)],
+                                "seq_id string, condition string, position long, cnt long")
+    plain = {r.locus_tag: (r.first_insert_pct, r.last_insert_pct)
+             for r in I.gene_scores(feat, ins, KEYS, conditions=("control",)).collect()}
+    aware = {r.locus_tag: (r.first_insert_pct, r.last_insert_pct)
+             for r in I.gene_scores(feat, ins, KEYS, conditions=("control",), strand_col="strand").collect()}
+    assert plain["M"] == (10.0, 90.0) and aware["M"] == (9.9, 89.9) and aware["P"] == plain["P"] == (10.0, 90.0)
