@@ -13,10 +13,93 @@ from duocount.operators.diffexp.dispersion import MIN_DISP, MIN_MU, OUTLIER_SD,
 
 RESULT_SCHEMA = ("entity_id string, baseMean double, log2FoldChange double, lfcSE double, stat double, "
                  "pvalue double, dispGeneEst double, dispFit double, dispersion double, maxCooks double, "
-                 "allZero boolean")
+                 "allZero boolean, replaced boolean")
 
+# Fixed values of the published method's outlier replacement.
+MIN_REPLICATES_FOR_REPLACE = 7
+REPLACE_TRIM = 0.2
+COOKS_QUANTILE = 0.99
 
-def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: float, cooks_min_reps: int = 3):
+
+def trimmed_mean(q, trim: float = REPLACE_TRIM):
+    """Row-wise mean after dropping floor(n * trim) values at each end (R's ``mean(x, trim=)``)."""
+    n = q.shape[1]
+    k = int(math.floor(n * trim))
+    srt = np.sort(q, axis=1)
+    return srt[:, k:n - k].mean(axis=1)
+
+
+# Fixed values of the published robust moment dispersion used for Cook's distances: trim ratio and
+# variance scale per cell size bin (n <= 3, 4..23, >= 24), and its lower bound. Recalled from the
+# method's public source; named here so they can be corrected in one place.
+ROBUST_TRIM = (1.0 / 3.0, 1.0 / 4.0, 1.0 / 8.0)
+ROBUST_SCALE = (2.04, 1.86, 1.51)
+ROBUST_MIN_DISP = 0.04
+
+
+def _size_bin(n: int) -> int:
+    return 0 if n <= 3 else (1 if n <= 23 else 2)
+
+
+def robust_moments_dispersion(q, groups, n_groups: int):
+    """Dispersion for Cook's distances, resistant to the outlier being measured.
+
+    Per cell with 3 or more replicates: trimmed mean, then scaled trimmed mean of squared errors;
+    the largest cell variance is kept. Without such a cell: the same over all samples with trim 1/8.
+    alpha = (v - m) / m^2 with m the row mean, at least ROBUST_MIN_DISP.
+    """
+    sizes = np.bincount(groups, minlength=n_groups)
+    cells = [g for g in range(n_groups) if sizes[g] >= 3]
+    if cells:
+        v = np.full(q.shape[0], -np.inf)
+        for g in cells:
+            sub = q[:, groups == g]
+            b = _size_bin(sub.shape[1])
+            cm = trimmed_mean(sub, ROBUST_TRIM[b])
+            v = np.maximum(v, ROBUST_SCALE[b] * trimmed_mean((sub - cm[:, None]) ** 2, ROBUST_TRIM[b]))
+    else:
+        cm = trimmed_mean(q, ROBUST_TRIM[2])
+        v = ROBUST_SCALE[2] * trimmed_mean((q - cm[:, None]) ** 2, ROBUST_TRIM[2])
+    m = q.mean(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a = (v - m) / (m * m)
+    return np.maximum(np.nan_to_num(a, nan=ROBUST_MIN_DISP), ROBUST_MIN_DISP)
+
+
+def _fit_block(yy, sf, groups, n_groups, lf, prior_var, lo, hi, S, sd, gene=None):
+    """Gene-wise (when ``gene`` is None) and MAP dispersion, group fit, Wald and Cook's for a block."""
+    q = yy / sf[None, :]
+    mu0 = np.empty_like(yy)
+    for g in range(n_groups):
+        m = groups == g
+        mu0[:, m] = q[:, m].mean(axis=1)[:, None] * sf[None, m]
+    mu0 = np.maximum(mu0, MIN_MU)
+    if gene is None:
+        obj_g = lambda la: M.nb_loglik_cr(la, yy, mu0, groups, n_groups)
+        gene = np.clip(np.exp(M.maximise_log_alpha(obj_g, lo, hi, yy.shape[0])), MIN_DISP, max_disp(S))
+    obj = lambda la: M.nb_loglik_cr(la, yy, mu0, groups, n_groups) - (la - lf[:, None]) ** 2 / (2.0 * prior_var)
+    best = np.clip(np.exp(M.maximise_log_alpha(obj, lo, hi, yy.shape[0])), MIN_DISP, max_disp(S))
+    alpha = np.where(np.log(gene) > lf + OUTLIER_SD * sd, gene, best)
+    beta, mu, w = M.group_fit(yy, sf, groups, n_groups, alpha)
+    lfc = (beta[:, 1] - beta[:, 0]) / math.log(2.0)
+    sw = np.stack([w[:, groups == g].sum(axis=1) for g in range(n_groups)], axis=1)
+    se = np.sqrt((1.0 / sw).sum(axis=1)) / math.log(2.0)
+    h = w / sw[:, groups]
+    rob = robust_moments_dispersion(q, groups, n_groups)
+    pr2 = (yy - mu) ** 2 / (mu + rob[:, None] * mu ** 2)
+    cooks = pr2 / n_groups * h / (1.0 - h) ** 2
+    return gene, alpha, lfc, se, cooks
+
+
+def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: float, cooks_min_reps: int = 3,
+                replace: bool = False):
+    """mapInPandas function: MAP dispersion, Wald test and Cook's distance per gene.
+
+    With ``replace`` and at least MIN_REPLICATES_FOR_REPLACE replicates in a group, counts whose
+    Cook's distance exceeds the F(p, m - p) 0.99 quantile (samples of such groups only) are replaced
+    by trimmed-mean normalised count x size factor (truncated to an integer) and those genes are
+    refitted (gene-wise and MAP dispersion, Wald) with the same size factors, trend and prior.
+    """
     sf = np.asarray(sf, float)
     groups = np.asarray(groups, int)
     n_groups = int(groups.max()) + 1
@@ -26,6 +109,9 @@ def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: fl
     sd = math.sqrt(prior_var)
     counts_per_group = np.bincount(groups, minlength=n_groups)
     cooks_cols = counts_per_group[groups] >= cooks_min_reps
+    replace_cols = counts_per_group[groups] >= MIN_REPLICATES_FOR_REPLACE
+    replace = bool(replace and replace_cols.any() and S > n_groups)
+    cutoff = M.f_quantile_df1_2(COOKS_QUANTILE, float(S - n_groups)) if S > n_groups else np.inf
 
     def run(batches):
         for pdf in batches:
@@ -35,6 +121,7 @@ def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: fl
                 out[c] = np.nan
             out["dispGeneEst"] = pdf["dispGeneEst"].astype(float).values
             out["allZero"] = pdf["allZero"].astype(bool).values
+            out["replaced"] = False
             if n == 0:
                 yield out
                 continue
@@ -45,33 +132,31 @@ def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: fl
             out["dispFit"] = fit
             if nz.any():
                 yy = y[nz]
-                gene = out["dispGeneEst"].values[nz]
                 lf = np.log(fit[nz])
-                mu0 = np.empty_like(yy)
-                q = yy / sf[None, :]
-                for g in range(n_groups):
-                    m = groups == g
-                    mu0[:, m] = q[:, m].mean(axis=1)[:, None] * sf[None, m]
-                mu0 = np.maximum(mu0, MIN_MU)
-                obj = lambda la: M.nb_loglik_cr(la, yy, mu0, groups, n_groups) - (la - lf[:, None]) ** 2 / (2.0 * prior_var)
-                best = np.clip(np.exp(M.maximise_log_alpha(obj, lo, hi, yy.shape[0])), MIN_DISP, max_disp(S))
-                outlier = np.log(gene) > lf + OUTLIER_SD * sd
-                alpha = np.where(outlier, gene, best)
-                beta, mu, w = M.group_fit(yy, sf, groups, n_groups, alpha)
-                lfc = (beta[:, 1] - beta[:, 0]) / math.log(2.0)
-                sw = np.stack([w[:, groups == g].sum(axis=1) for g in range(n_groups)], axis=1)
-                se = np.sqrt((1.0 / sw).sum(axis=1)) / math.log(2.0)
+                gene = out["dispGeneEst"].values[nz]
+                gene, alpha, lfc, se, cooks = _fit_block(yy, sf, groups, n_groups, lf, prior_var, lo, hi, S, sd, gene)
+                repl = np.zeros(yy.shape[0], bool)
+                if replace:
+                    hit = (cooks > cutoff) & replace_cols[None, :]
+                    repl = hit.any(axis=1)
+                    if repl.any():
+                        tm = trimmed_mean(yy[repl] / sf[None, :])
+                        new = yy[repl].copy()
+                        sub = hit[repl]
+                        new[sub] = np.floor((tm[:, None] * sf[None, :]))[sub]
+                        g2, a2, l2, s2, c2 = _fit_block(new, sf, groups, n_groups, lf[repl], prior_var, lo, hi, S, sd)
+                        gene[repl], alpha[repl], lfc[repl], se[repl], cooks[repl] = g2, a2, l2, s2, c2
+                mc = (np.nanmax(np.where(cooks_cols[None, :], cooks, -np.inf), axis=1)
+                      if cooks_cols.any() else np.full(yy.shape[0], np.nan))
                 stat = lfc / se
-                h = w / sw[:, groups]
-                pr2 = (yy - mu) ** 2 / (mu + alpha[:, None] * mu ** 2)
-                cooks = pr2 / n_groups * h / (1.0 - h) ** 2
-                mc = np.where(cooks_cols.any(), np.nanmax(np.where(cooks_cols[None, :], cooks, -np.inf), axis=1), np.nan)
+                out.loc[nz, "dispGeneEst"] = gene
                 out.loc[nz, "dispersion"] = alpha
                 out.loc[nz, "log2FoldChange"] = lfc
                 out.loc[nz, "lfcSE"] = se
                 out.loc[nz, "stat"] = stat
                 out.loc[nz, "pvalue"] = M.norm_two_sided_p(stat)
                 out.loc[nz, "maxCooks"] = mc
+                out.loc[nz, "replaced"] = repl
             yield out
 
     return run

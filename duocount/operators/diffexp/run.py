@@ -30,8 +30,8 @@ def differential_abundance(long_counts: DataFrame, filtering: bool = True, level
     """Negative-binomial two-group test of ``entity_id, sample, condition, cnt`` (test over control).
 
     ``filtering=True``: Cook's cut-off and independent filtering (the default mode); ``False``: neither,
-    BH over every p-value (D16). Outlier replacement needs 7 replicates per group and is not applied
-    below that, as in the published default. ``results=False`` stops after the dispersion trend (all
+    BH over every p-value (D16). In filtered mode, counts flagged by Cook's distance in groups with
+    at least 7 replicates are replaced and those genes refitted (D09), as in the published default. ``results=False`` stops after the dispersion trend (all
     the PCA needs). Per-gene tables are materialised in the checkpoint folder between passes.
     """
     log = {"replicates": None, "run": False, "success": False, "reason": None}
@@ -60,7 +60,7 @@ def differential_abundance(long_counts: DataFrame, filtering: bool = True, level
             prior_var = D.prior_variance(gw, trend, S)
             log["prior_var"] = prior_var
             res = gw.select("entity_id", "counts", "baseMean", "allZero", "dispGeneEst").mapInPandas(
-                FT.wald_mapper(sf, design.groups, trend, prior_var), FT.RESULT_SCHEMA)
+                FT.wald_mapper(sf, design.groups, trend, prior_var, replace=filtering), FT.RESULT_SCHEMA)
             if materialise:
                 res = cut_lineage(res, "wald")
             if filtering:

@@ -149,3 +149,20 @@ def test_numerics():
         assert abs(M.lgamma(np.array([x]))[0] - math.lgamma(x)) < 1e-9 * max(1, abs(math.lgamma(x)))
     assert abs(M.f_quantile_df1_2(0.99, 4) - 18.0) < 1e-9
     assert abs(M.norm_two_sided_p(np.array([1.959963985]))[0] - 0.05) < 1e-8
+
+
+def test_outlier_replacement_with_seven_replicates(spark):
+    rng = np.random.default_rng(8)
+    samples = [f"r{i}_MP_control" for i in range(7)] + [f"r{i}_MP_test" for i in range(7)]
+    rows = []
+    for g in range(150):
+        for s in samples:
+            c = int(rng.poisson(rng.gamma(20.0, 100.0 / 20.0)))
+            if g == 0 and s == "r0_MP_test":
+                c = 5000  # one wild count
+            rows.append((str(g), s, s.split("_")[-1], c))
+    df = spark.createDataFrame(rows, "entity_id string, sample string, condition string, cnt long")
+    with_rep = differential_abundance(df, filtering=True, with_pca=False).results.where("entity_id = '0'").first()
+    without = differential_abundance(df, filtering=False, with_pca=False).results.where("entity_id = '0'").first()
+    assert with_rep.replaced
+    assert abs(with_rep.log2FoldChange) < 0.5 < abs(without.log2FoldChange)
