@@ -13,6 +13,7 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +83,16 @@ def fit_trend(genes: DataFrame, n_samples: int):
     """
     base = (genes.where(~F.col("allZero") & (F.col("dispGeneEst") >= F.lit(100 * MIN_DISP)))
             .select((F.lit(1.0) / F.col("baseMean")).alias("x"), F.col("dispGeneEst").alias("y")))
+    # two doubles per gene, read by every IRLS step: kept in executor memory (spilling to disk) for
+    # the duration of the fit; a lost block is recomputed from the materialised gene table
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit_trend_iterations(base)
+    finally:
+        base.unpersist()
+
+
+def _fit_trend_iterations(base: DataFrame):
     a0, a1 = 0.1, 1.0
     for _ in range(TREND_MAX_OUTER):
         fitted = F.lit(a0) + F.lit(a1) * F.col("x")
