@@ -130,7 +130,7 @@ def feature_totals(features: DataFrame, sites: DataFrame, keys: Sequence[str], b
 
 def gene_scores(features: DataFrame, ins: DataFrame, keys: Sequence[str], by: Sequence[str] = (),
                 conditions: Sequence[str] = CONDITIONS, bounds: str = "open", buffer_frac: float = 0.0,
-                bin_width=None, strand_col: str = None) -> DataFrame:
+                bin_width=None, strand_col: str = None, materialise_sites: bool = False) -> DataFrame:
     """Per-gene score table in long form, one row per feature and condition.
 
     nim_score = (distinct sites in gene / gene kb) / (distinct sites in condition / 10^6)
@@ -139,11 +139,16 @@ def gene_scores(features: DataFrame, ins: DataFrame, keys: Sequence[str], by: Se
     so that an essential gene (score 0) sits inside every percentile window.
     ``strand_col`` (off by default): for features on the ``-`` strand the percentages are measured
     from the end, first = 100 * (end - last site) / feat_length, last = 100 * (end - first site) / feat_length.
+    ``materialise_sites``: write the per-site table once to the checkpoint folder, so the gene totals
+    and the genome totals read it instead of each scanning and aggregating the insertion table.
     """
     by = list(by)
     if strand_col and strand_col not in keys:
         keys = list(keys) + [strand_col]
     sites = insertion_sites(ins, by)
+    if materialise_sites:
+        from duocount.session import cut_lineage
+        sites = cut_lineage(sites, "sites")
     if not bin_width:
         bin_width = iv.choose_bin_width(_window_bounds(features, buffer_frac), "_lo", "_hi")
     tot = feature_totals(features, sites, keys, by, conditions, bounds, buffer_frac, bin_width)

@@ -23,7 +23,7 @@ def score_tables(spark: SparkSession, sf_dir: str, bin_width=None, materialise:
     """
     feat = adapters.features(spark, sf_dir)
     ins = adapters.insertions(spark, sf_dir)
-    scores = ins_ops.gene_scores(feat, ins, FEATURE_KEYS, bin_width=bin_width)
+    scores = ins_ops.gene_scores(feat, ins, FEATURE_KEYS, bin_width=bin_width, materialise_sites=materialise)
     return cut_lineage(scores) if materialise else scores
 
 
