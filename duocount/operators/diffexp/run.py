@@ -82,7 +82,7 @@ def differential_abundance(long_counts: DataFrame, filtering: bool = True, level
         raise
 
 
-def attach_results(df: DataFrame, res: DataFrame, entity: str, prefix: str = "deseq_") -> DataFrame:
+def attach_results(df: DataFrame, res: DataFrame, entity: str, prefix: str = "de_") -> DataFrame:
     """Prefix the result columns and left-join them back on the entity."""
     cols = [F.col(c).alias(prefix + c) for c in DE_RESULT_COLUMNS]
     r = res.select(F.col("entity_id").alias("_eid"), *cols)

@@ -11,11 +11,11 @@ from duocount.sources.store import load_comparison, save_comparison
 from duocount.streaming.landing import ingest_available, landing_schema
 
 GFF = ("#gff-version 3\n#second header\n"
-       "1\tpimms\tmisc_feature\t7212\t7212\t5\t.\t.\tnote=a#b;\n"
+       "1\ttnseq\tmisc_feature\t7212\t7212\t5\t.\t.\tnote=a#b;\n"
        "# mid comment\n"
-       "1\tpimms\tmisc_feature\t7300\t7300\t.\t.\t.\tnote=insertion;\n"
+       "1\ttnseq\tmisc_feature\t7300\t7300\t.\t.\t.\tnote=insertion;\n"
        "bad line\n"
-       "2\tpimms\tmisc_feature\t10\t10\tx\t.\t.\tnote=insertion;\n"
+       "2\ttnseq\tmisc_feature\t10\t10\tx\t.\t.\tnote=insertion;\n"
        "# tail\n")
 
 
@@ -46,7 +46,7 @@ def test_header_and_roundtrip(spark, tmp_out):
     out = os.path.join(tmp_out, "out")
     CO.write_coordinates(coords, out, CO.read_header(spark, p))
     lines = "".join(open(os.path.join(out, f)).read() for f in sorted(os.listdir(out)) if f.startswith("part-"))
-    assert lines.startswith("#gff-version 3\n#second header\n1\tpimms")
+    assert lines.startswith("#gff-version 3\n#second header\n1\ttnseq")
     back = CO.read_coordinates(spark, out + "/part-*")
     assert back.count() == 3
 
