@@ -59,7 +59,7 @@ def _n_buckets(df: DataFrame, n_buckets) -> int:
 
 
 def with_buckets(vals: DataFrame, value: str, by: Sequence[str], n_buckets: int,
-                 bucket_col: str = "_bkt") -> DataFrame:
+                 bucket_col: str = "_bkt", cut_source: DataFrame = None) -> DataFrame:
     """Add ``bucket_col`` = number of quantile cut points strictly below ``value``.
 
     Cut points: one ``percentile_approx`` per group (groups x buckets numbers). With no group the
@@ -73,7 +73,10 @@ def with_buckets(vals: DataFrame, value: str, by: Sequence[str], n_buckets: int,
     v = F.col(value).cast("double")
     x_sql = f"CAST({_sql_name(value)} AS DOUBLE)"
     if not by:
-        row = vals.agg(F.percentile_approx(v, probs, APPROX_ACCURACY).alias("c")).first()
+        # cut points only balance the buckets (results never depend on them), so they may come from
+        # the rows before de-duplication: one scan with a partial aggregate, no extra shuffle
+        src = cut_source if cut_source is not None else vals
+        row = src.agg(F.percentile_approx(v, probs, APPROX_ACCURACY).alias("c")).first()
         cuts = sorted(set(x for x in (row[0] or []) if x is not None))
         return vals.withColumn(bucket_col, count_below(cuts, x_sql) if cuts else F.lit(0))
     cuts = vals.groupBy(*by).agg(F.percentile_approx(v, probs, APPROX_ACCURACY).alias("_cuts"))
@@ -90,9 +93,9 @@ def ordered_distinct(df: DataFrame, value: str, by: Sequence[str] = (), n_bucket
     """
     by = list(by)
     nb = _n_buckets(df, n_buckets)
-    vals = (df.where(F.col(value).isNotNull())
-            .groupBy(*by, value).agg(F.count(F.lit(1)).alias("_m")))
-    vals = with_buckets(vals, value, by, nb)
+    present = df.where(F.col(value).isNotNull())
+    vals = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_m"))
+    vals = with_buckets(vals, value, by, nb, cut_source=present.select(value))
     w_in = Window.partitionBy(*by, "_bkt").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     vals = vals.withColumn("_below_in", F.coalesce(F.sum("_m").over(w_in), F.lit(0)))
     sizes = vals.groupBy(*by, "_bkt").agg(F.sum("_m").alias("_bn"))
