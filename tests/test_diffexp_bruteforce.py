@@ -77,3 +77,53 @@ def test_distributed_matches_numpy(spark):
         a, b = j[c].to_numpy(float), j[c + "_np"].to_numpy(float)
         assert np.array_equal(np.isnan(a), np.isnan(b)), c
         assert np.allclose(a[~np.isnan(a)], b[~np.isnan(b)], rtol=1e-6, atol=1e-9), c
+
+
+def bh(p):
+    p = np.asarray(p, float)
+    ok = ~np.isnan(p)
+    out = np.full(len(p), np.nan)
+    if ok.sum() == 0:
+        return out
+    v = p[ok]
+    n = len(v)
+    rmax = np.searchsorted(np.sort(v), v, side="right")
+    q = v * n / rmax
+    desc = np.argsort(-v, kind="stable")
+    adj = np.empty(n)
+    adj[desc] = np.minimum(np.minimum.accumulate(q[desc]), 1.0)
+    out[ok] = adj
+    return out
+
+
+def test_independent_filtering_matches_numpy(spark):
+    from duocount.operators.diffexp import select as SEL
+    rng = np.random.default_rng(21)
+    n = 3000
+    base = np.round(rng.gamma(0.6, 80.0, n), 3)
+    base[:150] = 0.0
+    p = np.where(rng.uniform(size=n) < 0.15, rng.uniform(0, 1e-3, n), rng.uniform(0, 1, n))
+    p[base < 5] = rng.uniform(0, 1, (base < 5).sum())
+    p[:150] = np.nan
+    pdf = pd.DataFrame({"entity_id": [str(i) for i in range(n)], "baseMean": base,
+                        "pvalue": [None if np.isnan(v) else float(v) for v in p]})
+    res = spark.createDataFrame(pdf, "entity_id string, baseMean double, pvalue double")
+    out, info = SEL.independent_filtering(res)
+    got = out.toPandas().set_index("entity_id").loc[pdf.entity_id]
+    lower = np.mean(base == 0)
+    theta = np.linspace(lower, 0.95 if lower < 0.95 else 1.0, SEL.N_THETA)
+    cut = np.percentile(base, 100 * theta)
+    num = np.array([np.sum(bh(np.where(base >= c, p, np.nan)) < SEL.ALPHA) for c in cut], float)
+    assert info["rejections"] == num.tolist()
+    if num.max() <= SEL.MIN_REJECTIONS:
+        j = 0
+    else:
+        fit = M.lowess(theta, num, SEL.LOWESS_FRAC)
+        pos = num > 0
+        thresh = fit.max() - np.sqrt(np.mean((num[pos] - fit[pos]) ** 2))
+        j = int(np.nonzero(num > thresh)[0][0])
+    assert abs(info["baseMean_cutoff"] - cut[j]) < 1e-9
+    exp = bh(np.where(base >= cut[j], p, np.nan))
+    a = got.padj.to_numpy(float)
+    assert np.array_equal(np.isnan(a), np.isnan(exp))
+    assert np.allclose(a[~np.isnan(a)], exp[~np.isnan(exp)], rtol=1e-9)
