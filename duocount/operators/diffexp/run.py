@@ -45,7 +45,11 @@ def differential_abundance(long_counts: DataFrame, filtering: bool = True, level
         if materialise:
             matrix = cut_lineage(matrix, "counts")
         sf = C.size_factors(matrix, design)
-        norm = C.normalised(matrix, sf)
+        # the dispersion and Wald passes are compute-bound numpy over Arrow batches: spread the
+        # entities over at least every core (byte-sized partitions of a small table collapse to one)
+        spark = long_counts.sparkSession
+        parts = max(matrix.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+        norm = C.normalised(matrix.repartition(parts, "entity_id"), sf)
         gw = norm.mapInPandas(D.genewise_mapper(sf, design.groups),
                               "entity_id string, counts array<bigint>, norm array<double>, baseMean double, "
                               "rowVar double, allZero boolean, dispGeneEst double")
