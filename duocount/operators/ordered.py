@@ -166,7 +166,15 @@ def next_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], take:
     """
     by, order = list(by), list(order)
     nb = _n_buckets(df, n_buckets)
-    b = with_buckets(df, order[0], by, nb)
+    # bucket on a non-decreasing proxy of the first two order keys, so rows sharing the first key
+    # (e.g. one start coordinate) still spread over buckets by the second; any non-decreasing
+    # function of the order keeps every lower bucket entirely before every higher one
+    numeric = [f.name for f in df.schema.fields if f.dataType.typeName() in ("long", "integer", "short", "double", "float")]
+    if len(order) > 1 and order[0] in numeric and order[1] in numeric:
+        proxy = F.col(order[0]).cast("double") + F.col(order[1]).cast("double") / F.lit(float(2 ** 32))
+        b = with_buckets(df.withColumn("_ord", proxy), "_ord", by, nb).drop("_ord")
+    else:
+        b = with_buckets(df, order[0], by, nb)
     w = Window.partitionBy(*by, "_bkt").orderBy(*order)
     b = b.withColumn("_lead_in", F.lead(take).over(w))
     firsts = b.groupBy(*by, "_bkt").agg(

@@ -58,3 +58,13 @@ def test_next_in_order_equals_lead(spark):
     j = got.join(ref, ["seq", "st", "en", "tag"])
     assert j.count() == 2000
     assert j.where(~F.col("nxt").eqNullSafe(F.col("ref"))).count() == 0
+
+
+def test_next_in_order_hot_start(spark):
+    rows = [("s", 100, 100 + i, f"L{i:04d}") for i in range(600)] + [("s", 50 + i, 60 + i, f"M{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "seq string, st long, en long, tag string")
+    got = next_in_order(df, ["seq"], ["st", "en", "tag"], "en", "nxt", n_buckets=8)
+    w = Window.partitionBy("seq").orderBy("st", "en", "tag")
+    ref = df.withColumn("ref", F.lead("en").over(w))
+    j = got.join(ref, ["seq", "st", "en", "tag"])
+    assert j.count() == 640 and j.where(~F.col("nxt").eqNullSafe(F.col("ref"))).count() == 0
