@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
+MAX_GROUP_BUCKETS = 256     # buckets per group when cut points stay in the plan (grouped case)
+MAX_BUCKETS = 1024          # finest cut-point grid of the ungrouped case
+ROWS_PER_BUCKET = 200_000   # ungrouped case: most rows one window task sorts
 APPROX_ACCURACY = 10000
 
 
@@ -55,11 +58,11 @@ def _n_buckets(df: DataFrame, n_buckets) -> int:
     if n_buckets:
         return int(n_buckets)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(DEFAULT_BUCKETS, 4 * parts)
+    return min(MAX_GROUP_BUCKETS, max(DEFAULT_BUCKETS, 4 * parts))
 
 
 def with_buckets(vals: DataFrame, value: str, by: Sequence[str], n_buckets: int,
-                 bucket_col: str = "_bkt", cut_source: DataFrame = None) -> DataFrame:
+                 bucket_col: str = "_bkt", cut_source: DataFrame = None, adaptive: bool = False) -> DataFrame:
     """Add ``bucket_col`` = number of quantile cut points strictly below ``value``.
 
     Cut points: one ``percentile_approx`` per group (groups x buckets numbers). With no group the
@@ -76,8 +79,19 @@ def with_buckets(vals: DataFrame, value: str, by: Sequence[str], n_buckets: int,
         # cut points only balance the buckets (results never depend on them), so they may come from
         # the rows before de-duplication: one scan with a partial aggregate, no extra shuffle
         src = cut_source if cut_source is not None else vals
-        row = src.agg(F.percentile_approx(v, probs, APPROX_ACCURACY).alias("c")).first()
-        cuts = sorted(set(x for x in (row[0] or []) if x is not None))
+        if adaptive:
+            # one job returns a fine cut grid and the row count; keep just enough cuts that no
+            # bucket holds more than ROWS_PER_BUCKET rows (a small input is one bounded bucket)
+            fine = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
+            row = src.agg(F.percentile_approx(v, fine, APPROX_ACCURACY).alias("c"),
+                          F.count(F.lit(1)).alias("n")).first()
+            nb = min(MAX_BUCKETS, max(1, -(-int(row["n"] or 0) // ROWS_PER_BUCKET)))
+            grid = row["c"] or []
+            picked = [grid[round(k * MAX_BUCKETS / nb) - 1] for k in range(1, nb)] if grid else []
+            cuts = sorted(set(x for x in picked if x is not None))
+        else:
+            row = src.agg(F.percentile_approx(v, probs, APPROX_ACCURACY).alias("c")).first()
+            cuts = sorted(set(x for x in (row[0] or []) if x is not None))
         return vals.withColumn(bucket_col, count_below(cuts, x_sql) if cuts else F.lit(0))
     cuts = vals.groupBy(*by).agg(F.percentile_approx(v, probs, APPROX_ACCURACY).alias("_cuts"))
     return (vals.join(cuts, by, "left")
@@ -95,7 +109,7 @@ def ordered_distinct(df: DataFrame, value: str, by: Sequence[str] = (), n_bucket
     nb = _n_buckets(df, n_buckets)
     present = df.where(F.col(value).isNotNull())
     vals = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_m"))
-    vals = with_buckets(vals, value, by, nb, cut_source=present.select(value))
+    vals = with_buckets(vals, value, by, nb, cut_source=present.select(value), adaptive=n_buckets is None)
     w_in = Window.partitionBy(*by, "_bkt").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     vals = vals.withColumn("_below_in", F.coalesce(F.sum("_m").over(w_in), F.lit(0)))
     sizes = vals.groupBy(*by, "_bkt").agg(F.sum("_m").alias("_bn"))

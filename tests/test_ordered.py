@@ -68,3 +68,17 @@ def test_next_in_order_hot_start(spark):
     ref = df.withColumn("ref", F.lead("en").over(w))
     j = got.join(ref, ["seq", "st", "en", "tag"])
     assert j.count() == 640 and j.where(~F.col("nxt").eqNullSafe(F.col("ref"))).count() == 0
+
+
+def test_adaptive_buckets_exact(spark, monkeypatch):
+    import duocount.operators.ordered as OR
+    monkeypatch.setattr(OR, "ROWS_PER_BUCKET", 300)  # force many adaptive buckets on a small input
+    rng = np.random.default_rng(13)
+    vals = rng.integers(0, 400, 5000).astype(float)
+    vals[:1700] = 7.0  # one value holds a third of the rows
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double").withColumn("id", F.monotonically_increasing_id())
+    got = OR.min_rank_pct(df, "x", "p")
+    ref = df.withColumn("q", F.rank().over(Window.orderBy("x")) / F.count("x").over(Window.partitionBy()))
+    assert got.join(ref.select("id", "q"), "id").where(~F.col("p").eqNullSafe(F.col("q"))).count() == 0
+    q = OR.exact_quantiles(df, "x", {"a": 0.1, "b": 0.5, "c": 0.97}).first()
+    assert np.allclose([q.a, q.b, q.c], np.percentile(vals, [10, 50, 97]))
