@@ -199,16 +199,45 @@ def feature_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return cut_lineage(source.mapInArrow(make, "doc_id long, x array<float>"), "quality-features")
 
 
+def _chosen(ids: DataFrame, rows: int) -> DataFrame:
+    return ids.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
+def _collected(table: DataFrame, chosen: DataFrame) -> np.ndarray:
+    found = table.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"))
+    return _matrix(found.orderBy("doc_id").collect())  # at most the chosen rows, short vectors
+
+
 def train(table: DataFrame, positives: DataFrame, unlabelled: DataFrame, sample_rows: int = 20_000) -> Scorer | None:
     """Fit on at most ``sample_rows`` positive and 2 * ``sample_rows`` unlabelled rows of a feature
     table. ``positives`` and ``unlabelled`` hold the doc_ids of either; the least hashes are taken."""
+    return fit(_collected(table, _chosen(positives, sample_rows)), _collected(table, _chosen(unlabelled, 2 * sample_rows)))
+
 
-    def some(ids: DataFrame, rows: int) -> np.ndarray:
-        chosen = ids.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        found = table.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"))
-        return _matrix(found.orderBy("doc_id").collect())  # at most ``rows`` short vectors
+def train_on_texts(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, sample_rows: int = 20_000,
+                   doc_id: str = "doc_id", text: str = "text") -> Scorer | None:
+    """The same fit, making features of the sampled documents only."""
+    chosen = cut_lineage(_chosen(positives, sample_rows).withColumn("kind", F.lit(1)).union(
+        _chosen(unlabelled, 2 * sample_rows).withColumn("kind", F.lit(0))), "quality-sample")
+    some = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(
+        F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
+    table = feature_table(some)
+    return fit(*[_collected(table, chosen.where(F.col("kind") == kind).select("doc_id")) for kind in (1, 0)])
+
+
+def keep_good(docs: DataFrame, scorer: Scorer | None, threshold: float, text: str = "text") -> DataFrame:
+    """The documents scoring ``threshold`` or more, with their columns; all without a scorer."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.ones(batch.num_rows, dtype=bool)
+            if scorer is not None:
+                for a, b, x in features(batch.column(at)):
+                    good[a:b] = _sigmoid(scorer.logit(x)) >= threshold
+            yield batch.filter(pa.array(good))
 
-    return fit(some(positives, sample_rows), some(unlabelled, 2 * sample_rows))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def score(table: DataFrame, scorer: Scorer | None) -> DataFrame:
