@@ -35,6 +35,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ from duocount.llm.words import shingle_sets
 from duocount.session import cut_lineage
 
 PERCENT, WORDS = 75, 5
-BUCKET_SHINGLES = 1_500_000  # shingles in one hash range, on average
+BUCKET_SHINGLES = 3_000_000  # shingles in one hash range, on average
 BLOCK, LEAF = 512, 48
 
 
@@ -74,6 +75,7 @@ def shared_shingles(docs: DataFrame, buckets: int, k: int = WORDS) -> DataFrame:
     shift = np.uint64(64 - 24)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32  # slices are numbered by task
         for batch in batches:
             for _, _, values, first in shingle_sets(batch.column(1), k):
                 spans = [(_key(values[s:e]), s, e) for s, e in zip(first[:-1], first[1:]) if e > s]
@@ -96,6 +98,7 @@ def shared_shingles(docs: DataFrame, buckets: int, k: int = WORDS) -> DataFrame:
                 bucket = ((v >> shift) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
                 low = (v & np.uint64(0xFFFFFFFFFF)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                part += 1
                 rows = [(-1, keys.tobytes(), here.astype("<i4").tobytes(), b"")]
                 for g in range(buckets):
                     s, e = cut[g], cut[g + 1]
@@ -104,11 +107,12 @@ def shared_shingles(docs: DataFrame, buckets: int, k: int = WORDS) -> DataFrame:
                         names = np.where(held >= 0, keys[np.maximum(held, 0)], 0)
                         rows.append((g, names.tobytes(), place.astype("<u2" if len(held) < 65536 else "<u4").tobytes(), low[s:e].tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3)]],
-                    names=["bucket", "names", "places", "hashes"])
+                    [pa.array([part] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
+                     *[pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3)]],
+                    names=["slice", "bucket", "names", "places", "hashes"])
 
-    schema = "bucket int, names binary, places binary, hashes binary"
-    sent = docs.mapInArrow(send, schema).repartition(F.when(F.col("bucket") < 0, F.xxhash64("names")).otherwise(F.col("bucket")))
+    schema = "slice long, bucket int, names binary, places binary, hashes binary"
+    sent = docs.mapInArrow(send, schema).repartition(F.when(F.col("bucket") < 0, F.col("slice")).otherwise(F.col("bucket")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges: dict[int, list] = {}
@@ -116,35 +120,52 @@ def shared_shingles(docs: DataFrame, buckets: int, k: int = WORDS) -> DataFrame:
             for row in batch.to_pylist():
                 names = np.frombuffer(row["names"], np.int64)
                 if row["bucket"] < 0:
-                    yield _counts(names, np.frombuffer(row["places"], "<i4").astype(np.int64))
+                    yield _counts([(row["slice"], names, np.frombuffer(row["places"], "<i4"))])
                     continue
                 raw = np.frombuffer(row["hashes"], np.uint8).reshape(-1, 5)
                 wide = np.zeros((len(raw), 8), np.uint8)
                 wide[:, :5] = raw
                 place = np.frombuffer(row["places"], "<u2" if len(row["places"]) == 2 * len(raw) else "<u4")
-                ranges.setdefault(row["bucket"], []).append((wide.view("<u8").ravel(), names[place]))
+                ranges.setdefault(row["bucket"], []).append((row["slice"], wide.view("<u8").ravel(), names[place]))
         for parts in ranges.values():
-            v, owner = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((owner, v))
-            v, owner = v[order], owner[order]
-            same = v[1:] == v[:-1]
-            repeat = np.zeros(len(v), dtype=bool)
-            repeat[1:] = same & (owner[1:] == owner[:-1])
-            v, owner = v[~repeat], owner[~repeat]
-            same = v[1:] == v[:-1]
-            shared = owner == 0
-            shared[1:] |= same
-            shared[:-1] |= same
-            marked = np.zeros(len(v), dtype=bool)  # a shingle sent without an owner is shared by itself
-            marked[:] = shared
-            names, n = np.unique(owner[marked & (owner != 0)], return_counts=True)
-            yield _counts(names, n)
-
-    return sent.mapInArrow(count, "node long, held long").groupBy("node").agg(F.sum("held").alias("held"))
-
-
-def _counts(names: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(n.astype(np.int64))], names=["node", "held"])
+            v, owner = np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
+            order = np.argsort(v, kind="stable")
+            same = v[order][1:] == v[order][:-1]
+            other = owner[order][1:] != owner[order][:-1]
+            # a run of equal shingles is shared if it has two owners, or none (known to be shared)
+            new = np.concatenate([[True], ~same])
+            run = np.cumsum(new) - 1
+            shared = np.bincount(run[1:][same & other], minlength=run[-1] + 1) > 0
+            shared[run[owner[order] == 0]] = True
+            held = np.empty(len(v), dtype=bool)
+            held[order] = shared[run]
+            out, at = [], 0
+            for part, hashes, names in parts:
+                mine = names[held[at:at + len(hashes)] & (names != 0)]
+                at += len(hashes)
+                if len(mine):
+                    out.append((part, *np.unique(mine, return_counts=True)))
+            yield _counts(out)
+
+    answers = sent.mapInArrow(count, "slice long, names binary, counts binary").repartition("slice")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices: dict[int, list] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                slices.setdefault(row["slice"], []).append((np.frombuffer(row["names"], np.int64), np.frombuffer(row["counts"], "<i4")))
+        for parts in slices.values():
+            names, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            held = np.bincount(place, weights=np.concatenate([p[1] for p in parts]))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(held.astype(np.int64))], names=["node", "held"])
+
+    return answers.mapInArrow(add, "node long, held long").groupBy("node").agg(F.sum("held").alias("held"))
+
+
+def _counts(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()),
+         pa.array([r[2].astype("<i4").tobytes() for r in rows], pa.binary())], names=["slice", "names", "counts"])
 
 
 def point_sets(docs: DataFrame, points: DataFrame, k: int = WORDS) -> DataFrame:
