@@ -84,16 +84,21 @@ class IdEncoder:
         """One bytes object a text; null counts as empty."""
         if not self.by_part:
             return self._encode([t.as_py() or "" for t in texts])
-        parts = [self._parts(t) if t.is_valid else [] for t in texts]
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        seen = set().union(*parts)
-        self._learn([p for p in seen if p not in self.cache], self.cache)
-        found = [b"".join(map(self.cache.__getitem__, row)) for row in parts]
-        for part in seen:
+        get = self.cache.get
+        rows = [self._parts(t) if t.is_valid else [] for t in texts]
+        found = [list(map(get, row)) for row in rows]
+        holes = [[i for i, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
+        missing = {row[i] for row, hole in zip(rows, holes) for i in hole}
+        self._learn(list(missing), self.cache)
+        for row, f, hole in zip(rows, found, holes):
+            for i in hole:
+                f[i] = self.cache[row[i]]
+        for part in missing:
             if len(part) > CACHE_BYTES:
                 self.cache.pop(part, None)
-        return found
+        return [b"".join(f) for f in found]
 
 
 def _drops_white_space(spec: dict) -> bool:
