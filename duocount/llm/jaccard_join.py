@@ -44,7 +44,8 @@ from duocount.llm.words import shingle_sets
 from duocount.session import cut_lineage
 
 PERCENT, WORDS = 75, 5
-BUCKET_SHINGLES = 3_000_000  # shingles in one hash range, on average
+BUCKET_SHINGLES = 2_000_000  # shingles in one hash range, on average
+SEND_BYTES = 4 << 20  # text behind one message to each hash range
 BLOCK, LEAF = 512, 48
 
 
@@ -77,7 +78,7 @@ def shared_shingles(docs: DataFrame, buckets: int, k: int = WORDS) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32  # slices are numbered by task
         for batch in batches:
-            for _, _, values, first in shingle_sets(batch.column(1), k):
+            for _, _, values, first in shingle_sets(batch.column(1), k, SEND_BYTES):
                 spans = [(_key(values[s:e]), s, e) for s, e in zip(first[:-1], first[1:]) if e > s]
                 once = {key: (s, e) for key, s, e in spans}
                 if not once:

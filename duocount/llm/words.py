@@ -13,7 +13,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 LONG_WORD = 256
 
 _U = np.uint64
