@@ -123,30 +123,33 @@ def noisy_or(p: np.ndarray, first_sentence: np.ndarray) -> np.ndarray:
 
 
 def fit(bag: Bags, label: np.ndarray, steps: int = 300, rate: float = 0.1, ridge: float = 1e-5) -> Model:
-    """Weights from bags and their labels."""
+    """Weights from bags and their labels; without a word that tells them apart, the share of label 1."""
     share = float(label.mean()) if len(label) else 0.0
     none = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, share)
     if min(int(label.sum()), int((1 - label).sum())) < MIN_ROWS:
         return none
     n_sentences = len(bag.begin)
-    doc_of = np.repeat(np.arange(len(label)), np.diff(bag.first_sentence))
-    sentence = np.repeat(np.arange(n_sentences), np.diff(bag.first_word))
-    seen, inverse = np.unique(bag.words, return_inverse=True)
-    order = np.lexsort((doc_of[sentence], inverse))
-    v, d = inverse[order], doc_of[sentence][order]
-    once = np.ones(len(v), dtype=bool)
-    once[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
-    in_one = np.bincount(v[once], weights=label[d[once]], minlength=len(seen))
-    in_any = np.bincount(v[once], minlength=len(seen))
+    doc_of = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(bag.first_sentence))
     ones, zeros = int(label.sum()), int((1 - label).sum())
+    by_label = []  # words and their documents, for either label
+    for y in (0, 1):
+        each = [np.unique(bag.words[bag.first_word[bag.first_sentence[r]]:bag.first_word[bag.first_sentence[r + 1]]])
+                for r in np.flatnonzero(label == y)]
+        by_label.append(np.unique(np.concatenate(each), return_counts=True))
+    seen = np.union1d(by_label[0][0], by_label[1][0])
+    in_zero, in_one = np.zeros(len(seen)), np.zeros(len(seen))
+    for counts, (words, n) in zip((in_zero, in_one), by_label):
+        counts[np.searchsorted(seen, words)] = n
+    in_any = in_zero + in_one
     rate_any = in_any / len(label)
     error = np.sqrt(np.maximum(rate_any * (1 - rate_any), 1e-12) * (1 / ones + 1 / zeros))
-    apart = np.abs(in_one / ones - (in_any - in_one) / zeros) / error
-    kept = np.flatnonzero((in_any >= MIN_DOCS) & (apart >= MIN_Z))
-    place = np.full(len(seen), -1)
-    place[kept] = np.arange(len(kept))
-    use = place[inverse] >= 0
-    word, first = _distinct(place[inverse][use], np.searchsorted(sentence[use], np.arange(n_sentences + 1)))
+    kept = seen[(in_any >= MIN_DOCS) & (np.abs(in_one / ones - in_zero / zeros) / error >= MIN_Z)]
+    if not len(kept):
+        return none
+    place = np.minimum(np.searchsorted(kept, bag.words), len(kept) - 1).astype(np.int32)
+    use = kept[place] == bag.words
+    sentence = np.repeat(np.arange(n_sentences, dtype=np.int32), np.diff(bag.first_word))[use]
+    word, first = _distinct(place[use], np.searchsorted(sentence, np.arange(n_sentences + 1)))
     where = np.repeat(np.arange(n_sentences), np.diff(first))
     w, c = np.zeros(len(kept)), -4.0
     m, s = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
@@ -161,7 +164,7 @@ def fit(bag: Bags, label: np.ndarray, steps: int = 300, rate: float = 0.1, ridge
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
         step = rate * (m / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.99 ** t)) + 1e-9)
         w, c = w - step[:-1], c - step[-1]
-    return Model(seen[kept], w, float(c), share)
+    return Model(kept, w, float(c), share)
 
 
 def _without_copies(rows: list) -> list:
@@ -213,8 +216,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, doc_id:
     sizes = [np.frombuffer(bytes(r["sizes"]), "<i4") for r in rows]
     first_word = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64) if sizes else np.zeros(1, np.int64)
     first_sentence = np.concatenate([[0], np.cumsum([len(s) for s in sizes])]).astype(np.int64)
+    label = np.array([r["y"] for r in rows], dtype=np.int64)
+    del rows, sizes
     blank = np.zeros(first_sentence[-1], np.int64)
-    return fit(Bags(words, first_word, first_sentence, blank, blank), np.array([r["y"] for r in rows], dtype=np.int64))
+    return fit(Bags(words, first_word, first_sentence, blank, blank), label)
 
 
 def score(docs: DataFrame, model: Model, mark: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
