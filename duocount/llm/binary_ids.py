@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duocount.llm.batches import small_batches
 from duocount.llm.encode import encoder
 from duocount.llm.words import buffers, slices
 from duocount.session import checkpoint_dir, cut_lineage
@@ -149,7 +150,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, length: int =
     folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/duocount-ids/{uuid.uuid4().hex}"
     dtype = "<u2" if max(encoder(tokenizer).size, end_id + 1) <= 1 << 16 else "<u4"
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    source = (docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), whole.alias("text"))
+    source = (small_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), whole.alias("text"))
               .withColumn("h", F.xxhash64("text")))
     ordered = (source.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
                .select("doc_id", "text"))

@@ -39,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duocount.llm.batches import small_batches
 from duocount.llm.components import components
 from duocount.llm.words import shingle_sets
 from duocount.session import cut_lineage
@@ -50,7 +51,7 @@ BLOCK, LEAF = 512, 48
 
 
 def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return small_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
 def _key(hashes: np.ndarray) -> int:

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from duocount.llm.batches import small_batches
 from duocount.llm.encode import encoder
 from duocount.llm.words import buffers, slices
 from duocount.session import cut_lineage
@@ -78,7 +79,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int, doc_id: str
            text: str = "text") -> DataFrame:
     """Every document's pieces: doc_id, start, length, ids_crc32, doc_tokens, and (task, rank_in_task)
     of the piece among those of its length in the writing task."""
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
+    source = small_batches(docs).select(
+                         F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                          F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     end = end_id.to_bytes(4, "little")
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duocount.llm.batches import small_batches
 from duocount.llm.words import _hash_spans, buffers, mix, shingles, slices, spans
 from duocount.session import cut_lineage
 
@@ -188,7 +189,7 @@ def _matrix(rows) -> np.ndarray:
 
 def feature_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the feature vector ``x`` of every row, written once."""
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    source = small_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +238,7 @@ def keep_good(docs: DataFrame, scorer: Scorer | None, threshold: float, text: st
                     good[a:b] = _sigmoid(scorer.logit(x)) >= threshold
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def score(table: DataFrame, scorer: Scorer | None) -> DataFrame:

@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duocount.llm.batches import small_batches
+
 MARK = "▁"
 CACHE_ENTRIES = 400_000
 CACHE_CHARS = 64
@@ -145,7 +147,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, text: str = "text
     executor. One scan, no shuffle; nulls, empties and clashing names as the module says."""
     made = ("n_bytes", "n_tokens", "over_limit")
     keep = [c for c in docs.columns if c != text and c not in made]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep],
+    source = small_batches(docs).select(*[F.col(f"`{c}`") for c in keep],
                          F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("n_tokens"))
     schema = source.drop("n_tokens").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duocount.llm.batches import small_batches
 from duocount.llm.words import _hash_spans, buffers, mix, shingles, slices, spans
 
 MIN_ROWS, MIN_DOCS, MIN_Z = 20, 4, 4.5
@@ -192,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, doc_id:
     for y in (0, 1):
         some = lab.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
         chosen = some if chosen is None else chosen.unionByName(some)
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    source = small_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     sample = source.join(F.broadcast(chosen), "id").select("id", "y", "text")
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, doc_id:
 def score(docs: DataFrame, model: Model, mark: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ``score`` and ``sentences``: (start, length, score) in UTF-8 bytes of each sentence of
     ``mark`` or more, in text order."""
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    source = small_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     span = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
