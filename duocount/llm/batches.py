@@ -1,7 +1,11 @@
-"""Arrow batch size for tables of whole texts."""
+"""Arrow batches of whole texts: their size, and the memory they leave behind."""
 
 from __future__ import annotations
 
+import ctypes
+from typing import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BATCH_ROWS = 1000
@@ -19,3 +23,25 @@ def small_batches(docs: DataFrame) -> DataFrame:
     if now <= 0 or now > BATCH_ROWS:
         conf.set(_SETTING, str(BATCH_ROWS))
     return docs
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system. Spark keeps Python workers alive between tasks, and the
+    C allocator keeps what large arrays leave behind; without this, every worker stays at its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc: nothing to hand back
+        pass
+
+
+def tidy(batches_in: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """An Arrow batch function that ends by giving its memory back."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from batches_in(batches)
+        finally:
+            give_back()
+
+    return run

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duocount.llm.batches import small_batches
+from duocount.llm.batches import small_batches, tidy
 from duocount.llm.encode import encoder
 from duocount.llm.words import buffers, slices
 from duocount.session import checkpoint_dir, cut_lineage
@@ -172,7 +172,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, length: int =
             yield pa.RecordBatch.from_pydict({"part": [part], "docs": [n], "tokens": [writer.tokens]},
                                              schema=pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    made = cut_lineage(ordered.mapInArrow(write, "part int, docs long, tokens long"), "id-files")
+    made = cut_lineage(ordered.mapInArrow(tidy(write), "part int, docs long, tokens long"), "id-files")
     parts, start = [], 0
     for row in sorted(made.collect()):  # one row a file
         parts.append(Part(row["part"], row["docs"], row["tokens"], start))
@@ -192,7 +192,7 @@ def read_documents(spark: SparkSession, store: SequenceStore) -> DataFrame:
             for row in batch.to_pylist():
                 yield from _read_part(store, row["part"], row["start"])
 
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _read_part(store: SequenceStore, part: int, base: int) -> Iterator[pa.RecordBatch]:

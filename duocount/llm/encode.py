@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 600_000
 CACHE_BYTES = 64
 
 

@@ -39,13 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duocount.llm.batches import small_batches
+from duocount.llm.batches import small_batches, tidy
 from duocount.llm.components import components
 from duocount.llm.words import shingle_sets
 from duocount.session import cut_lineage
 
 PERCENT, WORDS = 75, 5
-BUCKET_SHINGLES = 2_000_000  # shingles in one hash range, on average
+BUCKET_SHINGLES = 1_500_000  # shingles in one hash range, on average
 SEND_BYTES = 4 << 20  # text behind one message to each hash range
 BLOCK, LEAF = 512, 48
 
@@ -68,7 +68,7 @@ def set_keys(docs: DataFrame, k: int = WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(first)), pa.array(keys, pa.int64())],
                                                  names=["doc_id", "n", "node"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, node long")
 
 
 def shared_shingles(docs: DataFrame, buckets: int, k: int = WORDS) -> DataFrame:
@@ -114,7 +114,7 @@ def shared_shingles(docs: DataFrame, buckets: int, k: int = WORDS) -> DataFrame:
                     names=["slice", "bucket", "names", "places", "hashes"])
 
     schema = "slice long, bucket int, names binary, places binary, hashes binary"
-    sent = docs.mapInArrow(send, schema).repartition(F.when(F.col("bucket") < 0, F.col("slice")).otherwise(F.col("bucket")))
+    sent = docs.mapInArrow(tidy(send), schema).repartition(F.when(F.col("bucket") < 0, F.col("slice")).otherwise(F.col("bucket")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges: dict[int, list] = {}
@@ -149,7 +149,7 @@ def shared_shingles(docs: DataFrame, buckets: int, k: int = WORDS) -> DataFrame:
                     out.append((part, *np.unique(mine, return_counts=True)))
             yield _counts(out)
 
-    answers = sent.mapInArrow(count, "slice long, names binary, counts binary").repartition("slice")
+    answers = sent.mapInArrow(tidy(count), "slice long, names binary, counts binary").repartition("slice")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices: dict[int, list] = {}
@@ -161,7 +161,7 @@ def shared_shingles(docs: DataFrame, buckets: int, k: int = WORDS) -> DataFrame:
             held = np.bincount(place, weights=np.concatenate([p[1] for p in parts]))
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(held.astype(np.int64))], names=["node", "held"])
 
-    return answers.mapInArrow(add, "node long, held long").groupBy("node").agg(F.sum("held").alias("held"))
+    return answers.mapInArrow(tidy(add), "node long, held long").groupBy("node").agg(F.sum("held").alias("held"))
 
 
 def _counts(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -186,7 +186,7 @@ def point_sets(docs: DataFrame, points: DataFrame, k: int = WORDS) -> DataFrame:
                         [pa.array([r[0] for r in rows], pa.int64()), pa.array(np.diff(cut).astype(np.int64)),
                          pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], names=["node", "n", "sh"])
 
-    sets = some.mapInArrow(run, "node long, n long, sh array<bigint>")
+    sets = some.mapInArrow(tidy(run), "node long, n long, sh array<bigint>")
     return sets.join(points.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -226,7 +226,7 @@ def _overlaps(pairs: DataFrame) -> DataFrame:
                                               pa.array(both)], names=["node", "pivot", "n", "pivot_n", "shared"])
 
     return pairs.select("node", "pivot", "n", "pivot_n", "sh", "pivot_sh").mapInArrow(
-        run, "node long, pivot long, n long, pivot_n long, shared long")
+        tidy(run), "node long, pivot long, n long, pivot_n long, shared long")
 
 
 def pivot_distances(met: DataFrame, sets: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duocount.llm.batches import small_batches
+from duocount.llm.batches import small_batches, tidy
 from duocount.llm.encode import encoder
 from duocount.llm.words import buffers, slices
 from duocount.session import cut_lineage
@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int, doc_id: str
                      pa.array(np.full(len(length), task, np.int32)), pa.array(rank)],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank_in_task"])
 
-    return source.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
+    return source.mapInArrow(tidy(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
                                   "task int, rank_in_task long")
 
 
@@ -139,5 +139,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, limit: int = 4096, doc_id
                 [*batch.columns[:5], pa.array(slot["sequence"] + rank - slot["rank"]), pa.array(slot["offset"])],
                 names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
+    return ranked.mapInArrow(tidy(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
                                     "sequence_id long, offset long")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duocount.llm.batches import small_batches
+from duocount.llm.batches import small_batches, tidy
 from duocount.llm.words import _hash_spans, buffers, mix, shingles, slices, spans
 from duocount.session import cut_lineage
 
@@ -197,7 +197,7 @@ def feature_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                 flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], flat], names=["doc_id", "x"])
 
-    return cut_lineage(source.mapInArrow(make, "doc_id long, x array<float>"), "quality-features")
+    return cut_lineage(source.mapInArrow(tidy(make), "doc_id long, x array<float>"), "quality-features")
 
 
 def _chosen(ids: DataFrame, rows: int) -> DataFrame:
@@ -238,7 +238,7 @@ def keep_good(docs: DataFrame, scorer: Scorer | None, threshold: float, text: st
                     good[a:b] = _sigmoid(scorer.logit(x)) >= threshold
             yield batch.filter(pa.array(good))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)
 
 
 def score(table: DataFrame, scorer: Scorer | None) -> DataFrame:
@@ -250,4 +250,4 @@ def score(table: DataFrame, scorer: Scorer | None) -> DataFrame:
             s = np.full(len(x), 0.5) if scorer is None else _sigmoid(scorer.logit(x))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    return table.mapInArrow(run, "doc_id long, score double")
+    return table.mapInArrow(tidy(run), "doc_id long, score double")

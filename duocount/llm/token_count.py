@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duocount.llm.batches import small_batches
+from duocount.llm.batches import small_batches, tidy
 
 MARK = "▁"
 CACHE_ENTRIES = 400_000
@@ -161,4 +161,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, text: str = "text
             yield pa.RecordBatch.from_arrays([*rest, size, pa.array(n), pa.array(n > limit)],
                                              names=[*batch.schema.names[:-1], *made])
 
-    return source.mapInArrow(count, schema)
+    return source.mapInArrow(tidy(count), schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duocount.llm.batches import small_batches
+from duocount.llm.batches import small_batches, tidy
 from duocount.llm.words import _hash_spans, buffers, mix, shingles, slices, spans
 
 MIN_ROWS, MIN_DOCS, MIN_Z = 20, 4, 4.5
@@ -210,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, doc_id:
                                                   pa.array(words, pa.binary()), pa.array(size, pa.binary())],
                                                  names=["id", "y", "words", "sizes"])
 
-    rows = sorted(sample.mapInArrow(shrink, "id long, y int, words binary, sizes binary").collect(),
+    rows = sorted(sample.mapInArrow(tidy(shrink), "id long, y int, words binary, sizes binary").collect(),
                   key=lambda r: (r["id"], r["words"]))  # at most 2 * sample_rows rows and their repeats
     rows = _without_copies(rows)
     words = np.frombuffer(b"".join(bytes(r["words"]) for r in rows), np.uint64)
@@ -244,4 +244,4 @@ def score(docs: DataFrame, model: Model, mark: float = 0.5, doc_id: str = "doc_i
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(total), lists],
                                                  names=["doc_id", "score", "sentences"])
 
-    return source.mapInArrow(run, "doc_id long, score double, sentences array<struct<start:long,length:long,score:double>>")
+    return source.mapInArrow(tidy(run), "doc_id long, score double, sentences array<struct<start:long,length:long,score:double>>")
