@@ -8,7 +8,7 @@ from typing import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 _SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -35,10 +35,23 @@ def give_back() -> None:
         pass
 
 
-def tidy(batches_in: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """An Arrow batch function that ends by giving its memory back."""
+_clear: list[Callable[[], None]] = []
+
+
+def cached_for_tasks(clear: Callable[[], None]) -> None:
+    """Register what empties a cache that a worker keeps between tasks of one operator."""
+    _clear.append(clear)
+
+
+def tidy(batches_in: Callable[[Iterator], Iterator], caches: bool = False) -> Callable[[Iterator], Iterator]:
+    """An Arrow batch function that ends by giving its memory back; one that does not use the caches
+    of earlier operators in its worker drops them first."""
 
     def run(batches: Iterator) -> Iterator:
+        if not caches:
+            for clear in _clear:
+                clear()
+            give_back()
         try:
             yield from batches_in(batches)
         finally:

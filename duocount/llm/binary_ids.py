@@ -172,7 +172,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, length: int =
             yield pa.RecordBatch.from_pydict({"part": [part], "docs": [n], "tokens": [writer.tokens]},
                                              schema=pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    made = cut_lineage(ordered.mapInArrow(tidy(write), "part int, docs long, tokens long"), "id-files")
+    made = cut_lineage(ordered.mapInArrow(tidy(write, caches=True), "part int, docs long, tokens long"), "id-files")
     parts, start = [], 0
     for row in sorted(made.collect()):  # one row a file
         parts.append(Part(row["part"], row["docs"], row["tokens"], start))

@@ -14,6 +14,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from duocount.llm.batches import cached_for_tasks
+
 CACHE_ENTRIES = 600_000
 CACHE_BYTES = 64
 
@@ -115,3 +117,6 @@ def _drops_white_space(spec: dict) -> bool:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> IdEncoder:
     return IdEncoder(path)
+
+
+cached_for_tasks(encoder.cache_clear)

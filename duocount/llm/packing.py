@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int, doc_id: str
                      pa.array(np.full(len(length), task, np.int32)), pa.array(rank)],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank_in_task"])
 
-    return source.mapInArrow(tidy(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
+    return source.mapInArrow(tidy(cut, caches=True), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
                                   "task int, rank_in_task long")
 
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duocount.llm.batches import small_batches, tidy
+from duocount.llm.batches import cached_for_tasks, small_batches, tidy
 
 MARK = "▁"
 CACHE_ENTRIES = 400_000
@@ -141,6 +141,9 @@ def _counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
+cached_for_tasks(_counter.cache_clear)
+
+
 def token_counts(docs: DataFrame, vocabulary: str, limit: int, text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit``
     (n_tokens > limit). ``vocabulary`` is the path of a sentencepiece BPE model, the same on every
@@ -161,4 +164,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, text: str = "text
             yield pa.RecordBatch.from_arrays([*rest, size, pa.array(n), pa.array(n > limit)],
                                              names=[*batch.schema.names[:-1], *made])
 
-    return source.mapInArrow(tidy(count), schema)
+    return source.mapInArrow(tidy(count, caches=True), schema)
