@@ -25,22 +25,18 @@ def parse_attributes(attr="attributes") -> Column:
     return F.map_from_entries(last_wins)
 
 
-MAX_KEYS = 1000
+def attribute_pairs(df: DataFrame, keep, map_col: str = "attr_map") -> DataFrame:
+    """Long form of C03: ``keep`` columns, ``key``, ``value``, one row per attribute. Needs no list of
+    names, so it suits tables with very many of them."""
+    return df.select(*keep, F.explode(map_col))
 
 
-def widen_attributes(df: DataFrame, map_col: str = "attr_map", keys=None, drop: bool = True,
-                     max_keys: int = MAX_KEYS) -> DataFrame:
+def widen_attributes(df: DataFrame, map_col: str = "attr_map", keys=None, drop: bool = True) -> DataFrame:
     """One column per attribute key (C03). Keys come from one distinct pass unless given.
 
-    The distinct key set is the vocabulary of attribute names, not the rows; more than ``max_keys``
-    distinct names is refused (a table that wide is not a column layout), no rows are dropped.
+    The distinct key set is the vocabulary of attribute names (the columns of the result), not the rows.
     """
     if keys is None:
-        found = (df.select(F.explode(F.map_keys(map_col)).alias("k")).distinct()
-                 .limit(max_keys + 1).collect())
-        if len(found) > max_keys:
-            from duocount.spec import SchemaError
-            raise SchemaError(f"more than {max_keys} distinct attribute names; pass keys= explicitly")
-        keys = sorted(r[0] for r in found)
+        keys = sorted(r[0] for r in df.select(F.explode(F.map_keys(map_col)).alias("k")).distinct().collect())
     out = df.select("*", *[F.element_at(F.col(map_col), F.lit(k)).alias(k) for k in keys])
     return out.drop(map_col) if drop else out

@@ -23,7 +23,7 @@ from duocount.operators.ordered import exact_quantiles
 # Fixed values of the published method (Love, Huber & Anders 2014), in one place.
 MIN_DISP = 1e-8            # lower bound of a dispersion estimate
 MIN_MU = 0.5               # lower bound of a fitted mean inside the fits
-OUTLIER_SD = 2.0           # gene-wise estimates this many prior SDs above the trend are kept
+OUTLIER_SD = 2.0           # gene-wise estimates this many residual SDs above the trend are kept
 PRIOR_VAR_FLOOR = 0.25     # smallest prior variance of log dispersion
 TREND_RESID_RANGE = (1e-4, 15.0)   # genes used in each trend refit: residual ratio inside this range
 TREND_MAX_OUTER = 10
@@ -75,7 +75,8 @@ def genewise_mapper(sf: Sequence[float], groups: Sequence[int]):
 
 
 def fit_trend(genes: DataFrame, n_samples: int):
-    """Parametric trend alpha(mu) = a1 / mu + a0 (D05), or ``None`` if the fit fails.
+    """Parametric trend alpha(mu) = a1 / mu + a0 (D05), or ``None`` if the fit fails or does not settle
+    within its iteration limits.
 
     Gamma family, identity link, on genes with a gene-wise estimate above 100 x the lower bound;
     refitted on genes whose ratio to the current trend lies in TREND_RESID_RANGE until the
@@ -116,14 +117,16 @@ def _fit_trend_iterations(base: DataFrame):
             if done:
                 break
             if b0 <= 0 and b1 <= 0:
-                break
+                return None
+        else:
+            return None  # the refit did not converge
         if b0 <= 0 or b1 <= 0:
             return None
         change = math.log(b0 / a0) ** 2 + math.log(b1 / a1) ** 2
         a0, a1 = b0, b1
         if change < TREND_TOL:
-            break
-    return a0, a1
+            return a0, a1
+    return None  # the set of genes in range never settled
 
 
 def mean_trend(genes: DataFrame):
@@ -132,17 +135,20 @@ def mean_trend(genes: DataFrame):
     return (float(m), 0.0)
 
 
-def prior_variance(genes: DataFrame, trend, n_samples: int, n_coef: int = 2) -> float:
-    """Width of the log-normal prior (D06): squared MAD of log residuals minus the expected sampling
-    variance trigamma((m - p) / 2), at least PRIOR_VAR_FLOOR."""
+def prior_variance(genes: DataFrame, trend, n_samples: int, n_coef: int = 2) -> tuple[float, float]:
+    """(prior variance, residual SD) of log dispersions about the trend.
+
+    The residual SD is the scaled MAD of the log residuals, by which outliers are told; the prior's
+    variance is its square minus the expected sampling variance trigamma((m - p) / 2), at least
+    PRIOR_VAR_FLOOR."""
     a0, a1 = trend
     r = (genes.where(~F.col("allZero") & (F.col("dispGeneEst") >= F.lit(100 * MIN_DISP)))
          .select((F.log("dispGeneEst") - F.log(F.lit(a0) + F.lit(a1) / F.col("baseMean"))).alias("r")))
     med = exact_quantiles(r, "r", {"m": 0.5}).first()
     if med is None or med["m"] is None:
-        return PRIOR_VAR_FLOOR
+        return PRIOR_VAR_FLOOR, math.sqrt(PRIOR_VAR_FLOOR)
     dev = r.select(F.abs(F.col("r") - F.lit(med["m"])).alias("d"))
     mad = MAD_SCALE * exact_quantiles(dev, "d", {"m": 0.5}).first()["m"]
     df = n_samples - n_coef
     expected = M.trigamma(df / 2.0) if df > 0 else 0.0
-    return max(mad * mad - expected, PRIOR_VAR_FLOOR)
+    return max(mad * mad - expected, PRIOR_VAR_FLOOR), mad

@@ -91,10 +91,11 @@ def _fit_block(yy, sf, groups, n_groups, lf, prior_var, lo, hi, S, sd, gene=None
     return gene, alpha, lfc, se, cooks
 
 
-def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: float, cooks_min_reps: int = 3,
-                replace: bool = False):
+def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: float, residual_sd: float,
+                cooks_min_reps: int = 3, replace: bool = False):
     """mapInPandas function: MAP dispersion, Wald test and Cook's distance per gene.
 
+    A gene-wise estimate more than OUTLIER_SD times ``residual_sd`` above the trend is kept as it is.
     With ``replace`` and at least MIN_REPLICATES_FOR_REPLACE replicates in a group, counts whose
     Cook's distance exceeds the F(p, m - p) 0.99 quantile (samples of such groups only) are replaced
     by trimmed-mean normalised count x size factor (truncated to an integer) and those genes are
@@ -106,7 +107,7 @@ def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: fl
     S = len(sf)
     a0, a1 = trend
     lo, hi = math.log(MIN_DISP / 10.0), math.log(max_disp(S))
-    sd = math.sqrt(prior_var)
+    sd = residual_sd
     counts_per_group = np.bincount(groups, minlength=n_groups)
     cooks_cols = counts_per_group[groups] >= cooks_min_reps
     replace_cols = counts_per_group[groups] >= MIN_REPLICATES_FOR_REPLACE

@@ -57,14 +57,14 @@ def differential_abundance(long_counts: DataFrame, filtering: bool = True, level
             gw = cut_lineage(gw, "genewise")
         S = len(design.samples)
         trend = D.fit_trend(gw, S)
-        log["trend"] = "parametric" if trend else "mean"
+        log["trend"] = "parametric" if trend else "mean (the parametric fit failed or did not converge)"
         trend = trend or D.mean_trend(gw)
         res = None
         if results:
-            prior_var = D.prior_variance(gw, trend, S)
+            prior_var, residual_sd = D.prior_variance(gw, trend, S)
             log["prior_var"] = prior_var
             res = gw.select("entity_id", "counts", "baseMean", "allZero", "dispGeneEst").mapInPandas(
-                FT.wald_mapper(sf, design.groups, trend, prior_var, replace=filtering), FT.RESULT_SCHEMA)
+                FT.wald_mapper(sf, design.groups, trend, prior_var, residual_sd, replace=filtering), FT.RESULT_SCHEMA)
             if materialise:
                 res = cut_lineage(res, "wald")
             if filtering:

@@ -29,8 +29,8 @@ def top_counts(df: DataFrame, cols: Sequence[str], k: int, out: str = "count") -
 
 
 def score_is_empty(coords: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per group: is every score ``.``? (A02). One aggregate, one row per group."""
-    return coords.groupBy(*by).agg(F.bool_and(F.col("score") == ".").alias("empty_score"))
+    """Per group: is every score ``.``? (A02; a null score is not). One aggregate, one row per group."""
+    return coords.groupBy(*by).agg(F.bool_and(F.coalesce(F.col("score") == ".", F.lit(False))).alias("empty_score"))
 
 
 def profile_from_coordinates(coords: DataFrame, by: Sequence[str] = ("condition",),
@@ -45,7 +45,9 @@ def profile_from_coordinates(coords: DataFrame, by: Sequence[str] = ("condition"
     by = list(by)
     seq = [] if ignore_seq else ["seq_id"]
     if by:
-        flagged = coords.join(score_is_empty(coords, by), by, "left")
+        flag = score_is_empty(coords, by).select(*[F.col(c).alias(f"_by_{c}") for c in by], "empty_score")
+        same = [coords[c].eqNullSafe(flag[f"_by_{c}"]) for c in by]
+        flagged = coords.join(flag, same, "left").drop(*[f"_by_{c}" for c in by])
     else:
         empty = bool(score_is_empty(coords, by).first()["empty_score"])
         flagged = coords.withColumn("empty_score", F.lit(empty))
@@ -61,6 +63,13 @@ def profile_from_coordinates(coords: DataFrame, by: Sequence[str] = ("condition"
     return count_mode.unionByName(score_mode)
 
 
+def _total(df: DataFrame, column: str, value=None):
+    """Sum of a column: BIGINT for whole counts, DOUBLE for fractional ones (never truncated)."""
+    total = F.sum(F.col(column) if value is None else value)
+    whole = df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long")
+    return total.cast("bigint" if whole else "double")
+
+
 def insertion_sites(ins: DataFrame, by: Sequence[str] = (), position: str = "position",
                     count: str = "cnt") -> DataFrame:
     """Pre-aggregate insertions to one row per site before any shuffle join.
@@ -69,7 +78,7 @@ def insertion_sites(ins: DataFrame, by: Sequence[str] = (), position: str = "pos
     later interval join moves at most one row per (condition, site).
     """
     return (ins.groupBy(*by, "seq_id", "condition", position)
-            .agg(F.sum(count).cast("bigint").alias("reads"), F.count(F.lit(1)).alias("rows")))
+            .agg(_total(ins, count).alias("reads"), F.count(F.lit(1)).alias("rows")))
 
 
 def condition_totals(sites: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -77,7 +86,7 @@ def condition_totals(sites: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     """
     return sites.groupBy(*by, "condition").agg(
-        F.count(F.lit(1)).alias("total_sites"), F.sum("reads").cast("bigint").alias("total_reads"),
+        F.count(F.lit(1)).alias("total_sites"), _total(sites, "reads").alias("total_reads"),
         F.sum("rows").cast("bigint").alias("total_rows"))
 
 
@@ -120,7 +129,7 @@ def feature_totals(features: DataFrame, sites: DataFrame, keys: Sequence[str], b
     hits = feature_hits(features, sites, by, conditions, bounds, buffer_frac, bin_width, keep_empty=True)
     inside = F.col("within_cds") & F.col("position").isNotNull()
     return hits.groupBy(*by, *keys, "condition").agg(
-        F.coalesce(F.sum(F.when(inside, F.col("reads"))), F.lit(0)).cast("bigint").alias("total_reads"),
+        F.coalesce(_total(sites, "reads", F.when(inside, F.col("reads"))), F.lit(0)).alias("total_reads"),
         F.coalesce(F.sum(F.when(inside, F.col("rows"))), F.lit(0)).cast("bigint").alias("n_rows"),
         F.count(F.when(inside, F.lit(1))).alias("unique_sites"),
         F.min(F.when(inside, F.col("position"))).alias("first_pos"),

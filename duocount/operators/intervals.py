@@ -47,7 +47,9 @@ def interval_join(points: DataFrame, intervals: DataFrame, *, pos: str, lo: str,
     """
     on = list(on)
     w = int(bin_width) if bin_width else choose_bin_width(intervals, lo, hi)
-    ib = intervals.withColumn("_bin", F.explode(F.sequence(
+    # a left join keeps intervals without bounds too: they lie in no bin
+    spread = F.explode_outer if how == "left" else F.explode
+    ib = intervals.withColumn("_bin", spread(F.sequence(
         F.floor(F.col(lo) / F.lit(w)).cast("bigint"), F.floor(F.col(hi) / F.lit(w)).cast("bigint"))))
     pb = points.withColumn("_bin", F.floor(F.col(pos) / F.lit(w)).cast("bigint"))
     i, p = ib.alias("_i"), pb.alias("_p")

@@ -182,10 +182,17 @@ def next_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], take:
     nb = _n_buckets(df, n_buckets)
     # bucket on a non-decreasing proxy of the first two order keys, so rows sharing the first key
     # (e.g. one start coordinate) still spread over buckets by the second; any non-decreasing
-    # function of the order keeps every lower bucket entirely before every higher one
-    numeric = [f.name for f in df.schema.fields if f.dataType.typeName() in ("long", "integer", "short", "double", "float")]
-    if len(order) > 1 and order[0] in numeric and order[1] in numeric:
-        proxy = F.col(order[0]).cast("double") + F.col(order[1]).cast("double") / F.lit(float(2 ** 32))
+    # function of the order keeps every lower bucket entirely before every higher one. A whole first
+    # key plus the second key's place in its own observed range (0 to 1, null first as in the window)
+    # is one whatever the magnitudes; a fractional first key is bucketed on its own.
+    types = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    whole = ("long", "integer", "short")
+    if len(order) > 1 and types[order[0]] in whole and types[order[1]] in (*whole, "double", "float"):
+        second = F.nanvl(F.col(order[1]).cast("double"), F.lit(float("inf")))
+        low, high = df.agg(F.min(second), F.max(F.when(second < float("inf"), second))).first()
+        span = (high - low) if low is not None and high is not None and 0 < high - low < float("inf") else 1.0
+        place = F.greatest(F.least((second - F.lit(low or 0.0)) / F.lit(span), F.lit(1.0)), F.lit(0.0))
+        proxy = F.col(order[0]).cast("double") + F.when(second.isNull(), 0.0).otherwise(place)
         b = with_buckets(df.withColumn("_ord", proxy), "_ord", by, nb).drop("_ord")
     else:
         b = with_buckets(df, order[0], by, nb)

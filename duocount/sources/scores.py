@@ -20,9 +20,10 @@ def read_scores(spark: SparkSession, paths: Paths, key_schema=FEATURE_KEY_SCHEMA
     DOUBLE (columns in ``text_cols`` stay text); ``NaN`` becomes null, so it never enters a comparison
     (rule Q6). All-null rows are dropped (F01, also for control-only loads: rule Q14).
 
-    The header is read once; no type inference pass runs over the data.
+    The header is read once; no type inference pass runs over the data. Columns are read by position,
+    so every file's header is held against it: a file with another order of columns is an error.
     """
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("nullValue", "")
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("nullValue", "").option("enforceSchema", False)
     raw = reader.csv(paths if isinstance(paths, str) else list(paths))
     require_columns(raw, [f.name for f in key_schema.fields], "score table")
     cols = []

@@ -27,7 +27,7 @@ def start_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str,
                  available_now: bool = True, processing_time: Optional[str] = None, pattern: str = "*.csv"):
     """Start the ingest query; returns the ``StreamingQuery``."""
     src = (spark.readStream.schema(schema).option("header", True).option("pathGlobFilter", pattern)
-           .option("nullValue", "").csv(landing))
+           .option("nullValue", "").option("enforceSchema", False).csv(landing))
     doubles = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
     rows = (src.where(F.col("locus_tag").isNotNull())
             .select(*[nan_to_null(F.col(c)).alias(c) if c in doubles else F.col(c) for c in src.columns],

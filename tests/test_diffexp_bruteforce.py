@@ -48,7 +48,7 @@ def numpy_pipeline(pdf_long):
     res = np.log(y) - np.log(a0 + a1 * x)
     mad = D.MAD_SCALE * np.median(np.abs(res - np.median(res)))
     prior = max(mad ** 2 - M.trigamma((len(names) - 2) / 2.0), D.PRIOR_VAR_FLOOR)
-    out = next(FT.wald_mapper(sf, groups, (a0, a1), prior)(iter([gw])))
+    out = next(FT.wald_mapper(sf, groups, (a0, a1), prior, mad)(iter([gw])))
     p = out.pvalue.to_numpy()
     ok = ~np.isnan(p)
     n = ok.sum()
