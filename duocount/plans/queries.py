@@ -27,7 +27,7 @@ MERGED_SELECT = ", ".join(
        for c in ("nim_score", "nrm_score", "first_insert_pct", "last_insert_pct")])
 
 
-@register("merged_comparison", "P01 P02 P03 J01 C01 W01 W02 X01 F01", with_views(f"""
+@register("merged_comparison", "P01 P02 P03 J01 C01 W01 W02 X01", with_views(f"""
 select {MERGED_SELECT}, {R6('fold_change')} as fold_change, {R6('pctl_rank')} as pctl_rank
 from cmp"""))
 def q_merged(spark, sf_dir):
@@ -85,7 +85,7 @@ def q_gene_totals(spark, sf_dir):
     return finish(I.feature_totals(adapters.features(spark, sf_dir), sites, FEATURE_KEYS))
 
 
-@register("gene_insertions_wide", "J02 J04 F04 F05 O01", with_views(f"""
+@register("gene_insertions_wide", "J02 J04 F04 F05", with_views(f"""
 select {KEYS_SQL}, position,
        {R6("coalesce(sum(case when condition = 'control' then reads end), 0)")} as control_count,
        {R6("coalesce(sum(case when condition = 'test' then reads end), 0)")} as test_count,
@@ -431,7 +431,7 @@ def q_coords_ring(spark, sf_dir):
     return finish(PR.coordinates_ring(adapters.coordinates(spark, sf_dir)))
 
 
-@register("coordinates_roundtrip", "S01 S06 S02 (write coordinate files with a header, scan them back)", with_views("""
+@register("coordinates_roundtrip", "S01 S06 (write coordinate files with a header, scan them back)", with_views("""
 select seq_id, source, type, "start", "end", score, strand, phase, attributes, condition from coords"""))
 def q_coords_roundtrip(spark, sf_dir):
     out = f"{checkpoint_dir(spark)}/coords-{uuid.uuid4().hex}"
