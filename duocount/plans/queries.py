@@ -291,7 +291,7 @@ def q_hist_grouped(spark, sf_dir):
     return finish(PR.grouped_histogram(flagship.score_tables(spark, sf_dir), "nim_score", HIST_W))
 
 
-@register("genome_range", "A06 A05", with_views("""
+@register("genome_range", "A06", with_views("""
 select seq_id, max(end_pos) - min(start_pos) as genome_range, max(start_pos) - min(start_pos) as ring_length
 from feat group by seq_id"""))
 def q_genome_range(spark, sf_dir):
@@ -336,7 +336,7 @@ def _pool_design(spark, sf_dir):
     return long, DC.design_of(long)
 
 
-@register("pool_matrix", "D01 F03 J06 (count matrix, missing pairs 0)", with_views("""
+@register("pool_matrix", "D01 J06 (count matrix, missing pairs 0)", with_views("""
 select entity_id, sample, condition, cnt from pm""", *POOL_VIEWS))
 def q_pool_matrix(spark, sf_dir):
     long, design = _pool_design(spark, sf_dir)
