@@ -35,13 +35,16 @@ def pool_columns(df: DataFrame, marker: str = "_MP") -> list:
     return [c for c in df.columns if marker in c]
 
 
-def long_counts_from_wide(df: DataFrame, entity: str, marker: str = "_MP") -> DataFrame:
-    """Wide replicate columns to the long table (D01): rows with any null count are dropped and
-    duplicate entity ids removed first (F03); condition = text after the last underscore (P10)."""
+def long_counts_from_wide(df: DataFrame, entity: str, marker: str = "_MP", order: Sequence[str] = ()) -> DataFrame:
+    """Wide replicate columns to the long table (D01): of rows sharing an entity id the first in ``order``
+    stays (then the least counts, nulls first), and only then rows with any null go (F03), so an entity
+    whose first row is incomplete is dropped; condition = text after the last underscore (P10)."""
     cols = pool_columns(df, marker)
     if not cols:
         raise CountDataError(f"no replicate columns containing {marker!r}")
-    w = df.select(F.col(entity).cast("string").alias("entity_id"), *cols).na.drop(how="any").dropDuplicates(["entity_id"])
+    rank = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    first = df.groupBy(F.col(entity).cast("string").alias("entity_id")).agg(F.min(F.struct(*rank, *cols)).alias("_r"))
+    w = first.select("entity_id", *[F.col("_r").getField(c).alias(c) for c in cols]).na.drop(how="any")
     long = w.unpivot(["entity_id"], cols, "sample", "cnt")
     return long.withColumn("condition", group_label("sample"))
 
@@ -66,12 +69,6 @@ def design_of(long: DataFrame, levels=("control", "test"), check_integers: bool
     return Design(tuple(s for _, s in rows), tuple(c for c, _ in rows), tuple(levels))
 
 
-def check_integer_counts(long: DataFrame) -> None:
-    bad = long.agg(F.count_if((F.col("cnt") != F.floor("cnt")) | (F.col("cnt") < 0)).alias("n")).first()["n"]
-    if bad:
-        raise CountDataError(f"{bad} counts are negative or not integers")
-
-
 def count_matrix(long: DataFrame, design: Design) -> DataFrame:
     """``entity_id, counts ARRAY<BIGINT>`` in design order; a missing (entity, sample) pair is 0 and
     repeated rows of one pair add up.

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from typing import Optional
+from typing import Optional, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duocount.operators.diffexp import counts as C
@@ -15,7 +15,7 @@ from duocount.operators.diffexp import pca as P
 from duocount.operators.diffexp import select as SEL
 from duocount.schemas import DE_RESULT_COLUMNS
 from duocount.session import cut_lineage
-from duocount.spec import CountDataError
+from duocount.spec import ComparisonSpec, CountDataError
 
 
 @dataclass
@@ -83,16 +83,34 @@ def differential_abundance(long_counts: DataFrame, filtering: bool = True, level
         return DEResult(res, pca, log)
     except CountDataError as e:
         log["reason"] = str(e)
+        e.log = log
         raise
 
 
-def attach_results(df: DataFrame, res: DataFrame, entity: str, prefix: str = "de_") -> DataFrame:
-    """Prefix the result columns and left-join them back on the entity."""
-    cols = [F.col(c).alias(prefix + c) for c in DE_RESULT_COLUMNS]
-    r = res.select(F.col("entity_id").alias("_eid"), *cols)
-    return df.join(r, F.col(entity).cast("string") == F.col("_eid"), "left").drop("_eid")
+def attach_results(df: DataFrame, res: DataFrame, entity: str, spec: ComparisonSpec = ComparisonSpec(),
+                   prefix: str = "de_", columns: Sequence[str] = DE_RESULT_COLUMNS):
+    """Prefix the result columns and left-join them back on the entity (D14, P12, J03). Returns
+    ``(df, spec)`` with every attached column registered as a metric."""
+    r = res.select(F.col("entity_id").alias("_eid"), *[F.col(c).alias(prefix + c) for c in columns])
+    for c in columns:
+        spec = spec.with_metric(prefix + c)
+    return df.join(r, F.col(entity).cast("string") == F.col("_eid"), "left").drop("_eid"), spec
 
 
 def run_log_row(run_id: str, log: dict) -> tuple:
     """One row of the run log (D15): run_id, replicates, run, success, reason."""
     return (run_id, log.get("replicates"), bool(log.get("run")), bool(log.get("success")), log.get("reason"))
+
+
+def logged_run(run_id: str, long_counts: DataFrame, **kwargs):
+    """``(result, log row)`` of one run; a run whose counts are unusable gives no result but its row."""
+    try:
+        result = differential_abundance(long_counts, **kwargs)
+    except CountDataError as e:
+        return None, run_log_row(run_id, getattr(e, "log", {"reason": str(e)}))
+    return result, run_log_row(run_id, result.log)
+
+
+def run_log(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
+    """Log rows as a table, one row per run."""
+    return spark.createDataFrame(list(rows), "run_id string, replicates long, run boolean, success boolean, reason string")

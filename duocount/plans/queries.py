@@ -389,7 +389,7 @@ def q_de(spark, sf_dir):
     r = differential_abundance(adapters.pools(spark, sf_dir), filtering=True, with_pca=False)
     feat = adapters.features(spark, sf_dir).select(
         "locus_tag", F.regexp_replace("locus_tag", "^LT", "").alias("entity_id"))
-    return finish(attach_results(feat, r.results, "entity_id").drop("entity_id"))
+    return finish(attach_results(feat, r.results, "entity_id")[0].drop("entity_id"))
 
 
 @register("de_results_unfiltered", "D04-D08 D11 D16 (no Cook's cut-off, no independent filtering)")
