@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duocount.functions.scalar import group_label
-from duocount.operators.ordered import exact_quantiles
+from duocount.operators.ordered import FEW_GROUPS, exact_quantiles
 from duocount.spec import CountDataError
 
 
@@ -99,7 +99,7 @@ def size_factors(matrix: DataFrame, design: Design) -> List[float]:
     logs = pos.select(F.transform("counts", lambda c: F.log(c.cast("double"))).alias("_l"))
     logs = logs.select("_l", F.aggregate("_l", F.lit(0.0), lambda a, x: a + x).alias("_s"))
     ratios = logs.select(F.posexplode(F.transform("_l", lambda x: x - F.col("_s") / F.lit(float(S)))).alias("j", "r"))
-    med = exact_quantiles(ratios, "r", {"med": 0.5}, by=["j"]).collect()
+    med = exact_quantiles(ratios, "r", {"med": 0.5}, by=["j"], few=S <= FEW_GROUPS).collect()
     found = {r["j"]: r["med"] for r in med}
     if len(found) < S:
         raise CountDataError("no entity has a positive count in every sample; size factors undefined")

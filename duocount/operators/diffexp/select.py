@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duocount.operators.diffexp import nbmath as M
-from duocount.operators.ordered import bh_adjust, count_below, exact_quantiles, ordered_distinct
+from duocount.operators.ordered import FEW_GROUPS, bh_adjust, count_below, exact_quantiles, ordered_distinct
 
 # Fixed values of the published method: Cook's quantile, target FDR, filter grid and smoother span.
 COOKS_QUANTILE = 0.99
@@ -32,7 +32,7 @@ def apply_cooks_cutoff(res: DataFrame, n_samples: int, n_coef: int = 2) -> DataF
 
 def rejections_per_cutoff(res: DataFrame, cutoffs: Sequence[float], alpha: float = ALPHA) -> list:
     """BH rejections at level ``alpha`` among genes with baseMean >= each cutoff, all cutoffs in one
-    pass: R = the largest rank r with p_(r) <= r * alpha / n (step-up rule)."""
+    job (a gene is counted once for every cut-off that keeps it): R = the largest rank r with p_(r) <= r * alpha / n (step-up rule)."""
     # cut-offs ascend, so a gene is kept at cut-off indices 0 .. k-1, k = number of cut-offs <= baseMean
     ordered = sorted(float(c) for c in cutoffs)
     above = count_below([-c for c in reversed(ordered)], "_neg_base")
@@ -40,7 +40,7 @@ def rejections_per_cutoff(res: DataFrame, cutoffs: Sequence[float], alpha: float
          .select((-F.col("baseMean")).alias("_neg_base"), "pvalue")
          .select((F.lit(len(ordered)) - above).alias("_k"), "pvalue").where(F.col("_k") > 0)
          .select(F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("ti"), "pvalue"))
-    od = ordered_distinct(x, "pvalue", ["ti"])
+    od = ordered_distinct(x, "pvalue", ["ti"], few=len(ordered) <= FEW_GROUPS)
     r = (od.where(F.col("pvalue") <= (F.col("_below") + F.col("_m")) * F.lit(alpha) / F.col("_tot"))
          .groupBy("ti").agg(F.max(F.col("_below") + F.col("_m")).alias("R")).collect())
     got = {row["ti"]: int(row["R"]) for row in r}

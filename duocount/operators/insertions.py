@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duocount.operators import intervals as iv
-from duocount.operators.ordered import next_in_order
+from duocount.operators.ordered import FEW_GROUPS, next_in_order
+from duocount.session import cut_lineage
 
 # Condition labels of a two-condition comparison, in the order they are reported.
 CONDITIONS = ("control", "test")
@@ -40,12 +41,15 @@ def profile_from_coordinates(coords: DataFrame, by: Sequence[str] = ("condition"
     Per group: if every score is ``.``, count rows per start (count mode); otherwise each row is
     ``(start, score)`` (score mode). Score mode keeps repeated positions as separate rows unless
     ``dedupe='sum'`` (rule Q11). ``ignore_seq=True`` drops ``seq_id`` from the keys (rule Q10).
-    Both branches are one plan: the mode flag is a small per-group aggregate joined back.
+    Both branches are one plan: the mode flag is a per-group aggregate, written once and joined back,
+    by broadcast where it has at most FEW_GROUPS rows, so the rows are not shuffled by a key of few values.
     """
     by = list(by)
     seq = [] if ignore_seq else ["seq_id"]
     if by:
-        flag = score_is_empty(coords, by).select(*[F.col(c).alias(f"_by_{c}") for c in by], "empty_score")
+        flag = cut_lineage(score_is_empty(coords, by).select(*[F.col(c).alias(f"_by_{c}") for c in by], "empty_score"),
+                           "modes")
+        flag = F.broadcast(flag) if flag.count() <= FEW_GROUPS else flag
         same = [coords[c].eqNullSafe(flag[f"_by_{c}"]) for c in by]
         flagged = coords.join(flag, same, "left").drop(*[f"_by_{c}" for c in by])
     else:
@@ -156,7 +160,6 @@ def gene_scores(features: DataFrame, ins: DataFrame, keys: Sequence[str], by: Se
         keys = list(keys) + [strand_col]
     sites = insertion_sites(ins, by)
     if materialise_sites:
-        from duocount.session import cut_lineage
         sites = cut_lineage(sites, "sites")
     if not bin_width:
         bin_width = iv.choose_bin_width(_window_bounds(features, buffer_frac), "_lo", "_hi")

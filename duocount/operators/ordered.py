@@ -15,11 +15,14 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from duocount.session import cut_lineage
+
 DEFAULT_BUCKETS = 64
 MAX_GROUP_BUCKETS = 256     # buckets per group when cut points stay in the plan (grouped case)
 MAX_BUCKETS = 1024          # finest cut-point grid of the ungrouped case
 ROWS_PER_BUCKET = 200_000   # ungrouped case: most rows one window task sorts
 APPROX_ACCURACY = 10000
+FEW_GROUPS = 1000           # groups whose cut points and bucket sizes (at most 256 numbers each) are broadcast
 
 
 def _sql_name(name: str) -> str:
@@ -61,13 +64,24 @@ def _n_buckets(df: DataFrame, n_buckets) -> int:
     return min(MAX_GROUP_BUCKETS, max(DEFAULT_BUCKETS, 4 * parts))
 
 
+def has_few_groups(df: DataFrame, by: Sequence[str]) -> bool:
+    """Are there at most FEW_GROUPS groups? A partial distinct count, for callers that know no bound."""
+    return df.select(*by).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+
+
+def _small(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
 def with_buckets(vals: DataFrame, value: str, by: Sequence[str], n_buckets: int,
-                 bucket_col: str = "_bkt", cut_source: DataFrame = None, adaptive: bool = False) -> DataFrame:
+                 bucket_col: str = "_bkt", cut_source: DataFrame = None, adaptive: bool = False,
+                 few: bool = False) -> DataFrame:
     """Add ``bucket_col`` = number of quantile cut points strictly below ``value``.
 
     Cut points: one ``percentile_approx`` per group (groups x buckets numbers). With no group the
     ``n_buckets`` numbers go through the driver as a literal; with groups they stay a DataFrame and
-    are joined on the group keys.
+    are joined on the group keys: broadcast where the groups are known to be ``few`` (a shuffle on a
+    key of few values would put whole groups into one task each), by a shuffle otherwise.
     """
     by = list(by)
     probs = [i / n_buckets for i in range(1, n_buckets)]
@@ -94,13 +108,15 @@ def with_buckets(vals: DataFrame, value: str, by: Sequence[str], n_buckets: int,
             cuts = sorted(set(x for x in (row[0] or []) if x is not None))
         return vals.withColumn(bucket_col, count_below(cuts, x_sql) if cuts else F.lit(0))
     cuts = vals.groupBy(*by).agg(F.percentile_approx(v, probs, APPROX_ACCURACY).alias("_cuts"))
-    return (vals.join(cuts, by, "left")
+    return (vals.join(_small(cuts, few), by, "left")
             .withColumn(bucket_col, count_below("_cuts", x_sql, len(probs)))
             .drop("_cuts"))
 
 
-def ordered_distinct(df: DataFrame, value: str, by: Sequence[str] = (), n_buckets=None) -> DataFrame:
-    """Distinct non-null values per group with their position in the group's sorted order.
+def ordered_distinct(df: DataFrame, value: str, by: Sequence[str] = (), n_buckets=None,
+                     few: bool = False) -> DataFrame:
+    """Distinct non-null values per group with their position in the group's sorted order. ``few``: the
+    caller's parameters bound the number of groups by FEW_GROUPS or less.
 
     Columns: ``by..., value, _m`` (multiplicity), ``_bkt``, ``_below`` (rows with a smaller value),
     ``_tot`` (non-null rows in the group). min-rank = _below + 1, max-rank = _below + _m.
@@ -109,7 +125,7 @@ def ordered_distinct(df: DataFrame, value: str, by: Sequence[str] = (), n_bucket
     nb = _n_buckets(df, n_buckets)
     present = df.where(F.col(value).isNotNull())
     vals = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_m"))
-    vals = with_buckets(vals, value, by, nb, cut_source=present.select(value), adaptive=n_buckets is None)
+    vals = with_buckets(vals, value, by, nb, cut_source=present.select(value), adaptive=n_buckets is None, few=few)
     w_in = Window.partitionBy(*by, "_bkt").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     vals = vals.withColumn("_below_in", F.coalesce(F.sum("_m").over(w_in), F.lit(0)))
     sizes = vals.groupBy(*by, "_bkt").agg(F.sum("_m").alias("_bn"))
@@ -133,14 +149,16 @@ def min_rank_pct(df: DataFrame, value: str, out: str, by: Sequence[str] = (), n_
 
 
 def min_rank_pct_many(df: DataFrame, values: dict, by: Sequence[str] = (), n_buckets=None) -> DataFrame:
-    """Several percentile ranks in one ordered pass: ``values`` maps output column -> input column."""
+    """Several percentile ranks: ``values`` maps output column -> input column. All columns are ranked by
+    one plan, written once, and read back for each column."""
     by = list(by)
     sides = list(values.items())
     long = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(out).alias("_side"), F.col(src).cast("double").alias("_v")) for out, src in sides
     ])).alias("_e")).select(*by, "_e._side", "_e._v")
-    ranks = (ordered_distinct(long, "_v", by + ["_side"], n_buckets)
+    ranks = (ordered_distinct(long, "_v", by + ["_side"], n_buckets, few=not by)
              .select(*by, "_side", "_v", ((F.col("_below") + 1) / F.col("_tot")).alias("_pct")))
+    ranks = cut_lineage(ranks, "ranks")
     out = df
     for name, src in sides:
         r = ranks.where(F.col("_side") == name).select(
@@ -180,6 +198,7 @@ def next_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], take:
     """
     by, order = list(by), list(order)
     nb = _n_buckets(df, n_buckets)
+    few = bool(by) and has_few_groups(df, by)
     # bucket on a non-decreasing proxy of the first two order keys, so rows sharing the first key
     # (e.g. one start coordinate) still spread over buckets by the second; any non-decreasing
     # function of the order keeps every lower bucket entirely before every higher one. A whole first
@@ -193,9 +212,9 @@ def next_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], take:
         span = (high - low) if low is not None and high is not None and 0 < high - low < float("inf") else 1.0
         place = F.greatest(F.least((second - F.lit(low or 0.0)) / F.lit(span), F.lit(1.0)), F.lit(0.0))
         proxy = F.col(order[0]).cast("double") + F.when(second.isNull(), 0.0).otherwise(place)
-        b = with_buckets(df.withColumn("_ord", proxy), "_ord", by, nb).drop("_ord")
+        b = with_buckets(df.withColumn("_ord", proxy), "_ord", by, nb, few=few).drop("_ord")
     else:
-        b = with_buckets(df, order[0], by, nb)
+        b = with_buckets(df, order[0], by, nb, few=few)
     w = Window.partitionBy(*by, "_bkt").orderBy(*order)
     b = b.withColumn("_lead_in", F.lead(take).over(w))
     firsts = b.groupBy(*by, "_bkt").agg(
@@ -213,7 +232,8 @@ def _lerp(a, b, t):
     return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: dict, by: Sequence[str] = (), n_buckets=None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: dict, by: Sequence[str] = (), n_buckets=None,
+                    few: bool = False) -> DataFrame:
     """Exact quantiles with numpy's default (linear) interpolation, one row per group.
 
     ``probs`` maps output column -> probability. Spark's exact ``percentile`` keeps every value of
@@ -222,7 +242,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict, by: Sequence[str] =
     per probability in total), so nothing is multiplied by the number of probabilities.
     """
     by = list(by)
-    od = ordered_distinct(df, value, by, n_buckets)
+    od = ordered_distinct(df, value, by, n_buckets, few)
     items = list(probs.items())
     parr = F.array(*[F.lit(float(p)) for _, p in items])
     n1 = (F.col("_tot") - F.lit(1)).cast("double")

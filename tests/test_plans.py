@@ -35,3 +35,26 @@ def test_scan_reads_only_used_columns(spark):
     p = plan_of(tot)
     assert "l_shipdate" not in p and "l_extendedprice" not in p and "p_retailprice" not in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_few_groups_are_not_shuffled_whole(spark):
+    """With automatic broadcasts off, no data-sized side is joined on a key of a few values alone."""
+    import re
+
+    from duocount.operators import ordered as OR
+
+    n = spark.range(2000).selectExpr("cast(id % 2 as string) as condition", "cast(id % 7 as string) as seq_id", "id as start_pos",
+                                     "id + 5 as end_pos", "cast(id as string) as locus_tag", "cast(id * 37 % 101 as double) as a",
+                                     "cast(id * 11 % 97 as double) as b")
+    coords = n.selectExpr("condition", "seq_id", "start_pos as start", "case when condition = '0' then '.' else '2' end as score")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = {"lead": plan_of(I.score_track(n, "a")), "mode": plan_of(I.profile_from_coordinates(coords)),
+                 "quantile": plan_of(OR.exact_quantiles(n, "a", {"m": 0.5}, by=["condition"], few=True)),
+                 "rank": plan_of(OR.ordered_distinct(n, "a", ["condition"], few=True))}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    for name, p in plans.items():
+        assert "BroadcastHashJoin" in p, name
+        assert not re.search(r"SortMergeJoin (\(skew=\w+\) )?\[[^,\]]+\], ", p), name
