@@ -37,8 +37,9 @@ def max_disp(n_samples: int) -> float:
     return max(10.0, float(n_samples))
 
 
-def _matrix(series, dtype=np.float64):
-    return np.vstack([np.asarray(v, dtype=dtype) for v in series]) if len(series) else np.zeros((0, 0))
+def count_rows(series) -> np.ndarray:
+    """Equal-length count arrays as one (genes, samples) matrix."""
+    return np.concatenate(series.to_numpy()).astype(np.float64).reshape(len(series), -1)
 
 
 def genewise_mapper(sf: Sequence[float], groups: Sequence[int]):
@@ -50,11 +51,11 @@ def genewise_mapper(sf: Sequence[float], groups: Sequence[int]):
     lo, hi = math.log(MIN_DISP / 10.0), math.log(max_disp(S))
 
     def run(batches):
-        for pdf in batches:
+        for pdf in M.gene_blocks(batches, S):
             if pdf.empty:
                 yield pdf.assign(allZero=pd.Series(dtype=bool), dispGeneEst=pd.Series(dtype=float))
                 continue
-            y = _matrix(pdf["counts"])
+            y = count_rows(pdf["counts"])
             all_zero = (y == 0).all(axis=1)
             q = y / sf[None, :]
             mu = np.empty_like(q)

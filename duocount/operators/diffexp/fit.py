@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 
 from duocount.operators.diffexp import nbmath as M
-from duocount.operators.diffexp.dispersion import MIN_DISP, MIN_MU, OUTLIER_SD, max_disp
+from duocount.operators.diffexp.dispersion import MIN_DISP, MIN_MU, OUTLIER_SD, count_rows, max_disp
 
 RESULT_SCHEMA = ("entity_id string, baseMean double, log2FoldChange double, lfcSE double, stat double, "
                  "pvalue double, dispGeneEst double, dispFit double, dispersion double, maxCooks double, "
@@ -115,7 +115,7 @@ def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: fl
     cutoff = M.f_quantile_df1_2(COOKS_QUANTILE, float(S - n_groups)) if S > n_groups else np.inf
 
     def run(batches):
-        for pdf in batches:
+        for pdf in M.gene_blocks(batches, S):
             n = len(pdf)
             out = pd.DataFrame({"entity_id": pdf["entity_id"].astype(str), "baseMean": pdf["baseMean"].astype(float)})
             for c in ("log2FoldChange", "lfcSE", "stat", "pvalue", "dispFit", "dispersion", "maxCooks"):
@@ -126,7 +126,7 @@ def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: fl
             if n == 0:
                 yield out
                 continue
-            y = np.vstack([np.asarray(v, float) for v in pdf["counts"]])
+            y = count_rows(pdf["counts"])
             nz = ~out["allZero"].values
             bm = out["baseMean"].values
             fit = np.where(nz, a0 + a1 / np.where(bm > 0, bm, 1.0), np.nan)

@@ -12,6 +12,8 @@ import numpy as np
 
 _HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
 _SHIFT = 8.0
+COARSE = 20                # candidates a gene in each round of the dispersion search
+BLOCK_VALUES = 2_000_000   # doubles in one (genes, candidates, samples) array
 
 
 def lgamma(x):
@@ -51,6 +53,14 @@ def norm_two_sided_p(z):
     return out
 
 
+def gene_blocks(batches, n_samples: int):
+    """Batches cut so that the (genes, candidates, samples) arrays of a search hold at most BLOCK_VALUES."""
+    size = max(1, BLOCK_VALUES // (COARSE * n_samples))
+    for pdf in batches:
+        for start in range(0, max(len(pdf), 1), size):
+            yield pdf.iloc[start:start + size].reset_index(drop=True)
+
+
 def f_quantile_df1_2(p: float, d2: float) -> float:
     """Quantile of F(2, d2): P(F <= x) = 1 - (1 + 2x/d2)^(-d2/2)."""
     return (d2 / 2.0) * ((1.0 - p) ** (-2.0 / d2) - 1.0)
@@ -76,7 +86,7 @@ def nb_loglik_cr(log_alpha, y, mu, groups, n_groups: int):
     return ll - 0.5 * cr
 
 
-def maximise_log_alpha(objective, lo: float, hi: float, n_genes: int, coarse: int = 20, rounds: int = 3):
+def maximise_log_alpha(objective, lo: float, hi: float, n_genes: int, coarse: int = COARSE, rounds: int = 3):
     """Maximise a (G, K) -> (G, K) objective over log(alpha) in [lo, hi]: coarse grid, then two
     refinements around each gene's best point (a grid search with shrinking step, as the fallback
     search of the published method)."""

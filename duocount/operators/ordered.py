@@ -198,7 +198,6 @@ def next_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], take:
     """
     by, order = list(by), list(order)
     nb = _n_buckets(df, n_buckets)
-    few = bool(by) and has_few_groups(df, by)
     # bucket on a non-decreasing proxy of the first two order keys, so rows sharing the first key
     # (e.g. one start coordinate) still spread over buckets by the second; any non-decreasing
     # function of the order keeps every lower bucket entirely before every higher one. A whole first
@@ -208,13 +207,15 @@ def next_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], take:
     whole = ("long", "integer", "short")
     if len(order) > 1 and types[order[0]] in whole and types[order[1]] in (*whole, "double", "float"):
         second = F.nanvl(F.col(order[1]).cast("double"), F.lit(float("inf")))
-        low, high = df.agg(F.min(second), F.max(F.when(second < float("inf"), second))).first()
+        ranges = df.groupBy(*by).agg(F.min(second).alias("low"), F.max(F.when(second < float("inf"), second)).alias("high"))
+        low, high, groups = ranges.agg(F.min("low"), F.max("high"), F.count(F.lit(1))).first()
+        few = bool(by) and groups <= FEW_GROUPS
         span = (high - low) if low is not None and high is not None and 0 < high - low < float("inf") else 1.0
         place = F.greatest(F.least((second - F.lit(low or 0.0)) / F.lit(span), F.lit(1.0)), F.lit(0.0))
         proxy = F.col(order[0]).cast("double") + F.when(second.isNull(), 0.0).otherwise(place)
         b = with_buckets(df.withColumn("_ord", proxy), "_ord", by, nb, few=few).drop("_ord")
     else:
-        b = with_buckets(df, order[0], by, nb, few=few)
+        b = with_buckets(df, order[0], by, nb, few=bool(by) and has_few_groups(df, by))
     w = Window.partitionBy(*by, "_bkt").orderBy(*order)
     b = b.withColumn("_lead_in", F.lead(take).over(w))
     firsts = b.groupBy(*by, "_bkt").agg(

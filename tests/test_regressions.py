@@ -77,3 +77,48 @@ def test_a_trend_that_does_not_settle_is_a_failed_fit(spark, monkeypatch):
     df = spark.createDataFrame([(False, 0.1 + 0.3 * (i % 7), 5.0 + i) for i in range(200)], "allZero boolean, dispGeneEst double, baseMean double")
     monkeypatch.setattr(D, "TREND_MAX_INNER", 1)
     assert D.fit_trend(df, 6) is None
+
+
+def test_first_duplicate_decides_before_nulls_go(spark):
+    from duocount.operators.diffexp import counts as DC
+
+    df = spark.createDataFrame([("a", 1, None, 5), ("a", 2, 3, 4), ("b", 2, 9, 9), ("b", 1, 1, 2), (None, 1, 1, 1)],
+                               "id string, line int, x_MP_control int, x_MP_test int")
+    got = {(r.entity_id, r.sample, r.condition, r.cnt) for r in DC.long_counts_from_wide(df, "id", order=["line"]).collect()}
+    # a's first row is incomplete, so a goes although its second row is whole; a null id is incomplete too
+    assert got == {("b", "x_MP_control", "control", 1), ("b", "x_MP_test", "test", 2)}
+
+
+def test_failing_run_leaves_its_log_row(spark):
+    from duocount.operators.diffexp.run import logged_run, run_log
+
+    df = spark.createDataFrame([("a", "s_MP_control", "control", 1.5), ("a", "s_MP_test", "test", 2.0)],
+                               "entity_id string, sample string, condition string, cnt double")
+    result, row = logged_run("r", df)
+    assert result is None and run_log(spark, [row]).first().reason == "1 counts are negative or not integers"
+
+
+def test_attached_results_are_metrics(spark):
+    from duocount import ComparisonSpec
+    from duocount.operators import compare as cmp
+    from duocount.operators.diffexp.run import attach_results
+    from duocount.schemas import DE_RESULT_COLUMNS
+
+    genes = spark.createDataFrame([("g1", 1.0), ("g2", 2.0)], "locus_tag string, other double")
+    res = spark.createDataFrame([("g1", *[0.5] * 6)], "entity_id string, " + ", ".join(f"{c} double" for c in DE_RESULT_COLUMNS))
+    df, spec = attach_results(genes, res, "locus_tag", ComparisonSpec())
+    for c in DE_RESULT_COLUMNS:
+        shown = cmp.visible_columns(df, spec, metric=f"de_{c}")
+        assert f"de_{c}" in shown and sum(x.startswith("de_") for x in shown) == 1
+    assert {r.locus_tag: r.de_pvalue for r in df.collect()} == {"g1": 0.5, "g2": None}
+
+
+def test_gene_blocks_do_not_change_rows():
+    import pandas as pd
+
+    from duocount.operators.diffexp import nbmath as M
+
+    whole = pd.DataFrame({"x": range(1000)})
+    parts = list(M.gene_blocks([whole, whole.iloc[:0]], M.BLOCK_VALUES // (M.COARSE * 300)))
+    assert max(map(len, parts)) == 300 and len(parts[-1]) == 0
+    assert pd.concat(parts).x.tolist() == list(range(1000))
