@@ -48,6 +48,7 @@ PERCENT, WORDS = 75, 5
 BUCKET_SHINGLES = 1_500_000  # shingles in one hash range, on average
 SEND_BYTES = 4 << 20  # text behind one message to each hash range
 BLOCK, LEAF = 512, 48
+SALTS = 16  # parts of a class when its least id is handed back
 
 
 def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -373,9 +374,13 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, doc
     far = cut_lineage(region_links(distances, sets, labels, percent), "region-links")
     if far.limit(1).count():
         labels = cut_lineage(components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(far.select("u", "v"))), "labels")
-    member = points.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id")
-    least = member.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    class_of = member.join(least, "label").select("node", "component_id")
+    # a class of a third of all points is spread over SALTS tasks; a point without links is its own class
+    member = points.join(labels, "node", "left").select(
+        "node", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("linked"), "doc_id",
+        F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
+    least = member.where("linked").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    salted = least.select("label", "component_id", F.expr(f"explode(sequence(0L, {SALTS - 1}L))").alias("salt"))
+    class_of = member.join(salted, ["label", "salt"], "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     joined = keys.join(class_of, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
