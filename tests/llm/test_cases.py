@@ -196,6 +196,21 @@ def test_lm_learns_and_scores_odd_rows(odd, nothing, small):
     assert lm_score.score(nothing, empty, lm_score.train(nothing, empty)).count() == 0
 
 
+def test_lm_trains_on_every_position(spark):
+    from duocount.llm.words import buffers, word_hashes
+    import pyarrow as pa
+    docs = spark.createDataFrame([(1, "one two three four five")], "doc_id long, text string")
+    vocab = lm_score.vocabulary(docs)
+    words, row = word_hashes(*buffers(pa.array(["one two three four five"])))
+    t, at = vocab.tokens(words), np.arange(5)
+    context = lm_score.contexts(t, row, at)
+    blank, trained = (n.log_probability(context, t) for n in (lm_score.train(docs, vocab, rounds=0), lm_score.train(docs, vocab)))
+    assert (trained > blank).all()
+    for turn in range(lm_score.ROUNDS):
+        assert lm_score.targets(np.array([0, 3, 3, 20]), turn).tolist() == list(range(20))
+    assert lm_score.targets(np.array([0, 3, 3, 10]), 0, 4).tolist() == [0, 3, 7]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     sf = "/root/testdata/sf0.1"
