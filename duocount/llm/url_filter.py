@@ -8,7 +8,8 @@ Host edges are the absolute and scheme-less links in a page's html (link counts
 inside a host carry nothing between hosts), and one edge each way between a host and its parent domain,
 since a subdomain and its domain are under one owner. Edges are aggregated per (from, to) before anything is
 joined; both ranks go through one join and one partial aggregation an iteration, and the ranks are
-written to a checkpoint table every ``CUT`` iterations.
+written to a checkpoint table every ``CUT`` iterations. They are iterated until ``CUT`` steps change the ranks
+of either kind by less than ``TOLERANCE`` in sum; after ``STEP_LIMIT`` steps without that an error is raised.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and is
 allowed; a null or empty html has no links; ties in rank are allowed; repeated rows are judged row by
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 
 from duocount.session import cut_lineage
 
-DAMPING, ITERATIONS, CUT, RATIO = 0.85, 8, 4, 1.0
+DAMPING, CUT, RATIO = 0.85, 8, 1.0
+TOLERANCE, STEP_LIMIT = 1e-9, 256  # after n steps, the further change is at most 2 * DAMPING ** n
+ITERATIONS = 8  # steps that the DuckDB oracle unrolls
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,8 +78,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.union(both).where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """(host, trust, distrust) from edges and seeds (kind trust or distrust, host, mass)."""
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, limit: int = STEP_LIMIT) -> DataFrame:
+    """(host, trust, distrust), settled to ``tolerance``, from edges and seeds (kind trust or distrust, host, mass)."""
     directed = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(
         edges.select(F.lit("distrust"), "dst", "src", "weight"))
     out = directed.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
@@ -84,13 +87,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS)
         "kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total")).alias("share")), "link-shares")
     total = seeds.groupBy("kind").agg(F.sum("mass").alias("total"))
     start = cut_lineage(seeds.join(total, "kind").select("kind", "host", (F.col("mass") / F.col("total")).alias("rank")), "link-seeds")
-    rank = start
     restart = start.select("kind", "host", (F.col("rank") * (1 - DAMPING)).alias("rank"))
-    for step in range(1, iterations + 1):
-        moved = rank.join(shares, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
-        rank = moved.union(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if step % CUT == 0 and step < iterations:
-            rank = cut_lineage(rank, "link-ranks")
+    last, step, change = start, 0, None
+    while change is None or change >= tolerance:
+        if step >= limit:
+            raise RuntimeError(f"link ranks still change by {change} in sum after {step} steps")
+        rank = last
+        for step in range(step + 1, min(step + CUT, limit) + 1):
+            moved = rank.join(shares, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
+            rank = moved.union(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        rank = cut_lineage(rank, "link-ranks")
+        moves = rank.union(last.select("kind", "host", -F.col("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("move"))
+        change = moves.groupBy("kind").agg(F.sum(F.abs("move")).alias("change")).agg(F.max("change")).first()[0] or 0.0
+        last = rank
 
     def of(kind: str) -> Column:
         return F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)

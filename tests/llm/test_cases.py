@@ -287,6 +287,18 @@ def test_url_verdicts(spark):
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_url_ranks_settle_along_a_long_chain(spark):
+    rules = [url_filter.rule("block", "h0.com/")]
+    rows = [(0, "http://h0.com/", None)] + [(i, f"http://h{i}.com/", f'<a href="http://h{i - 1}.com/">x</a>') for i in range(1, 13)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.distrust) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert {v for v, _ in got.values()} == {"block"}
+    assert [got[i][1] for i in range(13)] == pytest.approx([0.15 * 0.85 ** i for i in range(13)], abs=1e-8)
+    edges = spark.createDataFrame([("a.com", "b.com", 1), ("b.com", "a.com", 1)], "src string, dst string, weight long")
+    with pytest.raises(RuntimeError):
+        url_filter.propagate(edges, spark.createDataFrame([("trust", "a.com", 1)], "kind string, host string, mass long"), limit=8)
+
+
 def test_pipeline_stages(spark, odd, nothing, small):
     import corpus_pipeline as p
     for docs in (odd, nothing, small):
