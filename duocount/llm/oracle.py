@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from duocount.llm import quality_rules as rules
-from duocount.llm import url_filter
+from duocount.llm import url_filter, vector_codes
 
 _WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _UPPER, _LOWER = url_filter.UPPER, url_filter.LOWER
@@ -129,8 +129,81 @@ p as (select doc_id, item_id, count(*) as i from s_documents join s_benchmark us
 select doc_id, item_id, n::bigint as n_shingles, i::bigint as n_shared, i / n as containment from p join n using (item_id) where i * 100 >= n * 75"""
 
 
+def _merkle() -> str:
+    def path(tree: str, node: str, match: str) -> str:
+        at = f"(({node} >> (4 * s.level)) % 16)"
+        return (f"select l.rid, '{tree}' as tree, s.level, substr(s.s, 1, {at} * 64) || ',' || substr(s.s, {at} * 64 + 65) as x "
+                f"from {match} and s.run = {node} >> (4 * s.level + 4)")
+
+    field = lambda c: f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c}::varchar end"
+    row = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    changed = f"translate(text, '{_UPPER}', '{_LOWER}')"
+    return f"""
+with recursive
+crc as (select list(list_reduce(range(8), lambda a, i: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, b) order by b) as t
+  from range(256) as r(b)),
+d as (select row_number() over () as rid, doc_id, source, sha256({row} || {field('text')}) as leaf,
+  sha256({row} || {field(changed)}) as changed, xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+  lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) as crc from documents, crc),
+l as (select *, row_number() over (partition by source order by doc_id nulls first, leaf, rid) - 1 as pos, count(*) over (partition by source) as n from d),
+lv(source, level, pos, h, n) as (select source, 0, pos, leaf, n from l union all
+  select source, level + 1, pos >> 4, sha256(string_agg(h, '' order by pos)), (max(n) + 15) >> 4 from lv where n > 1 group by source, level, pos >> 4),
+sub as (select source, h, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n from lv where n = 1),
+tv(level, pos, h, n) as (select 0, pos, h, n from sub union all
+  select level + 1, pos >> 4, sha256(string_agg(h, '' order by pos)), (max(n) + 15) >> 4 from tv where n > 1 group by level, pos >> 4),
+runs as (select source, level, pos >> 4 as run, string_agg(h, '' order by pos) as s from lv where n > 1 group by all),
+tops as (select level, pos >> 4 as run, string_agg(h, '' order by pos) as s from tv where n > 1 group by all),
+steps as ({path('a', 'l.pos', 'l join runs s on s.source is not distinct from l.source')} union all
+  {path('b', 'sub.pos', 'l join sub on sub.source is not distinct from l.source join tops s on true')}),
+p as (select rid, list(x order by tree, level) as p from steps group by rid),
+f as (select l.*, sub.h as subroot, coalesce(p.p, []) as p, (select h from tv where n = 1) as root
+  from l join sub on sub.source is not distinct from l.source left join p using (rid)),
+g as (select *, list_reduce(p, lambda a, x: sha256(split_part(x, ',', 1) || a || split_part(x, ',', 2)),
+  case when crc % 5 = 0 then changed else leaf end) as folded_root from f)
+select doc_id, leaf, subroot, root, sha256(replace(array_to_string(p, ''), ',', '')) as proof_sha256, folded_root, folded_root = root as verified from g"""
+
+
+def _substring_dedup() -> str:
+    return f"""
+with d as (select row_number() over () as rid, doc_id, {_words("coalesce(text, '')")} as w from documents),
+win as (select rid, i, md5(array_to_string(w[i:i + 34], ' ')) as h from (select rid, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),
+rep as (select rid, i from (select *, count(*) over (partition by h) as n from win) where n > 1),
+cov as (select distinct rid, i + o as i from rep, range(35) as r(o)),
+word as (select rid, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d),
+kept as (select rid, string_agg(word, ' ' order by i) as t, count(*) as n from word anti join cov using (rid, i) group by rid)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (rid)"""
+
+
+def _vector_codes() -> str:
+    steps = []
+    for r in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""
+a{r} as materialized (select rid, p.k, min(list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))::bigint * 256 + e) as m
+  from p join b{r} b on p.k = b.k group by rid, p.k)""")
+        if r < vector_codes.ROUNDS:
+            steps.append(f"""
+s{r} as (select k, m % 256 as e, i, sum(x) as s, count(*) as c from (select p.k, m, unnest(p.x) as x, unnest(range(1, len(p.x) + 1)) as i
+  from p join a{r} a on p.rid = a.rid and p.k = a.k) group by all),
+b{r + 1} as materialized (select b.k, b.e, coalesce(n.x, b.x) as x from b{r} b left join
+  (select k, e, list(((s - ((s % c) + c) % c) // c)::bigint order by i) as x from s{r} group by k, e) n on b.k = n.k and b.e = n.e)""")
+    last = vector_codes.ROUNDS
+    return f"""
+with s as (select vec_id, label, embedding from embeddings where len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+one as (select len(embedding) as w from s order by vec_id nulls last, embedding limit 1),
+v as (select *, row_number() over (order by vec_id nulls last, embedding) as rid from s, one where len(embedding) = w and w % 4 = 0),
+p as materialized (select rid, k, list_transform(embedding[k * w // 4 + 1:(k + 1) * w // 4], lambda x: floor(1024 * x::double)::bigint) as x from v, range(4) as r(k)),
+b0 as (select k, rid - 1 as e, x from p where rid <= 256),
+{",".join(steps)},
+c as (select rid, string_agg(format('{{:02x}}', m % 256), '' order by k) as code, sum(m // 256)::bigint as error from a{last} group by rid),
+h as (select sha256(string_agg(array_to_string(x, ','), ',' order by k, e)) as codebooks_sha256 from b{last})
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from v join c using (rid), h"""
+
+
 def _oracles() -> dict[str, str]:
-    found = {"op1_quality_rules": _quality_rules(), "op3_jaccard_join": _jaccard_join(), "op5_decontaminate": _decontaminate()}
+    found = {"op11_merkle_manifest": _merkle(), "op12_substring_dedup": _substring_dedup(),
+             "op13_vector_codes": _vector_codes(),
+             "op1_quality_rules": _quality_rules(), "op3_jaccard_join": _jaccard_join(), "op5_decontaminate": _decontaminate()}
     rule_list = [url_filter.rule(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
                                                ("allow", "com/fr/"), ("block", "com/de/"))]
     return {**found, "op4_url_filter": _url_filter(rule_list)}

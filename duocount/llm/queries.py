@@ -7,8 +7,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duocount.llm import (binary_ids, decontaminate, jaccard_join, lm_score, packing, quality, quality_rules,
-                          token_count, toxicity, url_filter)
+from duocount.llm import (binary_ids, decontaminate, jaccard_join, lm_score, merkle, packing, quality, quality_rules,
+                          substring_dedup, token_count, toxicity, url_filter, vector_codes)
 from duocount.llm.oracle import ORACLES
 
 URL_RULES = [url_filter.rule(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
@@ -105,11 +105,28 @@ def op10_token_count(spark, sf_dir):
     return token_count.token_counts(docs, tokenizer_path("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    """Merkle leaves, roots and proofs of every document, checked against a tampered copy."""
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark, sf_dir):
+    """Documents without the passages of 35 words or more that occur more than once."""
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    """Product codes of the embeddings and what they lose."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     own = [op1_quality_rules, op2_binary_ids, op3_jaccard_join, op4_url_filter, op5_decontaminate, op6_lm_score,
-           op7_packing, op8_toxicity, op9_quality, op10_token_count]
+           op7_packing, op8_toxicity, op9_quality, op10_token_count, op11_merkle_manifest,
+           op12_substring_dedup, op13_vector_codes]
     return {**{q.__name__: q for q in own}, "pipeline": corpus_pipeline.run}
 
 
