@@ -53,19 +53,23 @@ def join_by_count(rows: DataFrame, keyed: DataFrame, on: Sequence[str], weight:
     """``rows`` joined (``inner`` or ``left_semi``) to ``keyed``, one row per key, null-safe on the columns
     ``on``; its column ``weight`` (not returned) says how many of ``rows`` have that key, or a bound of it.
 
-    Both sides are read up to twice: pass tables, not long plans. The result has the columns of ``rows`` and,
-    for ``inner``, the other columns of ``keyed``."""
+    ``keyed`` is read up to three times: pass a table. Its columns should be of fixed width: up to HOT_KEYS rows
+    are broadcast. The result has the columns of ``rows`` and, for ``inner``, the other columns of ``keyed``."""
     payload = [c for c in keyed.columns if c not in (*on, weight)]
-    side = keyed.select(group_key(on).alias("_k"), *payload, weight)
-    left = rows.withColumn("_k", group_key(on))
+    side = keyed.select(group_key(on).alias("_k"), F.struct(F.lit(1).alias("met"), *payload).alias("_p"), weight)
     size = side.agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w")).first()
-
-    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.join(b.drop(weight), "_k", how).drop("_k")
-
+    found = rows.withColumn("_k", group_key(on))
     if size["n"] <= BROADCAST_ROWS:
-        return joined(left, F.broadcast(side))
-    limit = max(1, int(size["w"]) // HOT_KEYS)
-    hot = side.where(F.col(weight) > limit)
-    cold = left.join(F.broadcast(hot.select("_k")), "_k", "left_anti")
-    return joined(left, F.broadcast(hot)).unionByName(joined(cold, side.where(F.col(weight) <= limit)))
+        found = found.join(F.broadcast(side.drop(weight)), "_k")
+    else:
+        limit = max(1, int(size["w"]) // HOT_KEYS)
+        hot = side.where(F.col(weight) > limit).select("_k", F.col("_p").alias("_hot"))
+        cold = side.where(F.col(weight) <= limit).select(F.struct("_k", F.lit(0).cast("long").alias("salt")).alias("_s"), "_p")
+        # rows that met a hot key are spread over all tasks; the others meet their key
+        salted = F.when(F.col("_hot").isNull(), F.struct("_k", F.lit(0).cast("long").alias("salt"))).otherwise(
+            F.struct(F.lit(None).cast(rows.select(group_key(on).alias("_k")).schema["_k"].dataType).alias("_k"),
+                     F.xxhash64(*rows.columns).alias("salt")))
+        found = (found.join(F.broadcast(hot), "_k", "left").withColumn("_s", salted).join(cold, "_s", "left")
+                 .withColumn("_p", F.coalesce("_hot", "_p")).where("_p is not null").drop("_s", "_hot"))
+    keep = [F.col(c) for c in rows.columns]
+    return found.select(*keep, *([F.col(f"_p.{c}") for c in payload] if how == "inner" else []))
