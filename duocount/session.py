@@ -60,3 +60,12 @@ def cut_lineage(df, name: str = "t"):
     path = f"{checkpoint_dir(spark).rstrip('/')}/duocount-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_table(df) -> None:
+    """Delete the files of a table made by :func:`cut_lineage` that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
