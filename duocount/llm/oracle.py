@@ -6,6 +6,7 @@ from duocount.llm import quality_rules as rules
 from duocount.llm import url_filter, vector_codes
 
 _WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+SETTLED = 160   # steps after which link ranks move by less than 2 * 0.85 ** 160 = 1e-11 in all
 _UPPER, _LOWER = url_filter.UPPER, url_filter.LOWER
 
 
@@ -90,33 +91,31 @@ def _url_filter(rule_list) -> str:
     ordered = sorted(rule_list, key=lambda r: (-len(r.text), r.text))
     fits = [(f"(host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}')", r) for r in ordered]
     case = lambda what: "case " + " ".join(f"when {f} then '{getattr(r, what)}'" for f, r in fits) + " end"
-    steps, prev = [], "seed"
-    for i in range(url_filter.ITERATIONS):
-        steps.append(f"""
-k{i} as (select kind, host, sum(rank) as rank from (
-  select s.kind, s.dst as host, r.rank * s.share * {url_filter.DAMPING} as rank from {prev} r join share s on s.kind = r.kind and s.src = r.host
-  union all select kind, host, rank * (1 - {url_filter.DAMPING}) from seed) group by all)""")
-        prev = f"k{i}"
     return f"""
-with a as (select page_id, html, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+with recursive a as (select page_id, html, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 b as (select page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') as host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from a),
 c as (select page_id, host, path, {case('text')} as rule, {case('verdict')} as ruled from b),
 l as (select host as src, translate(unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\\s*=\\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''<>\\s]+)', 1)),
   '{_UPPER}', '{_LOWER}') as dst from b where host <> ''),
 h as (select distinct host from (select host from b where host <> '' union all select dst from l)),
-f as (select host, regexp_replace(host, '^[^.]*\\.', '') as parent from h where length(host) - length(replace(host, '.', '')) >= 2),
-e as (select src, dst, count(*) as weight from (select src, dst from l union all select host, parent from (select distinct * from f)
-  union all select parent, host from (select distinct * from f)) where src <> dst group by all),
+f as (select distinct array_to_string(l[i:], '.') as host, array_to_string(l[i + 1:], '.') as parent
+  from (select l, unnest(range(1, len(l) - 1)) as i from (select string_split(host, '.') as l from h))),
+e as (select src, dst, count(*) as weight from (select src, dst from l union all select host, parent from f
+  union all select parent, host from f) where src <> dst group by all),
 x as (select 'trust' as kind, src, dst, weight from e union all select 'distrust', dst, src, weight from e),
 share as (select kind, src, dst, weight / sum(weight) over (partition by kind, src) as share from x),
 m as (select case when ruled = 'allow' then 'trust' else 'distrust' end as kind, host, count(*) as mass from c
   where ruled is not null and host <> '' group by all),
 seed as (select kind, host, mass / sum(mass) over (partition by kind) as rank from m),
-{",".join(steps)},
+r(step, kind, host, rank) as (select 0, kind, host, rank from seed union all
+  select step + 1, kind, host, sum(rank) from (
+    select step, s.kind, s.dst as host, r.rank * s.share * {url_filter.DAMPING} as rank from r join share s on s.kind = r.kind and s.src = r.host
+    union all select step, kind, host, rank * (1 - {url_filter.DAMPING}) from seed, (select distinct step from r))
+  where step < {SETTLED} group by step, kind, host),
 v as (select host, sum(case when kind = 'trust' then rank else 0 end) as trust, sum(case when kind = 'distrust' then rank else 0 end) as distrust
-  from {prev} group by host)
-select page_id, c.host, path, rule, coalesce(ruled, case when distrust > trust * {url_filter.RATIO} + 1e-12 then 'block' else 'allow' end) as verdict
+  from r where step = {SETTLED} group by host)
+select page_id, c.host, path, rule, coalesce(ruled, case when distrust > trust * {url_filter.RATIO} + {url_filter.MARGIN} then 'block' else 'allow' end) as verdict
 from c left join v on v.host = c.host"""
 
 

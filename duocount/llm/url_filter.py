@@ -5,11 +5,12 @@ PageRank over host edges from the hosts of allowed pages, distrust one over the
 hosts of blocked pages, and a host is blocked where its distrust exceeds ``RATIO`` times its trust.
 
 Host edges are the absolute and scheme-less links in a page's html (link counts as weights; links
-inside a host carry nothing between hosts), and one edge each way between a host and its parent domain,
-since a subdomain and its domain are under one owner. Edges are aggregated per (from, to) before anything is
-joined; both ranks go through one join and one partial aggregation an iteration, and the ranks are
-written to a checkpoint table every ``CUT`` iterations. They are iterated until ``CUT`` steps change the ranks
-of either kind by less than ``TOLERANCE`` in sum; after ``STEP_LIMIT`` steps without that an error is raised.
+inside a host carry nothing between hosts), and one edge each way between a host and its parent domain, up its whole
+chain of suffixes to two labels, since a subdomain and its domain are under one owner. Edges are aggregated per (from, to)
+before anything is joined; both ranks go through one join and one partial aggregation a step, in as many partitions as
+the counted edges fill, and are written to a checkpoint table every ``CUT`` steps; the superseded one is deleted. Steps
+go on until ``CUT`` of them change the ranks of either kind by less than ``TOLERANCE`` in sum; after ``STEP_LIMIT`` steps
+without that an error is raised. ``MARGIN`` is more than what ranks settled so far can still move.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and is
 allowed; a null or empty html has no links; ties in rank are allowed; repeated rows are judged row by
@@ -23,11 +24,12 @@ from typing import NamedTuple, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duocount.session import cut_lineage
+from duocount.session import cut_lineage, drop_table
 
 DAMPING, CUT, RATIO = 0.85, 8, 1.0
 TOLERANCE, STEP_LIMIT = 1e-9, 256  # after n steps, the further change is at most 2 * DAMPING ** n
-ITERATIONS = 8  # steps that the DuckDB oracle unrolls
+MARGIN = 1e-8                      # over TOLERANCE * DAMPING / (1 - DAMPING)
+EDGES_A_TASK = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,10 +73,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     linked = (pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(links).alias("dst"))
               .select("src", F.translate("dst", UPPER, LOWER).alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("weight")))
     hosts = pages.where("host <> ''").select("host").distinct().union(linked.select("dst")).distinct()
-    parent = F.regexp_replace("host", r"^[^.]*\.", "")
-    family = hosts.where(F.length("host") - F.length(F.translate("host", ".", "")) >= 2).select(F.col("host"), parent.alias("parent"))
-    grand = family.select(F.col("host").alias("src"), F.col("parent").alias("dst"))
-    both = grand.union(grand.select("dst", "src")).select("src", "dst", F.lit(1).cast("long").alias("weight"))
+    labels = hosts.select(F.split("host", r"\.").alias("l")).where(F.size("l") > 2)
+    chain = F.explode(F.expr("transform(sequence(1, size(l) - 2), i -> struct(array_join(slice(l, i, size(l)), '.') as src, "
+                             "array_join(slice(l, i + 1, size(l)), '.') as dst))"))
+    up = labels.select(chain.alias("e")).select("e.*").distinct()
+    both = up.union(up.select("dst", "src")).select("src", "dst", F.lit(1).cast("long").alias("weight"))
     return linked.union(both).where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
@@ -83,10 +86,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
     directed = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(
         edges.select(F.lit("distrust"), "dst", "src", "weight"))
     out = directed.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
+    tasks = -(-2 * edges.count() // EDGES_A_TASK) or 1
     shares = cut_lineage(directed.join(out, ["kind", "src"]).select(
-        "kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total")).alias("share")), "link-shares")
+        "kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total")).alias("share")).coalesce(tasks), "link-shares")
     total = seeds.groupBy("kind").agg(F.sum("mass").alias("total"))
-    start = cut_lineage(seeds.join(total, "kind").select("kind", "host", (F.col("mass") / F.col("total")).alias("rank")), "link-seeds")
+    start = cut_lineage(seeds.join(total, "kind").select("kind", "host", (F.col("mass") / F.col("total")).alias("rank")).coalesce(tasks), "link-seeds")
     restart = start.select("kind", "host", (F.col("rank") * (1 - DAMPING)).alias("rank"))
     last, step, change = start, 0, None
     while change is None or change >= tolerance:
@@ -95,10 +99,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
         rank = last
         for step in range(step + 1, min(step + CUT, limit) + 1):
             moved = rank.join(shares, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
-            rank = moved.union(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+            rank = moved.union(restart).coalesce(tasks).groupBy("kind", "host").agg(F.sum("rank").alias("rank")).coalesce(tasks)
         rank = cut_lineage(rank, "link-ranks")
-        moves = rank.union(last.select("kind", "host", -F.col("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("move"))
-        change = moves.groupBy("kind").agg(F.sum(F.abs("move")).alias("change")).agg(F.max("change")).first()[0] or 0.0
+        moves = rank.union(last.select("kind", "host", -F.col("rank"))).coalesce(tasks).groupBy("kind", "host").agg(F.sum("rank").alias("move"))
+        change = moves.coalesce(tasks).groupBy("kind").agg(F.sum(F.abs("move")).alias("change")).agg(F.max("change")).first()[0] or 0.0
+        if last is not start:
+            drop_table(last)
         last = rank
 
     def of(kind: str) -> Column:
@@ -118,7 +124,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], page_id: str = "page_id"
              .groupBy(F.when(F.col("fit.verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host")
              .agg(F.count("*").alias("mass")))
     ranks = propagate(cut_lineage(host_edges(parsed), "host-edges"), seeds)
-    verdict = ranks.select("host", "trust", "distrust", (F.col("distrust") > F.col("trust") * RATIO + 1e-12).alias("bad"))
+    verdict = ranks.select("host", "trust", "distrust", (F.col("distrust") > F.col("trust") * RATIO + MARGIN).alias("bad"))
     return ruled.join(verdict, "host", "left").select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"),
         F.coalesce(F.col("fit.verdict"), F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"),
