@@ -1,11 +1,11 @@
 """Order statistics over a whole table without an ``Exchange SinglePartition``.
 
-A plain ``Window.orderBy(x)`` with no partition moves every row into one task. Here the values are
-first reduced to distinct values with multiplicities (ties collapse, partial aggregation runs
-map-side), then cut into range buckets by approximate quantiles. A bucket is a deterministic
-function of the value, so equal values always share a bucket and every result is exact whatever the
-cut points are. Running counts are computed inside a bucket (one task per bucket) and combined with
-per-bucket offsets from a table of ``groups x buckets`` rows.
+A plain ``Window.orderBy(x)`` with no partition, or with few, moves whole groups into one task each. Here
+values are first reduced to distinct values with multiplicities (ties collapse, partial aggregation runs
+map-side) and dealt by range over (group, value), so a group has as many tasks as its values fill. Running counts
+inside a partition are offset by prefix sums over the (partition, group) cells, and results go back to the
+rows by a key join that spreads hot values (:mod:`duocount.operators.ranges`). No number of partitions or
+groups is fixed, results never depend on them, and a null group key is a group like others.
 """
 
 from __future__ import annotations
@@ -15,14 +15,11 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from duocount.operators.ranges import BROADCAST_ROWS, deal_by_range, join_by_count
 from duocount.session import cut_lineage
 
-DEFAULT_BUCKETS = 64
-MAX_GROUP_BUCKETS = 256     # buckets per group when cut points stay in the plan (grouped case)
-MAX_BUCKETS = 1024          # finest cut-point grid of the ungrouped case
-ROWS_PER_BUCKET = 200_000   # ungrouped case: most rows one window task sorts
-APPROX_ACCURACY = 10000
-FEW_GROUPS = 1000           # groups whose cut points and bucket sizes (at most 256 numbers each) are broadcast
+FEW_GROUPS = 1000           # groups known to be so few have few (partition, group) cells, which are broadcast
+CELL = ["_part", "_g"]
 
 
 def _sql_name(name: str) -> str:
@@ -57,84 +54,38 @@ def count_below(cuts, x: str, n: int = None):
     return F.expr(count_below_sql(lambda i: f"element_at({_sql_name(cuts)}, {i + 1})", n, x))
 
 
-def _n_buckets(df: DataFrame, n_buckets) -> int:
-    if n_buckets:
-        return int(n_buckets)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return min(MAX_GROUP_BUCKETS, max(DEFAULT_BUCKETS, 4 * parts))
+def _cells(cells: DataFrame, by: Sequence[str], few: bool) -> DataFrame:
+    """Per-cell results, broadcast where the partitions and groups they come from are few."""
+    if not by or few or cells.count() <= BROADCAST_ROWS:
+        return F.broadcast(cells)
+    return cells
 
 
-def has_few_groups(df: DataFrame, by: Sequence[str]) -> bool:
-    """Are there at most FEW_GROUPS groups? A partial distinct count, for callers that know no bound."""
-    return df.select(*by).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+def ordered_distinct(df: DataFrame, value: str, by: Sequence[str] = (), n_buckets=None, few: bool = False) -> DataFrame:
+    """Distinct non-null values per group with their position in the group's sorted order. ``n_buckets``: range
+    partitions (default: the session's shuffle partitions); ``few``: at most FEW_GROUPS groups, by the caller's parameters.
 
-
-def _small(df: DataFrame, few: bool) -> DataFrame:
-    return F.broadcast(df) if few else df
-
-
-def with_buckets(vals: DataFrame, value: str, by: Sequence[str], n_buckets: int,
-                 bucket_col: str = "_bkt", cut_source: DataFrame = None, adaptive: bool = False,
-                 few: bool = False) -> DataFrame:
-    """Add ``bucket_col`` = number of quantile cut points strictly below ``value``.
-
-    Cut points: one ``percentile_approx`` per group (groups x buckets numbers). With no group the
-    ``n_buckets`` numbers go through the driver as a literal; with groups they stay a DataFrame and
-    are joined on the group keys: broadcast where the groups are known to be ``few`` (a shuffle on a
-    key of few values would put whole groups into one task each), by a shuffle otherwise.
+    Columns: ``by..., value, _m`` (multiplicity), ``_part, _g`` (range partition and group), ``_below`` (rows with a
+    smaller value), ``_tot`` (non-null rows in the group). min-rank = _below + 1, max-rank = _below + _m.
     """
     by = list(by)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    if not probs:
-        return vals.withColumn(bucket_col, F.lit(0))
-    v = F.col(value).cast("double")
-    x_sql = f"CAST({_sql_name(value)} AS DOUBLE)"
-    if not by:
-        # cut points only balance the buckets (results never depend on them), so they may come from
-        # the rows before de-duplication: one scan with a partial aggregate, no extra shuffle
-        src = cut_source if cut_source is not None else vals
-        if adaptive:
-            # one job returns a fine cut grid and the row count; keep just enough cuts that no
-            # bucket holds more than ROWS_PER_BUCKET rows (a small input is one bounded bucket)
-            fine = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-            row = src.agg(F.percentile_approx(v, fine, APPROX_ACCURACY).alias("c"),
-                          F.count(F.lit(1)).alias("n")).first()
-            nb = min(MAX_BUCKETS, max(1, -(-int(row["n"] or 0) // ROWS_PER_BUCKET)))
-            grid = row["c"] or []
-            picked = [grid[round(k * MAX_BUCKETS / nb) - 1] for k in range(1, nb)] if grid else []
-            cuts = sorted(set(x for x in picked if x is not None))
-        else:
-            row = src.agg(F.percentile_approx(v, probs, APPROX_ACCURACY).alias("c")).first()
-            cuts = sorted(set(x for x in (row[0] or []) if x is not None))
-        return vals.withColumn(bucket_col, count_below(cuts, x_sql) if cuts else F.lit(0))
-    cuts = vals.groupBy(*by).agg(F.percentile_approx(v, probs, APPROX_ACCURACY).alias("_cuts"))
-    return (vals.join(_small(cuts, few), by, "left")
-            .withColumn(bucket_col, count_below("_cuts", x_sql, len(probs)))
-            .drop("_cuts"))
-
-
-def ordered_distinct(df: DataFrame, value: str, by: Sequence[str] = (), n_buckets=None,
-                     few: bool = False) -> DataFrame:
-    """Distinct non-null values per group with their position in the group's sorted order. ``few``: the
-    caller's parameters bound the number of groups by FEW_GROUPS or less.
-
-    Columns: ``by..., value, _m`` (multiplicity), ``_bkt``, ``_below`` (rows with a smaller value),
-    ``_tot`` (non-null rows in the group). min-rank = _below + 1, max-rank = _below + _m.
-    """
-    by = list(by)
-    nb = _n_buckets(df, n_buckets)
-    present = df.where(F.col(value).isNotNull())
-    vals = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_m"))
-    vals = with_buckets(vals, value, by, nb, cut_source=present.select(value), adaptive=n_buckets is None, few=few)
-    w_in = Window.partitionBy(*by, "_bkt").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    vals = vals.withColumn("_below_in", F.coalesce(F.sum("_m").over(w_in), F.lit(0)))
-    sizes = vals.groupBy(*by, "_bkt").agg(F.sum("_m").alias("_bn"))
-    w_off = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (sizes.withColumn("_off", F.coalesce(F.sum("_bn").over(w_off), F.lit(0)))
-             .withColumn("_tot", F.sum("_bn").over(Window.partitionBy(*by))))
-    return (vals.join(sizes.select(*by, "_bkt", "_off", "_tot"), by + ["_bkt"])
-            .withColumn("_below", F.col("_off") + F.col("_below_in"))
-            .drop("_off", "_below_in"))
+    vals = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_m"))
+    dealt = deal_by_range(vals, by, [F.col(value).asc()], n_buckets)
+    group = Window.partitionBy("_g")
+    cells = dealt.groupBy(*CELL).agg(F.sum("_m").alias("_n"))
+    cells = cells.select(*CELL, F.sum("_n").over(group).alias("_tot"), (F.sum("_n").over(group.orderBy("_part")) - F.col("_n")).alias("_off"))
+    inside = Window.partitionBy(*CELL).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return (dealt.withColumn("_in", F.coalesce(F.sum("_m").over(inside), F.lit(0)))
+            .join(_cells(cells, by, few), CELL)
+            .withColumn("_below", F.col("_off") + F.col("_in")).drop("_off", "_in"))
+
+
+def _back_to_rows(df: DataFrame, found: DataFrame, value: str, out: str, by: Sequence[str]) -> DataFrame:
+    """``df`` with ``out`` of its (group, value) from ``found``, which has every present value and its multiplicity
+    ``_m``; a null value gets null. Nulls and hot values are spread."""
+    nulls = df.where(F.col(value).isNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_m"), F.lit(None).cast("double").alias(out))
+    keyed = found.select(*by, value, "_m", out).unionByName(nulls)
+    return join_by_count(df, cut_lineage(keyed, "found"), [*by, value], "_m")
 
 
 def min_rank_pct(df: DataFrame, value: str, out: str, by: Sequence[str] = (), n_buckets=None) -> DataFrame:
@@ -143,9 +94,8 @@ def min_rank_pct(df: DataFrame, value: str, out: str, by: Sequence[str] = (), n_
     This is not ``percent_rank()`` ((rank-1)/(n-1)).
     """
     by = list(by)
-    ranks = (ordered_distinct(df, value, by, n_buckets)
-             .select(*by, value, ((F.col("_below") + 1) / F.col("_tot")).alias(out)))
-    return df.join(ranks, by + [value], "left")
+    ranks = ordered_distinct(df, value, by, n_buckets).withColumn(out, (F.col("_below") + 1) / F.col("_tot"))
+    return _back_to_rows(df, ranks, value, out, by)
 
 
 def min_rank_pct_many(df: DataFrame, values: dict, by: Sequence[str] = (), n_buckets=None) -> DataFrame:
@@ -157,14 +107,13 @@ def min_rank_pct_many(df: DataFrame, values: dict, by: Sequence[str] = (), n_buc
         F.struct(F.lit(out).alias("_side"), F.col(src).cast("double").alias("_v")) for out, src in sides
     ])).alias("_e")).select(*by, "_e._side", "_e._v")
     ranks = (ordered_distinct(long, "_v", by + ["_side"], n_buckets, few=not by)
-             .select(*by, "_side", "_v", ((F.col("_below") + 1) / F.col("_tot")).alias("_pct")))
-    ranks = cut_lineage(ranks, "ranks")
+             .select(*by, "_side", "_v", "_m", ((F.col("_below") + 1) / F.col("_tot")).alias("_pct")))
+    nulls = long.where("_v is null").groupBy(*by, "_side", "_v").agg(F.count(F.lit(1)).alias("_m"), F.lit(None).cast("double").alias("_pct"))
+    ranks = cut_lineage(ranks.unionByName(nulls), "ranks")
     out = df
     for name, src in sides:
-        r = ranks.where(F.col("_side") == name).select(
-            *[F.col(b).alias(f"_k_{b}") for b in by], F.col("_v").alias(f"_v_{name}"), F.col("_pct").alias(name))
-        cond = [out[b] == r[f"_k_{b}"] for b in by] + [out[src].cast("double") == r[f"_v_{name}"]]
-        out = out.join(r, cond, "left").drop(f"_v_{name}", *[f"_k_{b}" for b in by])
+        r = ranks.where(F.col("_side") == name).select(*by, "_v", "_m", F.col("_pct").alias(name))
+        out = join_by_count(out.withColumn("_v", F.col(src).cast("double")), r, [*by, "_v"], "_m").drop("_v")
     return out
 
 
@@ -177,54 +126,32 @@ def bh_adjust(df: DataFrame, p: str, out: str, by: Sequence[str] = (), n_buckets
     by = list(by)
     od = ordered_distinct(df, p, by, n_buckets)
     od = od.withColumn("_q", F.col(p) * F.col("_tot") / (F.col("_below") + F.col("_m")))
-    w_in = Window.partitionBy(*by, "_bkt").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    w_in = Window.partitionBy(*CELL).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
     od = od.withColumn("_qmin_in", F.min("_q").over(w_in))
-    bmin = od.groupBy(*by, "_bkt").agg(F.min("_q").alias("_bq"))
-    w_hi = Window.partitionBy(*by).orderBy(F.col("_bkt").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    bmin = bmin.withColumn("_qmin_hi", F.min("_bq").over(w_hi)).drop("_bq")
-    adj = (od.join(bmin, by + ["_bkt"])
-           .select(*by, p, F.least(F.lit(1.0), F.least(F.col("_qmin_in"), F.coalesce(
-               F.col("_qmin_hi"), F.col("_qmin_in")))).alias(out)))
-    return df.join(adj, by + [p], "left")
+    w_hi = Window.partitionBy("_g").orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    above = od.groupBy(*CELL).agg(F.min("_q").alias("_bq")).withColumn("_qmin_hi", F.min("_bq").over(w_hi)).drop("_bq")
+    adj = od.join(above, CELL).withColumn(out, F.least(F.lit(1.0), F.col("_qmin_in"), F.coalesce("_qmin_hi", "_qmin_in")))
+    return _back_to_rows(df, adj, p, out, by)
 
 
 def next_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], take: str, out: str,
                   n_buckets=None) -> DataFrame:
     """``lead(take)`` over rows ordered by ``order`` within ``by``, without one task per group.
 
-    Rows are range-bucketed on the first order column; inside a bucket a windowed ``lead``; the last
-    row of a bucket takes the first row of the next non-empty bucket from a ``groups x buckets``
-    table. ``order`` must identify rows uniquely within a group (add a tie-breaker).
+    Rows are dealt by range over the whole order key, so rows sharing its first columns still spread by the
+    others; inside a partition a windowed ``lead``; the last row of a (partition, group) cell takes the first row
+    of the group's next cell. ``order`` must identify rows uniquely within a group (add a tie-breaker).
     """
     by, order = list(by), list(order)
-    nb = _n_buckets(df, n_buckets)
-    # bucket on a non-decreasing proxy of the first two order keys, so rows sharing the first key
-    # (e.g. one start coordinate) still spread over buckets by the second; any non-decreasing
-    # function of the order keeps every lower bucket entirely before every higher one. A whole first
-    # key plus the second key's place in its own observed range (0 to 1, null first as in the window)
-    # is one whatever the magnitudes; a fractional first key is bucketed on its own.
-    types = {f.name: f.dataType.typeName() for f in df.schema.fields}
-    whole = ("long", "integer", "short")
-    if len(order) > 1 and types[order[0]] in whole and types[order[1]] in (*whole, "double", "float"):
-        second = F.nanvl(F.col(order[1]).cast("double"), F.lit(float("inf")))
-        ranges = df.groupBy(*by).agg(F.min(second).alias("low"), F.max(F.when(second < float("inf"), second)).alias("high"))
-        low, high, groups = ranges.agg(F.min("low"), F.max("high"), F.count(F.lit(1))).first()
-        few = bool(by) and groups <= FEW_GROUPS
-        span = (high - low) if low is not None and high is not None and 0 < high - low < float("inf") else 1.0
-        place = F.greatest(F.least((second - F.lit(low or 0.0)) / F.lit(span), F.lit(1.0)), F.lit(0.0))
-        proxy = F.col(order[0]).cast("double") + F.when(second.isNull(), 0.0).otherwise(place)
-        b = with_buckets(df.withColumn("_ord", proxy), "_ord", by, nb, few=few).drop("_ord")
-    else:
-        b = with_buckets(df, order[0], by, nb, few=bool(by) and has_few_groups(df, by))
-    w = Window.partitionBy(*by, "_bkt").orderBy(*order)
-    b = b.withColumn("_lead_in", F.lead(take).over(w))
-    firsts = b.groupBy(*by, "_bkt").agg(
-        F.min(F.struct(*[F.col(c) for c in order], F.col(take).alias("_take"))).alias("_first"))
-    w_b = Window.partitionBy(*by).orderBy("_bkt")
-    firsts = firsts.withColumn("_next_first", F.lead(F.col("_first._take")).over(w_b)).drop("_first")
-    return (b.join(firsts, by + ["_bkt"])
-            .withColumn(out, F.coalesce(F.col("_lead_in"), F.col("_next_first")))
-            .drop("_bkt", "_lead_in", "_next_first"))
+    dealt = deal_by_range(df, by, [F.col(c).asc() for c in order], n_buckets)
+    inside = F.lead(F.struct(F.col(take).alias("v"))).over(Window.partitionBy(*CELL).orderBy(*order))
+    firsts = dealt.groupBy(*CELL).agg(
+        F.min(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(take).alias("v"))).alias("_first"))
+    following = F.lead("_first.v").over(Window.partitionBy("_g").orderBy("_part"))
+    firsts = firsts.select(*CELL, following.alias("_following"))
+    return (dealt.withColumn("_lead", inside).join(_cells(firsts, by, False), CELL)
+            .withColumn(out, F.when(F.col("_lead").isNull(), F.col("_following")).otherwise(F.col("_lead.v")))
+            .drop(*CELL, "_lead", "_following"))
 
 
 def _lerp(a, b, t):

@@ -70,15 +70,97 @@ def test_next_in_order_hot_start(spark):
     assert j.count() == 640 and j.where(~F.col("nxt").eqNullSafe(F.col("ref"))).count() == 0
 
 
-def test_adaptive_buckets_exact(spark, monkeypatch):
+def test_one_value_with_a_third_of_the_rows(spark, monkeypatch):
     import duocount.operators.ordered as OR
-    monkeypatch.setattr(OR, "ROWS_PER_BUCKET", 300)  # force many adaptive buckets on a small input
+    from duocount.operators import ranges
+    monkeypatch.setattr(ranges, "BROADCAST_ROWS", 50)  # ranks go back by the split join of hot and other values
+    monkeypatch.setattr(ranges, "HOT_KEYS", 20)
     rng = np.random.default_rng(13)
     vals = rng.integers(0, 400, 5000).astype(float)
-    vals[:1700] = 7.0  # one value holds a third of the rows
+    vals[:1700] = 7.0
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").withColumn("id", F.monotonically_increasing_id())
-    got = OR.min_rank_pct(df, "x", "p")
+    got = OR.min_rank_pct(df, "x", "p", n_buckets=9)
     ref = df.withColumn("q", F.rank().over(Window.orderBy("x")) / F.count("x").over(Window.partitionBy()))
+    assert got.count() == 5000
     assert got.join(ref.select("id", "q"), "id").where(~F.col("p").eqNullSafe(F.col("q"))).count() == 0
-    q = OR.exact_quantiles(df, "x", {"a": 0.1, "b": 0.5, "c": 0.97}).first()
+    q = OR.exact_quantiles(df, "x", {"a": 0.1, "b": 0.5, "c": 0.97}, n_buckets=9).first()
     assert np.allclose([q.a, q.b, q.c], np.percentile(vals, [10, 50, 97]))
+
+
+def grouped(spark, n=1500):
+    """Rows in groups (null, "a", "b") x (null, 1) with nulls, ties and NaN in the value."""
+    rng = np.random.default_rng(17)
+    rows = [(i, (None, "a", "b")[rng.integers(3)], (None, 1)[rng.integers(2)],
+             None if rng.random() < 0.2 else float("nan") if rng.random() < 0.02 else float(rng.integers(0, 60)) / 64) for i in range(n)]
+    rows += [(n, "c", None, None), (n + 1, None, 7, 0.5)]   # a group of nulls alone, a group of one
+    return spark.createDataFrame(rows, "id long, g string, h long, x double")
+
+
+def test_null_groups_keep_their_rows_and_ranks(spark):
+    df, by = grouped(spark), ["g", "h"]
+    w = Window.partitionBy(*by).orderBy("x")
+    ref = df.where("x is not null").withColumn("rank", F.rank().over(w) / F.count("x").over(Window.partitionBy(*by)))
+    got = min_rank_pct(df, "x", "p", by=by, n_buckets=5)
+    assert got.count() == df.count()
+    assert got.join(ref.select("id", "rank"), "id", "left").where("not (p <=> rank)").count() == 0
+
+    lead = next_in_order(df, by, ["x", "id"], "id", "n", n_buckets=5)
+    assert lead.count() == df.count()
+    wanted = df.withColumn("m", F.lead("id").over(Window.partitionBy(*by).orderBy("x", "id")))
+    assert lead.join(wanted.select("id", "m"), "id").where("not (n <=> m)").count() == 0
+
+    some = df.where("not (x <=> double('nan'))")
+    rows = {r.id: r for r in bh_adjust(some, "x", "q", by=by, n_buckets=5).collect()}
+    assert len(rows) == some.count()
+    cells = {}
+    for r in rows.values():
+        cells.setdefault((r.g, r.h), []).append(r)
+    for cell in cells.values():
+        p = np.array([r.x for r in cell if r.x is not None])
+        for r in cell:
+            if r.x is None:
+                assert r.q is None
+            else:
+                q = min(1.0, min(v * len(p) / (p <= v).sum() for v in p[p >= r.x]))
+                assert abs(r.q - q) < 1e-12
+    from duocount.operators.ordered import exact_quantiles as quantiles
+    got = {(r.g, r.h): r.m for r in quantiles(some, "x", {"m": 0.5}, by=by, n_buckets=5).collect()}
+    assert got == {k: np.median([r.x for r in v if r.x is not None]) for k, v in cells.items() if any(r.x is not None for r in v)}
+
+
+def test_null_group_of_the_verdict(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), ("a", 2)], "g string, s long")
+    got = sorted((str(r.g), r.s, r.n) for r in next_in_order(df, ["g"], ["s"], "s", "n").collect())
+    assert got == [("None", 1, 2), ("None", 2, None), ("a", 1, 2), ("a", 2, None)]
+
+
+def test_equal_starts_and_ends_spread_by_id(spark):
+    from duocount.operators.ranges import deal_by_range
+    df = spark.range(4000).select(F.lit("s").alias("seq"), F.lit(5).alias("st"), F.lit(9).alias("en"), "id")
+    dealt = deal_by_range(df, ["seq"], [F.col(c).asc() for c in ("st", "en", "id")], 8)
+    sizes = [r["count"] for r in dealt.groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1500
+    got = next_in_order(df, ["seq"], ["st", "en", "id"], "id", "n", n_buckets=8)
+    assert got.where("n = id + 1").count() == 3999 and got.where("n is null").count() == 1
+
+
+def test_number_rows_equals_row_number(spark):
+    from duocount.operators.ranges import number_rows
+    df, by = grouped(spark), ["g", "h"]
+    got = number_rows(df, by, ["x", "id"], "pos", "total", 6)
+    ref = df.select("id", (F.row_number().over(Window.partitionBy(*by).orderBy("x", "id")) - 1).alias("r"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
+    assert got.join(ref, "id").where("pos = r and total = n").count() == df.count() == got.count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_plans_have_no_whole_group_in_a_task(spark):
+    """Every exchange of rows is by (partition, group) or by (group, value), never by the group alone."""
+    import re
+    df = grouped(spark)
+    for plan in (min_rank_pct(df, "x", "p", by=["g"]), bh_adjust(df, "x", "p"), next_in_order(df, ["g"], ["x", "id"], "id", "n")):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in text
+        for line in text.splitlines():
+            found = re.search(r"Window \[.*\], \[_g#\d+\]", line)
+            assert not found or "_n#" in line or "_bq#" in line or "_first#" in line or "_following" in line, line
