@@ -54,33 +54,45 @@ def sample_table(long: DataFrame) -> DataFrame:
     return long.select("sample", "condition").distinct()
 
 
-def design_of(long: DataFrame, levels=("control", "test"), check_integers: bool = True) -> Design:
-    """Samples and conditions (one row per sample reaches the driver); with ``check_integers`` the
-    same aggregate counts negative or fractional counts and raises on any."""
+def read_design(long: DataFrame, levels=("control", "test")) -> tuple[Design, int]:
+    """Samples and conditions (one row per sample reaches the driver), and how many counts are negative or fractional."""
     agg = long.groupBy("sample", "condition").agg(
         F.count_if((F.col("cnt") != F.floor("cnt")) | (F.col("cnt") < 0)).alias("_bad")).collect()
-    bad_counts = sum(r["_bad"] for r in agg)
-    if check_integers and bad_counts:
-        raise CountDataError(f"{bad_counts} counts are negative or not integers")
     rows = sorted((r["condition"], r["sample"]) for r in agg)
-    bad = [c for c, _ in rows if c not in levels]
+    return Design(tuple(s for _, s in rows), tuple(c for c, _ in rows), tuple(levels)), sum(r["_bad"] for r in agg)
+
+
+def check_design(design: Design, bad_counts: int = 0) -> None:
+    """Raise on unusable counts or conditions."""
+    if bad_counts:
+        raise CountDataError(f"{bad_counts} counts are negative or not integers")
+    bad = sorted({c for c in design.conditions if c not in design.levels})
     if bad:
-        raise CountDataError(f"conditions {sorted(set(bad))} are not in {levels}")
-    return Design(tuple(s for _, s in rows), tuple(c for c, _ in rows), tuple(levels))
+        raise CountDataError(f"conditions {bad} are not in {design.levels}")
+
+
+def design_of(long: DataFrame, levels=("control", "test"), check_integers: bool = True) -> Design:
+    """The checked design of a table of counts."""
+    design, bad_counts = read_design(long, levels)
+    check_design(design, bad_counts if check_integers else 0)
+    return design
 
 
-def count_matrix(long: DataFrame, design: Design) -> DataFrame:
+def count_matrix(long: DataFrame, design: Design, partitions: int = None) -> DataFrame:
     """``entity_id, counts ARRAY<BIGINT>`` in design order; a missing (entity, sample) pair is 0 and
     repeated rows of one pair add up.
 
-    One grouped aggregate with a conditional sum per sample of the design: algebraic, so partial
-    aggregation collapses a hot entity map-side and no list is collected per entity.
+    Sums per (entity, sample), so a hot entity collapses map-side, then the entity's few sums as a map: the
+    expressions do not grow with the number of samples. ``partitions``: of the entities, by hash.
     """
-    cnt, smp = F.col("cnt").cast("bigint"), F.col("sample")
-    sums = [F.coalesce(F.sum(F.when(smp == F.lit(s), cnt)), F.lit(0).cast("bigint")).alias(f"_s{i}")
-            for i, s in enumerate(design.samples)]
-    agg = long.where(smp.isin(list(design.samples))).groupBy("entity_id").agg(*sums)
-    return agg.select("entity_id", F.array(*[F.col(f"_s{i}") for i in range(len(design.samples))]).alias("counts"))
+    order = long.sparkSession.createDataFrame([(s, i) for i, s in enumerate(design.samples)], "sample string, _j int")
+    placed = long.join(F.broadcast(order), "sample")   # one row a replicate
+    sums = placed.groupBy("entity_id", "_j").agg(F.sum(F.col("cnt").cast("bigint")).alias("_n"))
+    if partitions:
+        sums = sums.repartition(partitions, "entity_id")
+    cells = sums.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("_j", "_n"))).alias("_m"))
+    return cells.select("entity_id", F.expr(
+        f"transform(sequence(0, {len(design.samples) - 1}), j -> coalesce(_m[j], 0L))").alias("counts"))
 
 
 def nonzero_per_sample(long: DataFrame) -> DataFrame:

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duocount.operators.diffexp import nbmath as M
+from duocount.operators.diffexp.trend import Parametric, Trend, as_trend, fit_local
 from duocount.operators.ordered import exact_quantiles
+from duocount.spec import CountDataError
 
 # Fixed values of the published method (Love, Huber & Anders 2014), in one place.
 MIN_DISP = 1e-8            # lower bound of a dispersion estimate
@@ -29,7 +31,7 @@ TREND_RESID_RANGE = (1e-4, 15.0)   # genes used in each trend refit: residual ra
 TREND_MAX_OUTER = 10
 TREND_TOL = 1e-6
 TREND_MAX_INNER = 25       # IRLS steps per refit, as a GLM fit's default iteration cap
-TREND_INNER_TOL = 1e-6     # relative coefficient change that ends one refit
+TREND_INNER_TOL = 1e-8     # relative coefficient change that ends one refit
 MAD_SCALE = 1.4826
 
 
@@ -67,8 +69,7 @@ def genewise_mapper(sf: Sequence[float], groups: Sequence[int]):
             nz = ~all_zero
             if nz.any():
                 yy, mm = y[nz], mu[nz]
-                obj = lambda la: M.nb_loglik_cr(la, yy, mm, groups, n_groups)
-                best = M.maximise_log_alpha(obj, lo, hi, yy.shape[0])
+                best = M.best_log_alpha(yy, mm, groups, n_groups, lo, hi)
                 est[nz] = np.clip(np.exp(best), MIN_DISP, max_disp(S))
             yield pdf.assign(allZero=all_zero, dispGeneEst=est)
 
@@ -83,8 +84,7 @@ def fit_trend(genes: DataFrame, n_samples: int):
     refitted on genes whose ratio to the current trend lies in TREND_RESID_RANGE until the
     coefficients are stable. Each IRLS step is one aggregate (weights 1/mu^2).
     """
-    base = (genes.where(~F.col("allZero") & (F.col("dispGeneEst") >= F.lit(100 * MIN_DISP)))
-            .select((F.lit(1.0) / F.col("baseMean")).alias("x"), F.col("dispGeneEst").alias("y")))
+    base = (usable(genes).select((F.lit(1.0) / F.col("baseMean")).alias("x"), F.col("dispGeneEst").alias("y")))
     # two doubles per gene, read by every IRLS step: kept in executor memory (spilling to disk) for
     # the duration of the fit; a lost block is recomputed from the materialised gene table
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
@@ -130,10 +130,18 @@ def _fit_trend_iterations(base: DataFrame):
     return None  # the set of genes in range never settled
 
 
-def mean_trend(genes: DataFrame):
-    """Fallback when the parametric fit fails: a constant, the mean gene-wise estimate."""
-    m = genes.where(~F.col("allZero") & (F.col("dispGeneEst") >= F.lit(100 * MIN_DISP))).agg(F.avg("dispGeneEst")).first()[0]
-    return (float(m), 0.0)
+def usable(genes: DataFrame) -> DataFrame:
+    """Genes that a trend is fitted on."""
+    return genes.where(~F.col("allZero") & (F.col("dispGeneEst") >= F.lit(100 * MIN_DISP)))
+
+
+def trend_of(genes: DataFrame, n_samples: int) -> Trend:
+    """The parametric trend, or the local one where that fails; genes none of which is usable cannot be fitted."""
+    coef = fit_trend(genes, n_samples)
+    trend = Parametric(*coef) if coef else fit_local(usable(genes).select(F.col("baseMean").alias("mean"), F.col("dispGeneEst").alias("disp")))
+    if trend is None:
+        raise CountDataError("all gene-wise dispersions are at the lower bound; no trend can be fitted")
+    return trend
 
 
 def prior_variance(genes: DataFrame, trend, n_samples: int, n_coef: int = 2) -> tuple[float, float]:
@@ -142,9 +150,8 @@ def prior_variance(genes: DataFrame, trend, n_samples: int, n_coef: int = 2) ->
     The residual SD is the scaled MAD of the log residuals, by which outliers are told; the prior's
     variance is its square minus the expected sampling variance trigamma((m - p) / 2), at least
     PRIOR_VAR_FLOOR."""
-    a0, a1 = trend
-    r = (genes.where(~F.col("allZero") & (F.col("dispGeneEst") >= F.lit(100 * MIN_DISP)))
-         .select((F.log("dispGeneEst") - F.log(F.lit(a0) + F.lit(a1) / F.col("baseMean"))).alias("r")))
+    trend = as_trend(trend)
+    r = usable(genes).select((F.log("dispGeneEst") - F.log(trend.column(F.col("baseMean")))).alias("r"))
     med = exact_quantiles(r, "r", {"m": 0.5}).first()
     if med is None or med["m"] is None:
         return PRIOR_VAR_FLOOR, math.sqrt(PRIOR_VAR_FLOOR)

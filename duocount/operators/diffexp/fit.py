@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 
 from duocount.operators.diffexp import nbmath as M
+from duocount.operators.diffexp.trend import as_trend
 from duocount.operators.diffexp.dispersion import MIN_DISP, MIN_MU, OUTLIER_SD, count_rows, max_disp
 
 RESULT_SCHEMA = ("entity_id string, baseMean double, log2FoldChange double, lfcSE double, stat double, "
@@ -75,10 +76,8 @@ def _fit_block(yy, sf, groups, n_groups, lf, prior_var, lo, hi, S, sd, gene=None
         mu0[:, m] = q[:, m].mean(axis=1)[:, None] * sf[None, m]
     mu0 = np.maximum(mu0, MIN_MU)
     if gene is None:
-        obj_g = lambda la: M.nb_loglik_cr(la, yy, mu0, groups, n_groups)
-        gene = np.clip(np.exp(M.maximise_log_alpha(obj_g, lo, hi, yy.shape[0])), MIN_DISP, max_disp(S))
-    obj = lambda la: M.nb_loglik_cr(la, yy, mu0, groups, n_groups) - (la - lf[:, None]) ** 2 / (2.0 * prior_var)
-    best = np.clip(np.exp(M.maximise_log_alpha(obj, lo, hi, yy.shape[0])), MIN_DISP, max_disp(S))
+        gene = np.clip(np.exp(M.best_log_alpha(yy, mu0, groups, n_groups, lo, hi)), MIN_DISP, max_disp(S))
+    best = np.clip(np.exp(M.best_log_alpha(yy, mu0, groups, n_groups, lo, hi, lf, prior_var)), MIN_DISP, max_disp(S))
     alpha = np.where(np.log(gene) > lf + OUTLIER_SD * sd, gene, best)
     beta, mu, w = M.group_fit(yy, sf, groups, n_groups, alpha)
     lfc = (beta[:, 1] - beta[:, 0]) / math.log(2.0)
@@ -101,11 +100,11 @@ def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: fl
     by trimmed-mean normalised count x size factor (truncated to an integer) and those genes are
     refitted (gene-wise and MAP dispersion, Wald) with the same size factors, trend and prior.
     """
+    trend = as_trend(trend)
     sf = np.asarray(sf, float)
     groups = np.asarray(groups, int)
     n_groups = int(groups.max()) + 1
     S = len(sf)
-    a0, a1 = trend
     lo, hi = math.log(MIN_DISP / 10.0), math.log(max_disp(S))
     sd = residual_sd
     counts_per_group = np.bincount(groups, minlength=n_groups)
@@ -129,7 +128,7 @@ def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: fl
             y = count_rows(pdf["counts"])
             nz = ~out["allZero"].values
             bm = out["baseMean"].values
-            fit = np.where(nz, a0 + a1 / np.where(bm > 0, bm, 1.0), np.nan)
+            fit = np.where(nz, trend.at(np.where(bm > 0, bm, 1.0)), np.nan)
             out["dispFit"] = fit
             if nz.any():
                 yy = y[nz]

@@ -1,7 +1,7 @@
 """Vectorised numerics for the negative-binomial fits (numpy only; runs inside Arrow batches).
 
-scipy is not assumed: ``lgamma`` is the Stirling series after an upward shift, ``trigamma`` a
-recurrence plus asymptotic series, the normal tail uses ``math.erfc``.
+scipy is not assumed: differences of log gamma and its derivatives are taken by recurrence and Stirling
+series, ``trigamma`` likewise, the normal tail uses ``math.erfc``.
 """
 
 from __future__ import annotations
@@ -10,29 +10,12 @@ import math
 
 import numpy as np
 
-_HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
-_SHIFT = 8.0
-COARSE = 20                # candidates a gene in each round of the dispersion search
+COARSE = 12                # candidates a gene on the grid that brackets its best dispersion
+NEWTON_STEPS = 80          # at most; a step that leaves the bracket is replaced by halving it
+NEWTON_TOL = 1e-13         # change of log dispersion that ends a gene's search
 BLOCK_VALUES = 2_000_000   # doubles in one (genes, candidates, samples) array
 
 
-def lgamma(x):
-    """log Gamma(x) for x > 0, elementwise, |error| < 1e-13."""
-    x = np.asarray(x, dtype=np.float64)
-    acc = np.zeros_like(x)
-    z = x.copy()
-    for _ in range(int(_SHIFT)):
-        small = z < _SHIFT
-        if not small.any():
-            break
-        acc = acc - np.where(small, np.log(np.where(small, z, 1.0)), 0.0)
-        z = np.where(small, z + 1.0, z)
-    zi = 1.0 / z
-    zi2 = zi * zi
-    series = zi * (1.0 / 12 - zi2 * (1.0 / 360 - zi2 * (1.0 / 1260 - zi2 * (1.0 / 1680))))
-    return acc + (z - 0.5) * np.log(z) - z + _HALF_LOG_2PI + series
-
-
 def trigamma(x: float) -> float:
     """psi'(x) for scalar x > 0."""
     acc = 0.0
@@ -66,6 +49,40 @@ def f_quantile_df1_2(p: float, d2: float) -> float:
     return (d2 / 2.0) * ((1.0 - p) ** (-2.0 / d2) - 1.0)
 
 
+_STEPS = np.arange(10.0)
+
+
+def _stirling(z):
+    """lgamma(z) - ((z - 1/2) log z - z + log(2 pi) / 2) for z >= 10."""
+    u = 1.0 / (z * z)
+    return (1.0 / 12 - u * (1.0 / 360 - u * (1.0 / 1260 - u * (1.0 / 1680 - u / 1188)))) / z
+
+
+def lgamma(x):
+    """log Gamma(x) for x > 0, elementwise."""
+    x = np.asarray(x, dtype=np.float64)
+    z = x + 10.0
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2.0 * math.pi) + _stirling(z) - sum(np.log(x + i) for i in _STEPS)
+
+
+def _stirling_slopes(z):
+    """First and second derivative of log gamma less log z and 1 / z, for z >= 10."""
+    i, u = 1.0 / z, 1.0 / (z * z)
+    one = -0.5 * i - u * (1.0 / 12 - u * (1.0 / 120 - u * (1.0 / 252 - u * (1.0 / 240 - u / 132))))
+    two = 0.5 * u + i * u * (1.0 / 6 - u * (1.0 / 30 - u * (1.0 / 42 - u * (1.0 / 30 - u * 5.0 / 66))))
+    return one, two
+
+
+def _rising(r, y):
+    """lgamma(y + r) - lgamma(r) - y log(r + y + 10) + y, without cancellation for large r: ten steps of the
+    recurrence as one product, the rest as a difference of Stirling series."""
+    ratio = np.ones(np.broadcast(r, y).shape)
+    for i in _STEPS:
+        ratio *= (r + i) / (r + y + i)
+    z = r + 10.0
+    return (z - 0.5) * np.log1p(y / z) + _stirling(z + y) - _stirling(z) + np.log(ratio)
+
+
 def nb_loglik_cr(log_alpha, y, mu, groups, n_groups: int):
     """Cox-Reid adjusted NB profile log-likelihood of log(dispersion), per gene.
 
@@ -75,33 +92,73 @@ def nb_loglik_cr(log_alpha, y, mu, groups, n_groups: int):
     """
     a = np.exp(log_alpha)[:, :, None]          # G, K, 1
     r = 1.0 / a
-    yy = y[:, None, :]
-    mm = mu[:, None, :]
-    ll = (lgamma(yy + r) - lgamma(r) - yy * np.log(mm + r) - r * np.log1p(mm * a)).sum(axis=2)
+    yy, mm = y[:, None, :], mu[:, None, :]
+    ll = (_rising(r, yy) - yy + yy * np.log1p((10.0 + yy - mm) / (mm + r)) - r * np.log1p(mm * a)).sum(axis=2)
     w = mm / (1.0 + a * mm)
-    cr = np.zeros_like(ll)
     for g in range(n_groups):
-        sw = w[:, :, groups == g].sum(axis=2)
-        cr += np.log(np.maximum(sw, 1e-300))
-    return ll - 0.5 * cr
-
-
-def maximise_log_alpha(objective, lo: float, hi: float, n_genes: int, coarse: int = COARSE, rounds: int = 3):
-    """Maximise a (G, K) -> (G, K) objective over log(alpha) in [lo, hi]: coarse grid, then two
-    refinements around each gene's best point (a grid search with shrinking step, as the fallback
-    search of the published method)."""
-    grid = np.linspace(lo, hi, coarse)
-    cand = np.tile(grid, (n_genes, 1))
-    val = objective(cand)
-    best = cand[np.arange(n_genes), np.nanargmax(np.where(np.isnan(val), -np.inf, val), axis=1)]
-    step = grid[1] - grid[0]
-    for _ in range(rounds - 1):
-        offs = np.linspace(-step, step, coarse)
-        cand = np.clip(best[:, None] + offs[None, :], lo, hi)
-        val = objective(cand)
-        best = cand[np.arange(n_genes), np.nanargmax(np.where(np.isnan(val), -np.inf, val), axis=1)]
-        step = offs[1] - offs[0]
-    return best
+        ll -= 0.5 * np.log(w[:, :, groups == g].sum(axis=2))
+    return ll
+
+
+def nb_slopes_cr(log_alpha, y, mu, groups, n_groups: int):
+    """First and second derivative of :func:`nb_loglik_cr` at one log(dispersion) per gene."""
+    a = np.exp(log_alpha)[:, None]
+    r = 1.0 / a
+    z = r + 10.0
+    (e1, e2), (f1, f2) = _stirling_slopes(z + y), _stirling_slopes(z)
+    one = np.log1p(y / z) + e1 - f1
+    two = -y / (z * (z + y)) + e2 - f2
+    for i in _STEPS:
+        p, q = 1.0 / (r + i), 1.0 / (r + y + i)
+        one += y * p * q
+        two -= y * p * q * (p + q)
+    one += (mu - y) / (mu + r) - np.log1p(mu * a)          # d / dr
+    two += mu * a / (r + mu) - (mu - y) / (mu + r) ** 2    # d2 / dr2
+    d1 = (-r * one).sum(axis=1)
+    d2 = (r * one + r * r * two).sum(axis=1)
+    w = mu / (1.0 + a * mu)
+    s1, s2 = -a * w * w, a * w * w * (2.0 * a * w - 1.0)
+    for g in range(n_groups):
+        m = groups == g
+        s, t, u = w[:, m].sum(axis=1), s1[:, m].sum(axis=1), s2[:, m].sum(axis=1)
+        d1 -= 0.5 * t / s
+        d2 -= 0.5 * (u / s - (t / s) ** 2)
+    return d1, d2
+
+
+def best_log_alpha(y, mu, groups, n_groups: int, lo: float, hi: float, prior_mean=None, prior_var: float = np.inf):
+    """log(dispersion) of the largest Cox-Reid likelihood in [lo, hi], with a normal prior if ``prior_mean`` is given.
+
+    A grid of COARSE points brackets the best one, then Newton steps on the derivative inside the bracket,
+    halving it where a step would leave it; an end of the range is the answer where the slope points out of it."""
+    prior = np.zeros(len(y)) if prior_mean is None else prior_mean
+    weight = 0.0 if prior_mean is None else 1.0 / prior_var
+
+    def slopes(la, rows):
+        d1, d2 = nb_slopes_cr(la, y[rows], mu[rows], groups, n_groups)
+        return d1 - (la - prior[rows]) * weight, d2 - weight
+
+    grid = np.linspace(lo, hi, COARSE)
+    value = nb_loglik_cr(np.tile(grid, (len(y), 1)), y, mu, groups, n_groups) - 0.5 * weight * (grid[None, :] - prior[:, None]) ** 2
+    top = value.argmax(axis=1)
+    low, high = grid[np.maximum(top - 1, 0)], grid[np.minimum(top + 1, COARSE - 1)]
+    at, live = grid[top].copy(), np.arange(len(y))
+    for _ in range(NEWTON_STEPS):
+        d1, d2 = slopes(at[live], live)
+        up = d1 > 0
+        low[live[up]], high[live[~up]] = at[live[up]], at[live[~up]]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = at[live] - d1 / d2
+        inside = (d2 < 0) & (step > low[live]) & (step < high[live])
+        step = np.where(inside, step, 0.5 * (low[live] + high[live]))
+        # at an end of the range whose slope points outwards, the bracket has no width left
+        step = np.where(up & (at[live] >= hi), hi, np.where(~up & (at[live] <= lo), lo, step))
+        moved = np.abs(step - at[live])
+        at[live] = step
+        live = live[moved > NEWTON_TOL * np.maximum(1.0, np.abs(step))]
+        if not len(live):
+            break
+    return at
 
 
 def group_fit(y, sf, groups, n_groups: int, alpha, minmu: float = 0.5, maxit: int = 100, tol: float = 1e-8):

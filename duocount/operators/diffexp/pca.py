@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duocount.operators.diffexp.trend import Parametric, Trend, as_trend
+
 NTOP = 500
 
 
-def vst(q: Column, trend) -> Column:
-    """Closed form for alpha(mu) = a1/mu + a0: integral of 1/sqrt(mu + alpha mu^2), scaled to approach log2 q."""
-    a0, a1 = trend
-    a0 = max(a0, 1e-12)
-    inner = (F.lit(1.0 + a1) + F.lit(2.0 * a0) * q
-             + F.lit(2.0) * F.sqrt(F.lit(a0) * q * (F.lit(1.0 + a1) + F.lit(a0) * q)))
-    return F.log2(inner / F.lit(4.0 * a0))
+def vst(q: Column, trend: Trend, top: float = 1.0) -> Column:
+    """Integral of 1/sqrt(mu + alpha(mu) mu^2), scaled to approach log2 q; ``top``: the largest value (used by the local trend)."""
+    return as_trend(trend).transform(q, top)
 
 
-def transformed(norm_matrix: DataFrame, trend) -> DataFrame:
+def transformed(norm_matrix: DataFrame, trend: Trend) -> DataFrame:
     """``entity_id, vst ARRAY<DOUBLE>, vstVar`` from the normalised counts."""
-    out = norm_matrix.select("entity_id", F.transform("norm", lambda q: vst(q, trend)).alias("vst"))
+    trend = as_trend(trend)
+    top = 1.0 if isinstance(trend, Parametric) else norm_matrix.agg(F.max(F.array_max("norm"))).first()[0] or 1.0
+    out = norm_matrix.select("entity_id", F.transform("norm", lambda q: vst(q, trend, top)).alias("vst"))
     n = F.size("vst").cast("double")
     mean = F.aggregate("vst", F.lit(0.0), lambda a, x: a + x) / n
     out = out.withColumn("_mean", mean)

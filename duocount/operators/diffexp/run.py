@@ -36,29 +36,31 @@ def differential_abundance(long_counts: DataFrame, filtering: bool = True, level
     """
     log = {"replicates": None, "run": False, "success": False, "reason": None}
     try:
-        design = C.design_of(long_counts, levels)
+        # the replicates are counted before anything is asked of them: with some, the run has started and its
+        # failure is a failed run
+        design, bad_counts = C.read_design(long_counts, levels)
         log["replicates"] = len(design.samples)
+        log["run"] = bool(design.samples)
+        C.check_design(design, bad_counts)
         if len(set(design.conditions)) < 2:
             raise CountDataError("both conditions need replicates")
-        log["run"] = True
-        matrix = C.count_matrix(long_counts, design)
+        # the dispersion and Wald passes are compute-bound numpy over Arrow batches: the entities are spread over
+        # at least every core in the aggregation's own exchange (byte-sized partitions of a small table collapse to one)
+        spark = long_counts.sparkSession
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        matrix = C.count_matrix(long_counts, design, parts)
         if materialise:
             matrix = cut_lineage(matrix, "counts")
         sf = C.size_factors(matrix, design)
-        # the dispersion and Wald passes are compute-bound numpy over Arrow batches: spread the
-        # entities over at least every core (byte-sized partitions of a small table collapse to one)
-        spark = long_counts.sparkSession
-        parts = max(matrix.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
-        norm = C.normalised(matrix.repartition(parts, "entity_id"), sf)
+        norm = C.normalised(matrix, sf)
         gw = norm.mapInPandas(D.genewise_mapper(sf, design.groups),
                               "entity_id string, counts array<bigint>, norm array<double>, baseMean double, "
                               "rowVar double, allZero boolean, dispGeneEst double")
         if materialise:
             gw = cut_lineage(gw, "genewise")
         S = len(design.samples)
-        trend = D.fit_trend(gw, S)
-        log["trend"] = "parametric" if trend else "mean (the parametric fit failed or did not converge)"
-        trend = trend or D.mean_trend(gw)
+        trend = D.trend_of(gw, S)
+        log["trend"] = trend.name
         res = None
         if results:
             prior_var, residual_sd = D.prior_variance(gw, trend, S)
@@ -79,11 +81,11 @@ def differential_abundance(long_counts: DataFrame, filtering: bool = True, level
             pca = long_counts.sparkSession.createDataFrame(rows, "sample string, condition string, pc1 double, pc2 double")
             log["explained"] = explained
             log.update(P.axis_labels(explained))
-        log.update({"success": True, "size_factors": dict(zip(design.samples, sf)), "trend_coef": list(trend)})
+        log.update({"success": True, "size_factors": dict(zip(design.samples, sf)), "trend_coef": list(trend) if trend.name == "parametric" else None})
         return DEResult(res, pca, log)
-    except CountDataError as e:
+    except Exception as e:
         log["reason"] = str(e)
-        e.log = log
+        e.log = log   # type: ignore[attr-defined]
         raise
 
 
@@ -103,10 +105,10 @@ def run_log_row(run_id: str, log: dict) -> tuple:
 
 
 def logged_run(run_id: str, long_counts: DataFrame, **kwargs):
-    """``(result, log row)`` of one run; a run whose counts are unusable gives no result but its row."""
+    """``(result, log row)`` of one run; a run that fails, for whatever reason, gives no result but its row."""
     try:
         result = differential_abundance(long_counts, **kwargs)
-    except CountDataError as e:
+    except Exception as e:
         return None, run_log_row(run_id, getattr(e, "log", {"reason": str(e)}))
     return result, run_log_row(run_id, result.log)
 

@@ -141,8 +141,9 @@ VIEW_ORDER = ["feat", "ins", "coords", "pool", "attr", "sites", "ctot", "conds",
               "merged", "cmp"]
 
 
-def with_views(body: str, *extra: tuple) -> str:
-    """All base views as CTEs (DuckDB inlines only those referenced) plus query-specific ones."""
+def with_views(body: str, *extra: tuple, materialized: bool = False) -> str:
+    """All base views as CTEs (DuckDB inlines only those referenced) plus query-specific ones (``materialized``:
+    computed once, for long chains)."""
     parts = [f"{n} AS ({VIEWS[n]}\n)" for n in VIEW_ORDER]
-    parts += [f"{n} AS ({q}\n)" for n, q in extra]
+    parts += [f"{n} AS {'MATERIALIZED ' if materialized else ''}({q}\n)" for n, q in extra]
     return "WITH " + ",\n".join(parts) + "\n" + body

@@ -226,7 +226,7 @@ def q_de_metric(spark, sf_dir):
 @register("run_log", "D15 (one usable run and one with fractional counts)", with_views("""
 select 'good' as run_id, (select count(*) from smps) as replicates, true as run, true as success, cast(null as varchar) as reason
 union all
-select 'bad', null, false, false, concat(cast(count(*) as varchar), ' counts are negative or not integers') from pool""",
+select 'bad', (select count(*) from smps), true, false, concat(cast(count(*) as varchar), ' counts are negative or not integers') from pool""",
     *POOL_VIEWS))
 def q_run_log(spark, sf_dir):
     pools = adapters.pools(spark, sf_dir)

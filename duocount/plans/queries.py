@@ -317,6 +317,8 @@ def q_circos(spark, sf_dir):
 # --- differential abundance ---------------------------------------------------------------------
 
 from duocount.operators import ordered as OR  # noqa: E402
+from duocount.operators.diffexp import select as SEL  # noqa: E402
+from duocount.plans import diffexp_sql as DQ  # noqa: E402
 from duocount.operators.diffexp import counts as DC  # noqa: E402
 from duocount.operators.diffexp.run import attach_results, differential_abundance  # noqa: E402
 
@@ -384,7 +386,58 @@ def q_bh(spark, sf_dir):
     return finish(OR.bh_adjust(base, "p", "padj").select("locus_tag", "p", "padj"))
 
 
-@register("de_results", "D04-D10 D14 D16 (filtered mode; no SQL oracle: iterative fits)")
+def _chain(body: str, views) -> str:
+    return with_views(body, *POOL_VIEWS, *views, materialized=True)
+
+
+def _unfiltered(spark, sf_dir):
+    return differential_abundance(adapters.pools(spark, sf_dir), filtering=False, with_pca=False).results
+
+
+@register("gene_dispersions", "D04 (gene-wise dispersion of the adjusted likelihood)", _chain(f"""
+select entity_id, {R6('disp')} as "dispGeneEst" from disp""", DQ.DISPERSION_VIEWS[:DQ.DISPERSION_VIEWS.index(DQ.USABLE)]))
+def q_gene_dispersions(spark, sf_dir):
+    return finish(_unfiltered(spark, sf_dir).select("entity_id", "dispGeneEst"))
+
+
+@register("dispersion_trend", "D05 (parametric, or local lines where that fails)", _chain(f"""
+select entity_id, {R6('fit')} as "dispFit" from fitted""", DQ.DISPERSION_VIEWS))
+def q_dispersion_trend(spark, sf_dir):
+    return finish(_unfiltered(spark, sf_dir).select("entity_id", "dispFit"))
+
+
+@register("map_dispersions", "D06 (prior width, MAP estimate, outliers kept)", _chain(f"""
+select entity_id, {R6('a')} as dispersion from alpha""", DQ.DISPERSION_VIEWS))
+def q_map_dispersions(spark, sf_dir):
+    return finish(_unfiltered(spark, sf_dir).select("entity_id", "dispersion"))
+
+
+@register("cooks_distances", "D09 (largest Cook's distance and its cut-off)", _chain(f"""
+select entity_id, {R6('cooks')} as "maxCooks", cooks > {DQ.COOKS_CUT} as cut from tests""", DQ.TEST_VIEWS))
+def q_cooks(spark, sf_dir):
+    r = _unfiltered(spark, sf_dir)
+    out = SEL.apply_cooks_cutoff(r.withColumn("_p", F.col("pvalue")), len(_pool_design(spark, sf_dir)[1].samples))
+    return finish(out.select("entity_id", "maxCooks", (F.col("pvalue").isNull() & F.col("_p").isNotNull()).alias("cut")))
+
+
+@register("filter_rejections", "D10 (rejections at 50 cut-offs, small p-values made from the percentile rank)", with_views(f"""
+select i, {R6('cut')} as cutoff, y::bigint as rejections from rejected""",
+    ("filterable", """select locus_tag as entity_id, total_reads_control::DOUBLE as basemean, pow(rank() over (order by nim_score_control)::DOUBLE / count(nim_score_control) over (), 2)
+     * (case when total_reads_control % 3 = 0 then 1.0 else 0.3 end) as p from cmp"""), *DQ.REJECTION_VIEWS, materialized=True))
+def q_filter_rejections(spark, sf_dir):
+    df, _ = flagship.comparison(spark, sf_dir, materialise=True)
+    ranked = OR.min_rank_pct(df.select("locus_tag", "nim_score_control", "total_reads_control"), "nim_score_control", "r")
+    x = ranked.select(F.col("total_reads_control").cast("double").alias("baseMean"), (F.col("r") * F.col("r") * F.when(
+        F.col("total_reads_control") % 3 == 0, 1.0).otherwise(0.3)).alias("pvalue"))
+    theta, cutoffs = SEL.filter_grid(x)
+    rows = zip(range(len(cutoffs)), cutoffs, SEL.rejections_per_cutoff(x, cutoffs))
+    return finish(spark.createDataFrame(list(rows), "i int, cutoff double, rejections long"))
+
+
+@register("de_results", "D04-D10 D14 D16 (filtered mode, all result columns attached)", _chain(f"""
+select f.locus_tag, {R6('t.basemean')} as "de_baseMean", {R6('lfc')} as "de_log2FoldChange", {R6('se')} as "de_lfcSE",
+       {R6('stat')} as de_stat, {R6('x.p')} as de_pvalue, {R6('padj')} as de_padj
+from feat f left join tests t on f.locus_tag = concat('LT', t.entity_id) left join filterable x using (entity_id) left join padj using (entity_id)""", DQ.FILTER_VIEWS))
 def q_de(spark, sf_dir):
     r = differential_abundance(adapters.pools(spark, sf_dir), filtering=True, with_pca=False)
     feat = adapters.features(spark, sf_dir).select(
@@ -392,13 +445,16 @@ def q_de(spark, sf_dir):
     return finish(attach_results(feat, r.results, "entity_id")[0].drop("entity_id"))
 
 
-@register("de_results_unfiltered", "D04-D08 D11 D16 (no Cook's cut-off, no independent filtering)")
+@register("de_results_unfiltered", "D04-D08 D11 D16 (no Cook's cut-off, no independent filtering)", _chain(f"""
+select entity_id, {R6('basemean')} as "baseMean", {R6('lfc')} as "log2FoldChange", {R6('se')} as "lfcSE", {R6('stat')} as stat,
+       {R6('p')} as pvalue, {R6('padj')} as padj from tests left join padj using (entity_id)""", [*DQ.TEST_VIEWS, *DQ.adjusted("p", "tests")]))
 def q_de_unf(spark, sf_dir):
     r = differential_abundance(adapters.pools(spark, sf_dir), filtering=False, with_pca=False)
     return finish(r.results.select("entity_id", "baseMean", "log2FoldChange", "lfcSE", "stat", "pvalue", "padj"))
 
 
-@register("sample_pca", "D12 D13 O04 (no SQL oracle: eigen-decomposition)")
+@register("sample_pca", "D12 D13 O04 (transform, most variable genes, principal axes)", _chain(f"""
+select s.sample, s.condition, {R6('a.score')} as pc1, {R6('b.score')} as pc2 from smps s join axis1 a using (sample) join axis2 b using (sample)""", DQ.AXIS_VIEWS))
 def q_pca(spark, sf_dir):
     r = differential_abundance(adapters.pools(spark, sf_dir), with_pca=True, results=False)
     return finish(r.pca)
