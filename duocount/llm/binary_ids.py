@@ -62,9 +62,13 @@ class SequenceFile:
         flat = self.reader.get_batch(batch).column("ids").flatten()
         return flat.to_numpy(zero_copy_only=True).reshape(-1, self.length)
 
+    def mask_bits(self, batch: int) -> pa.BooleanArray:
+        """Which places of a batch hold ids, in one array; its bits are a view of the file where it is mapped."""
+        return self.reader.get_batch(batch).column("mask").flatten()
+
     def mask(self, batch: int) -> np.ndarray:
-        flat = self.reader.get_batch(batch).column("mask").flatten()
-        return flat.to_numpy(zero_copy_only=False).reshape(-1, self.length)
+        """The same unpacked to one byte a place, one row a sequence: a copy, since numpy has no bits."""
+        return self.mask_bits(batch).to_numpy(zero_copy_only=False).reshape(-1, self.length)
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         batch, row = divmod(i, BATCH_SEQUENCES)

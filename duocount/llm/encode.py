@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 from duocount.llm.batches import cached_for_tasks
+from duocount.llm.words import _hash_spans, buffers, spans
 
 CACHE_ENTRIES = 600_000
 CACHE_BYTES = 64
@@ -88,19 +89,47 @@ class IdEncoder:
             return self._encode([t.as_py() or "" for t in texts])
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        get = self.cache.get
-        rows = [self._parts(t) if t.is_valid else [] for t in texts]
-        found = [list(map(get, row)) for row in rows]
-        holes = [[i for i, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
-        missing = {row[i] for row, hole in zip(rows, holes) for i in hole}
-        self._learn(list(missing), self.cache)
-        for row, f, hole in zip(rows, found, holes):
-            for i in hole:
-                f[i] = self.cache[row[i]]
-        for part in missing:
-            if len(part) > CACHE_BYTES:
-                self.cache.pop(part, None)
-        return [b"".join(f) for f in found]
+        data, offsets = buffers(texts)
+        low, starts, ends, first = spans(data, offsets)
+        raw = low.tobytes()
+        odd = self._with_specials(raw, offsets)
+        # every distinct part of the slice is looked up once, by a 64-bit hash of its bytes
+        _, where, which = np.unique(_hash_spans(low, starts, ends), return_index=True, return_inverse=True)
+        parts = [raw[i:j] for i, j in zip(starts[where].tolist(), ends[where].tolist())]
+        ids = self._look_up(parts)
+        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        begin = np.cumsum(size) - size
+        n = size[which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat(begin[which] - total[:-1], n) + np.arange(total[-1])].tobytes()
+        cut = (total[first] * 4).tolist()
+        found = [out[i:j] for i, j in zip(cut[:-1], cut[1:])]
+        for i in odd:   # a special token's string keeps its case
+            found[i] = b"".join(self._look_up(self._parts(texts[i])))
+        return found
+
+    def _with_specials(self, raw: bytes, offsets: np.ndarray) -> list[int]:
+        """Rows with the string of a special token in any case."""
+        some = [s.lower() for s in self.specials if s.lower() in raw]
+        if not some:
+            return []
+        edges = offsets.tolist()
+        return [i for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if any(raw.find(s, a, b) >= 0 for s in some)]
+
+    def _look_up(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of each part, learnt where the cache has none."""
+        found = list(map(self.cache.get, parts))
+        holes = [i for i, ids in enumerate(found) if ids is None]
+        if holes:
+            missing = {parts[i] for i in holes}
+            self._learn(list(missing), self.cache)
+            for i in holes:
+                found[i] = self.cache[parts[i]]
+            for part in missing:
+                if len(part) > CACHE_BYTES:
+                    self.cache.pop(part, None)
+        return found
 
 
 def _drops_white_space(spec: dict) -> bool:

@@ -4,6 +4,7 @@ operator and stage, and brute-force versions of what SQL cannot express."""
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,30 @@ def test_binary_ids_equal_the_library(spark, request, name):
     file = store.file(store.parts[0].part)
     ids, mask = file.sequence(0)
     assert len(ids) == 64 and mask.dtype == bool and not ids.flags.owndata
+    column = file.reader.get_batch(0)   # ids and mask bits are views of the mapped file, at the addresses of its buffers
+    assert file.ids(0).ctypes.data == column.column("ids").flatten().buffers()[1].address
+    assert file.mask_bits(0).buffers()[1].address == column.column("mask").flatten().buffers()[1].address
+    before = pa.total_allocated_bytes()
+    views = [(file.ids(b), file.mask_bits(b)) for b in range(file.batches())]
+    assert pa.total_allocated_bytes() == before and len(views) == file.batches()   # nothing was copied by Arrow
+    assert (file.mask(0)[0] == mask).all()
+
+
+def test_encoder_equals_the_library_on_mixed_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from duocount.llm.encode import IdEncoder
+    rng = np.random.default_rng(6)
+    pieces = ["don't", "DON'T", "it's", "İstanbul", "e\u0301", "\u0301x", "<|endoftext|>", "<|EndOfText|>", "a<|startoftext|>b", "x\x85y", "漢字", "ǅ", "ß",
+              "...", "--a--", "12ab34", "\u00a0", "\u2003z", "😀👍🏽", "’s", "ΑΣ", "\x1c", "word", "Word", "WORD", "'", "'re'll", "w" * 90, "\ufb01"]
+    texts = ["", None, " \n"] + ["".join(pieces[i] + (" ", "\n", "", "\t\r ")[rng.integers(4)] for i in rng.integers(0, len(pieces), rng.integers(1, 30)))
+                                for _ in range(400)]
+    t, e = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), IdEncoder(tokenizer_path("word_bpe_49k.json"))
+    for _ in range(2):   # the second time from the cache
+        got = e(pa.array(texts))
+        for x, ids in zip(texts, got):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids, x
 
 
 @pytest.mark.parametrize("name", ["odd", "small"])
