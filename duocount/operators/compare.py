@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from duocount.functions.scalar import log2_fold_change, round_half_even, zero_in_exactly_one
 from duocount.operators.ordered import min_rank_pct_many
+from duocount.operators.ranges import number_rows
 from duocount.spec import ComparisonSpec, SchemaError
 
 
@@ -166,6 +167,13 @@ def add_row_id(df: DataFrame, name: str = "row_id", keys: Optional[Sequence[str]
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def add_row_number(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "row_number") -> DataFrame:
+    """A dense row id from 0 in ``order`` (P06, O01), within ``by`` if given: counts of range partitions give every
+    partition its offset, so the rows are never sorted in one task. ``order`` should identify rows (add a tie-break)."""
+    numbered = number_rows(df, by, [F.col(c).asc() for c in order], name, "_total")
+    return numbered.select(*df.columns, F.col(name).cast("bigint").alias(name))
+
+
 def lookup(df: DataFrame, value, key: str = "locus_tag") -> DataFrame:
     """Rows of one entity (F12); on a Parquet table the equality is pushed to the scan."""
     return df.where(F.col(key) == F.lit(value))

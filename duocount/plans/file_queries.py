@@ -13,7 +13,9 @@ from duocount.operators import insertions as I
 from duocount.operators import ordered as OR
 from duocount.operators import sets as S
 from duocount.operators.diffexp import counts as DC
-from duocount.operators.diffexp.run import attach_results, logged_run, run_log
+from duocount.operators.diffexp.pca import split_by_condition
+from duocount.operators.diffexp.run import attach_results, differential_abundance, logged_run, run_log
+from duocount.plans import diffexp_sql as DQ
 from duocount.plans import adapters, flagship, views
 from duocount.plans.catalog import R6, finish, register, with_views
 from duocount.plans.queries import KEYS_SQL, MERGED_SELECT, POOL_VIEWS
@@ -245,6 +247,41 @@ def q_viewer(spark, sf_dir):
     return finish(totals.select("locus_tag", "condition", "total_reads", "unique_sites", "label"))
 
 
+@register("gene_rows", "O01 P06 (genes by position with dense row numbers, whole and within type)", with_views("""
+select locus_tag, seq_id, start_pos, type, row_number() over (order by seq_id, start_pos, locus_tag) - 1 as row_number,
+       row_number() over (partition by type order by seq_id, start_pos, locus_tag) - 1 as row_in_type from feat"""))
+def q_gene_rows(spark, sf_dir):
+    f = adapters.features(spark, sf_dir).select("locus_tag", "seq_id", "start_pos", "type")
+    order = ["seq_id", "start_pos", "locus_tag"]
+    return finish(cmp.add_row_number(cmp.add_row_number(f, order), order, ["type"], "row_in_type"))
+
+
+@register("gene_lookup", "F12 (the gene of a selected row: the last one by position)", with_views("""
+select locus_tag, gene, start_pos, end_pos, product from feat where locus_tag = (select locus_tag from feat order by seq_id desc, start_pos desc, locus_tag desc limit 1)"""))
+def q_gene_lookup(spark, sf_dir):
+    f = adapters.features(spark, sf_dir)
+    selected = cmp.page(f, [F.col("seq_id").desc(), F.col("start_pos").desc()], [F.col("locus_tag").desc()], 0, 1).first()
+    return finish(cmp.lookup(f, selected["locus_tag"]).select("locus_tag", "gene", "start_pos", "end_pos", "product"))
+
+
+@register("readable_export", "P13 S08 (exported with readable headings and read back)", with_views("""
+select locus_tag as "locus tag", start_pos as "start pos", end_pos as "end pos", feat_length as "feat length" from feat"""))
+def q_readable_export(spark, sf_dir):
+    out = _folder(spark, "export")
+    shown = adapters.features(spark, sf_dir).select("locus_tag", "start_pos", "end_pos", "feat_length")
+    SC.export_table(shown, out, readable_headers=True)
+    back = spark.read.option("header", True).csv(out)
+    return finish(back.select("locus tag", *[F.col(f"`{c}`").cast("bigint").alias(c) for c in ("start pos", "end pos", "feat length")]))
+
+
+@register("pca_by_condition", "F15 (replicates of the test condition on the principal axes)", with_views(f"""
+select s.sample, {R6('a.score')} as pc1, {R6('b.score')} as pc2 from smps s join axis1 a using (sample) join axis2 b using (sample)
+where s.condition = 'test'""", *POOL_VIEWS, *DQ.AXIS_VIEWS, materialized=True))
+def q_pca_by_condition(spark, sf_dir):
+    r = differential_abundance(adapters.pools(spark, sf_dir), with_pca=True, results=False)
+    return finish(split_by_condition(r.pca, "test").select("sample", "pc1", "pc2"))
+
+
 @register("gene_bars", "P06 P09 P11 (bar centre and width, row id)", with_views(f"""
 select concat(seq_id, '|', locus_tag) as row_id, {R6('(end_pos - start_pos) / 2.0 + start_pos')} as centre,
        end_pos - start_pos as width, case when gene is null then locus_tag else concat(locus_tag, ' - ', gene) end as label

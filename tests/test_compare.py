@@ -131,3 +131,15 @@ def test_zero_in_one(spark):
     pdf = cmp.flag_zero_in_one(df, spec).toPandas()
     exp = ((pdf.nim_score_control == 0) & (pdf.nim_score_test > 0)) | ((pdf.nim_score_control > 0) & (pdf.nim_score_test == 0))
     assert (pdf.zero_in_one == exp).all()
+
+
+def test_row_numbers_are_dense_whole_and_by_group(spark):
+    from duocount.operators.compare import add_row_number
+    df = spark.range(500).select((F.col("id") * 37 % 101).alias("a"), "id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"))
+    rows = sorted(add_row_number(df, ["a", "id"]).collect(), key=lambda r: (r.a, r.id))
+    assert [r.row_number for r in rows] == list(range(500))
+    inside = {}
+    for r in sorted(add_row_number(df, ["a", "id"], ["g"], "n").collect(), key=lambda r: (r.a, r.id)):
+        assert r.n == inside.get(r.g, 0)
+        inside[r.g] = r.n + 1
+    assert set(inside) == {None, 1, 2}
