@@ -15,7 +15,7 @@ def test_entry_and_registry(spark):
     assert set(sql) <= set(q)
     # the training-data queries are there just when their subpackage is
     found = importlib.util.find_spec("duocount.llm") is not None and importlib.util.find_spec("corpus_pipeline") is not None
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in q if k.startswith("op")} if found else "pipeline" not in q
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in q if k.startswith("op")} if found else "pipeline" not in q
 
 
 @pytest.mark.parametrize("name", ["merged_comparison", "gene_scores", "score_track", "venn_sweep"])
