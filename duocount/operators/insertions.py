@@ -161,8 +161,6 @@ def gene_scores(features: DataFrame, ins: DataFrame, keys: Sequence[str], by: Se
     sites = insertion_sites(ins, by)
     if materialise_sites:
         sites = cut_lineage(sites, "sites")
-    if not bin_width:
-        bin_width = iv.choose_bin_width(_window_bounds(features, buffer_frac), "_lo", "_hi")
     tot = feature_totals(features, sites, keys, by, conditions, bounds, buffer_frac, bin_width)
     den = condition_totals(sites, by).withColumnsRenamed(
         {"total_sites": "cond_sites", "total_reads": "cond_reads"}).drop("total_rows")

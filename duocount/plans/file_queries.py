@@ -165,7 +165,40 @@ def q_landed(spark, sf_dir):
     where = (f"{out}/run1/*", f"{out}/table", f"{out}/progress")
     for _ in range(2):  # the second pass finds nothing new
         landing.ingest_available(spark, *where, landing.landing_schema(SCORES))
-    return finish(spark.read.parquet(f"{out}/table").drop("source_file"))
+    return finish(landing.landed(spark, f"{out}/table").drop("source_file"))
+
+
+@register("landed_names", "S05 (a name already stored is refused and logged, rows kept once)", with_views("""
+select condition, folder, folder = 'run1' as stored, case when folder = 'run2' then 'File Already Exists' end as reason, n_rows
+from (select condition, count(*) as n_rows from scores group by 1) join (values ('run1'), ('run2')) as f(folder) on true"""))
+def q_landed_names(spark, sf_dir):
+    out = _dropped_files(spark, sf_dir)
+    where = (f"{out}/*/*", f"{out}-table", f"{out}-progress")
+    landing.ingest_available(spark, *where, landing.landing_schema(SCORES))
+    # the same files come again from another folder
+    again = [spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{folder}") for folder in ("run1", "run2")]
+    again[0].getFileSystem(spark._jsc.hadoopConfiguration()).rename(*again)
+    landing.ingest_available(spark, *where, landing.landing_schema(SCORES))
+    rows = landing.landed(spark, f"{out}-table").groupBy("source_file").agg(F.count("*").alias("n_rows"))
+    seen = landing.landing_log(spark, f"{out}-table").join(rows, "source_file")
+    return finish(seen.groupBy(F.regexp_extract("file_path", "_(control|test)/[^/]*$", 1).alias("condition"),
+                               F.regexp_extract("file_path", "/(run[12])/", 1).alias("folder"), "stored", "reason").agg(
+        F.sum("n_rows").alias("n_rows")))
+
+
+@register("landed_coordinates", "S05 S06 S01 (dropped coordinate files ingested by a stream)", with_views("""
+select condition, seq_id, count(*) as n_rows, cast(min("start") as bigint) as first_start, cast(max("end") as bigint) as last_end
+from coords group by 1, 2"""))
+def q_landed_coordinates(spark, sf_dir):
+    out = _folder(spark, "landed-coordinates")
+    for cond in I.CONDITIONS:
+        rows = adapters.coordinates(spark, sf_dir).where(F.col("condition") == cond)
+        CO.write_coordinates(rows.withColumn("source", F.lit(cond)), f"{out}/drop/{cond}")
+    where = (f"{out}/drop/*", f"{out}/table", f"{out}/progress")
+    for _ in range(2):  # the second pass finds nothing new
+        landing.start_coordinate_ingest(spark, *where, pattern="part-*").awaitTermination()
+    return finish(landing.landed(spark, f"{out}/table").groupBy(F.col("source").alias("condition"), "seq_id").agg(
+        F.count("*").alias("n_rows"), F.min("start").alias("first_start"), F.max("end").alias("last_end")))
 
 
 @register("saved_comparison", "S07 (comparison saved, loaded, its spec deciding the columns)", with_views(f"""

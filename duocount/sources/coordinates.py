@@ -33,7 +33,12 @@ def read_coordinates(spark: SparkSession, paths: Paths, comment: str = "inline",
     without exactly nine fields keep their text in ``_corrupt`` with null fields. ``start``/``end``
     are BIGINT by ``try_cast``; ``score`` stays text (``.`` means empty; see ``score_value``).
     """
-    df = _lines(spark, paths, path_glob)
+    out = parse_coordinates(_lines(spark, paths, path_glob), comment, ["file_path"])
+    return out if keep_file else out.drop("file_path")
+
+
+def parse_coordinates(lines: DataFrame, comment: str = "inline", keep: Sequence[str] = ()) -> DataFrame:
+    """The rows of :func:`read_coordinates` from a table (or stream) of lines ``line``, then the columns ``keep``."""
     line = F.col("line")
     if comment == "inline":
         text = F.regexp_replace(line, "#.*$", "")
@@ -41,7 +46,7 @@ def read_coordinates(spark: SparkSession, paths: Paths, comment: str = "inline",
         text = F.when(line.startswith("#"), F.lit("")).otherwise(line)
     else:
         raise ValueError("comment must be 'inline' or 'line'")
-    df = df.select("file_path", text.alias("_text")).where(F.length(F.trim(F.col("_text"))) > 0)
+    df = lines.select(*keep, text.alias("_text")).where(F.length(F.trim(F.col("_text"))) > 0)
     parts = F.split(F.col("_text"), "\t")
     ok = F.size(parts) == len(GFF_COLUMNS)
     fields = []
@@ -51,9 +56,7 @@ def read_coordinates(spark: SparkSession, paths: Paths, comment: str = "inline",
             v = F.expr(f"try_cast(split(_text, '\\t')[{i}] as bigint)")
             v = F.when(ok, v)
         fields.append(v.alias(name))
-    out = df.select(*fields, F.when(~ok, F.col("_text")).alias("_corrupt"),
-                    *(["file_path"] if keep_file else []))
-    return out
+    return df.select(*fields, F.when(~ok, F.col("_text")).alias("_corrupt"), *keep)
 
 
 def score_value(col: str = "score"):

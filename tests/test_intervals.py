@@ -2,13 +2,21 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from duocount.operators import insertions as I
-from duocount.operators.intervals import interval_join, interval_join_naive
+from duocount.operators.intervals import MAX_BINS, bin_levels, in_interval, interval_join
 
 KEYS = ["seq_id", "locus_tag", "type", "gene", "start_pos", "end_pos", "feat_length", "product"]
 FEAT = ("seq_id string, locus_tag string, type string, gene string, start_pos long, end_pos long, "
         "feat_length long, product string")
 
 
+def interval_join_naive(points, intervals, *, pos, lo, hi, on=(), bounds="open"):
+    """Plain theta join (a nested loop), to hold the binned one against."""
+    i, p = intervals.alias("_i"), points.alias("_p")
+    cond = [F.col(f"_i.{k}") == F.col(f"_p.{k}") for k in on]
+    cond.append(in_interval(F.col(f"_p.{pos}"), F.col(f"_i.{lo}"), F.col(f"_i.{hi}"), bounds))
+    return i.join(p, cond, "inner").select("_i.*", *[F.col(f"_p.{c}") for c in points.columns if c not in on])
+
+
 def test_binned_equals_naive_random(spark):
     rng = np.random.default_rng(11)
     iv = [(f"s{int(s)}", int(a), int(a) + int(l)) for s, a, l in
@@ -27,6 +35,35 @@ def test_binned_equals_naive_random(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_long_features_take_wide_bins(spark):
+    """A feature over the whole sequence beside short ones, reversed and boundless ones: few rows each, same pairs."""
+    rng = np.random.default_rng(12)
+    iv = [("s", int(a), int(a) + 19) for a in rng.integers(0, 50_000_000, 400)]
+    iv += [("s", 0, 50_000_000), ("s", -7, 2_000_000), ("s", 30_000_000, 30_090_000), ("s", 900, 5), ("s", None, 40), ("s", 40, None),
+           ("t", 0, 3_000_000_000_000), ("s", 17, 17)]
+    pts = [("s", int(a) + int(d)) for (_, a, _), d in zip(iv[:300], rng.integers(-1, 21, 300))]
+    pts += [("s", int(p)) for p in rng.integers(-10, 50_000_010, 500)] + [("t", 2_999_999_999_999), ("s", 17), ("s", None)]
+    I_ = spark.createDataFrame([(k, *r) for k, r in enumerate(iv)], "iid int, seq string, lo long, hi long")
+    P_ = spark.createDataFrame([(k, *r) for k, r in enumerate(pts)], "pid int, seq string, pos long")
+    base, levels = bin_levels(I_, "lo", "hi")
+    assert base == 5 and len(levels) <= 5
+    for bounds in ("open", "closed"):
+        of = dict(pos="pos", lo="lo", hi="hi", on=["seq"], bounds=bounds)
+        want = sorted((r.iid, r.pid) for r in interval_join_naive(P_, I_, **of).collect())
+        assert sorted((r.iid, r.pid) for r in interval_join(P_, I_, **of).collect()) == want
+        left = interval_join(P_, I_, how="left", **of).collect()
+        assert sorted((r.iid, r.pid) for r in left if r.pid is not None) == want
+        assert {r.iid for r in left} == set(range(len(iv)))
+        assert len(left) - len(want) <= len(iv) * (MAX_BINS + 1)
+
+
+def test_base_width_is_the_quantile_of_spans(spark):
+    I_ = spark.createDataFrame([(0, n - 1) for n in [1, 1, 16, 17, 32, 33, 33, 64, 64, 5000]], "lo long, hi long")
+    assert bin_levels(I_, "lo", "hi") == (6, [0, 1]) and bin_levels(I_, "lo", "hi", quantile=0.2) == (0, [0, 1, 2])
+    assert bin_levels(I_, "lo", "hi", bin_width=8192) == (13, [0])
+    assert bin_levels(I_.limit(0), "lo", "hi") == (0, [0])
+
+
 def _feat(spark, rows):
     return spark.createDataFrame(rows, FEAT)
 

@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from duocount.functions.attributes import parse_attributes, widen_attributes
 from duocount.sources import coordinates as CO
 from duocount.sources import scores as SC
 from duocount.sources.store import load_comparison, save_comparison
-from duocount.streaming.landing import ingest_available, landing_schema
+from duocount.streaming.landing import (REFUSED, ingest_available, ingest_coordinates_available, landed, landing_log,
+                                         landing_schema)
 
 GFF = ("#gff-version 3\n#second header\n"
        "1\ttnseq\tmisc_feature\t7212\t7212\t5\t.\t.\tnote=a#b;\n"
@@ -95,6 +97,57 @@ def test_landing_ingest_counts_each_file_once(spark, tmp_out):
     assert t.count() == 2 and {r.source_file for r in t.collect()} == {"a_control.csv", "b_test.csv"}
 
 
+def test_landing_refuses_a_stored_name(spark, tmp_out):
+    drops, table, ckpt = (os.path.join(tmp_out, x) for x in ("drops", "table", "ckpt"))
+    schema = landing_schema(["S_NIM_score", "S_NRM_score", "rep1_MP_control"])
+
+    def drop(folder, name, text=SCORES, at=None):
+        os.makedirs(os.path.join(drops, folder), exist_ok=True)
+        path = write(os.path.join(drops, folder, name), text)
+        if at:
+            os.utime(path, (at, at))
+        return path
+
+    drop("x", "a.csv")
+    ingest_available(spark, drops + "/*", table, ckpt, schema)
+    drop("y", "a.csv", SCORES.replace("1.5", "9.5"))       # stored by an earlier batch
+    drop("y", "b.csv", SCORES.replace("1.5", "2.5"), time.time() - 50)  # later than z/b.csv of the same batch
+    drop("z", "b.csv", SCORES.replace("1.5", "3.5"), time.time() - 100)
+    ingest_available(spark, drops + "/*", table, ckpt, schema)
+    got = sorted((r.source_file, r.S_NIM_score) for r in landed(spark, table).collect())
+    assert got == [("a.csv", 1.5), ("b.csv", 3.5)]
+    log = sorted((r.source_file, r.file_path.split("/")[-2], r.stored, r.reason) for r in landing_log(spark, table).collect())
+    assert log == [("a.csv", "x", True, None), ("a.csv", "y", False, REFUSED),
+                   ("b.csv", "y", False, REFUSED), ("b.csv", "z", True, None)]
+
+
+def test_landing_batch_run_again_stores_nothing_twice(spark, tmp_out):
+    """A batch whose commit was lost runs again under its id, and overwrites its own rows and names."""
+    drops, table, ckpt = (os.path.join(tmp_out, x) for x in ("drops", "table", "ckpt"))
+    os.makedirs(drops)
+    schema = landing_schema(["S_NIM_score", "S_NRM_score", "rep1_MP_control"])
+    write(os.path.join(drops, "a.csv"), SCORES)
+    ingest_available(spark, drops, table, ckpt, schema)
+    os.remove(os.path.join(ckpt, "commits", "0"))
+    crc = os.path.join(ckpt, "commits", ".0.crc")
+    if os.path.exists(crc):
+        os.remove(crc)
+    ingest_available(spark, drops, table, ckpt, schema)
+    assert [(r.source_file, r.S_NIM_score) for r in landed(spark, table).collect()] == [("a.csv", 1.5)]
+    assert [(r.source_file, r.stored) for r in landing_log(spark, table).collect()] == [("a.csv", True)]
+
+
+def test_landing_coordinates(spark, tmp_out):
+    drops, table, ckpt = (os.path.join(tmp_out, x) for x in ("drops", "table", "ckpt"))
+    os.makedirs(drops)
+    path = write(os.path.join(drops, "a.gff"), GFF)
+    for _ in range(2):
+        ingest_coordinates_available(spark, drops, table, ckpt)
+    got = landed(spark, table).drop("source_file").collect()
+    want = CO.read_coordinates(spark, path, keep_file=False).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 4
+
+
 def test_parse_attributes(spark):
     df = spark.createDataFrame([("a=b=c;x;n=1;n=2;",), ("ID=7;",)], "attributes string")
     m = df.select(parse_attributes("attributes").alias("m")).collect()
