@@ -14,7 +14,7 @@ from duocount.operators.diffexp.dispersion import MIN_DISP, MIN_MU, OUTLIER_SD,
 
 RESULT_SCHEMA = ("entity_id string, baseMean double, log2FoldChange double, lfcSE double, stat double, "
                  "pvalue double, dispGeneEst double, dispFit double, dispersion double, maxCooks double, "
-                 "allZero boolean, replaced boolean")
+                 "nAbove int, allZero boolean, replaced boolean")
 
 # Fixed values of the published method's outlier replacement.
 MIN_REPLICATES_FOR_REPLACE = 7
@@ -98,7 +98,12 @@ def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: fl
     With ``replace`` and at least MIN_REPLICATES_FOR_REPLACE replicates in a group, counts whose
     Cook's distance exceeds the F(p, m - p) 0.99 quantile (samples of such groups only) are replaced
     by trimmed-mean normalised count x size factor (truncated to an integer) and those genes are
-    refitted (gene-wise and MAP dispersion, Wald) with the same size factors, trend and prior.
+    refitted (gene-wise and MAP dispersion, Wald) with the same size factors, trend and prior. Their base mean is that of
+    the replaced counts, at which the trend is read; a gene left without counts has base mean 0 and no test.
+
+    ``maxCooks`` is the largest distance among the samples that the cut-off can still judge: those of groups of at
+    least ``cooks_min_reps``, without the samples whose counts were open to replacement (null if none is left).
+    ``nAbove`` counts the samples with a larger count than the sample of the largest distance of all.
     """
     trend = as_trend(trend)
     sf = np.asarray(sf, float)
@@ -111,6 +116,7 @@ def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: fl
     cooks_cols = counts_per_group[groups] >= cooks_min_reps
     replace_cols = counts_per_group[groups] >= MIN_REPLICATES_FOR_REPLACE
     replace = bool(replace and replace_cols.any() and S > n_groups)
+    judged_cols = cooks_cols & ~replace_cols if replace else cooks_cols
     cutoff = M.f_quantile_df1_2(COOKS_QUANTILE, float(S - n_groups)) if S > n_groups else np.inf
 
     def run(batches):
@@ -122,6 +128,7 @@ def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: fl
             out["dispGeneEst"] = pdf["dispGeneEst"].astype(float).values
             out["allZero"] = pdf["allZero"].astype(bool).values
             out["replaced"] = False
+            out["nAbove"] = 0
             if n == 0:
                 yield out
                 continue
@@ -135,6 +142,10 @@ def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: fl
                 lf = np.log(fit[nz])
                 gene = out["dispGeneEst"].values[nz]
                 gene, alpha, lfc, se, cooks = _fit_block(yy, sf, groups, n_groups, lf, prior_var, lo, hi, S, sd, gene)
+                worst = np.argmax(np.where(np.isfinite(cooks), cooks, -np.inf), axis=1)
+                above = (yy > yy[np.arange(len(yy)), worst][:, None]).sum(axis=1)
+                mc = (np.nanmax(np.where(judged_cols[None, :], cooks, -np.inf), axis=1)
+                      if judged_cols.any() else np.full(yy.shape[0], np.nan))
                 repl = np.zeros(yy.shape[0], bool)
                 if replace:
                     hit = (cooks > cutoff) & replace_cols[None, :]
@@ -144,10 +155,18 @@ def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: fl
                         new = yy[repl].copy()
                         sub = hit[repl]
                         new[sub] = np.floor((tm[:, None] * sf[None, :]))[sub]
-                        g2, a2, l2, s2, c2 = _fit_block(new, sf, groups, n_groups, lf[repl], prior_var, lo, hi, S, sd)
-                        gene[repl], alpha[repl], lfc[repl], se[repl], cooks[repl] = g2, a2, l2, s2, c2
-                mc = (np.nanmax(np.where(cooks_cols[None, :], cooks, -np.inf), axis=1)
-                      if cooks_cols.any() else np.full(yy.shape[0], np.nan))
+                        mean = (new / sf[None, :]).mean(axis=1)
+                        at = np.flatnonzero(nz)[repl]
+                        left = mean > 0
+                        fit[at] = np.where(left, trend.at(np.where(left, mean, 1.0)), np.nan)
+                        out.loc[at, "baseMean"], out.loc[at, "dispFit"], out.loc[at, "allZero"] = mean, fit[at], ~left
+                        refit = np.flatnonzero(repl)
+                        for part in (gene, alpha, lfc, se, mc):
+                            part[refit[~left]] = np.nan
+                        refit = refit[left]
+                        if len(refit):
+                            gene[refit], alpha[refit], lfc[refit], se[refit], _ = _fit_block(
+                                new[left], sf, groups, n_groups, np.log(fit[at[left]]), prior_var, lo, hi, S, sd)
                 stat = lfc / se
                 out.loc[nz, "dispGeneEst"] = gene
                 out.loc[nz, "dispersion"] = alpha
@@ -157,6 +176,7 @@ def wald_mapper(sf: Sequence[float], groups: Sequence[int], trend, prior_var: fl
                 out.loc[nz, "pvalue"] = M.norm_two_sided_p(stat)
                 out.loc[nz, "maxCooks"] = mc
                 out.loc[nz, "replaced"] = repl
+                out.loc[nz, "nAbove"] = above
             yield out
 
     return run

@@ -18,17 +18,19 @@ N_THETA = 50
 UPPER_THETA = 0.95
 LOWESS_FRAC = 1.0 / 5.0
 MIN_REJECTIONS = 10
+EXEMPT_ABOVE = 3       # larger counts than the outlier's that keep a gene's p-value
 P_CELLS = 512          # equal cells of p between 0 and the target FDR in the first counting pass
 
 
 def apply_cooks_cutoff(res: DataFrame, n_samples: int, n_coef: int = 2) -> DataFrame:
     """p-value becomes null for genes whose largest Cook's distance exceeds the 0.99 quantile of
-    F(p, m - p). Only defined for p = 2 here (two-group design)."""
+    F(p, m - p), unless at least EXEMPT_ABOVE samples have a larger count than the outlier: a low count among
+    higher ones does not make a difference look larger. Only defined for p = 2 here (two-group design)."""
     if n_coef != 2 or n_samples <= n_coef:
         return res
     cutoff = M.f_quantile_df1_2(COOKS_QUANTILE, float(n_samples - n_coef))
-    return res.withColumn("pvalue", F.when(F.col("maxCooks") > F.lit(cutoff), F.lit(None).cast("double"))
-                          .otherwise(F.col("pvalue")))
+    return res.withColumn("pvalue", F.when((F.col("maxCooks") > F.lit(cutoff)) & (F.col("nAbove") < EXEMPT_ABOVE),
+                                            F.lit(None).cast("double")).otherwise(F.col("pvalue")))
 
 
 class _Cells:

@@ -160,9 +160,10 @@ TEST_VIEWS = [
     select entity_id, n, m, {_trim('list_transform(l, lambda x: (x - cm) * (x - cm))', 'n', _SHARE.replace('{n}', 'n'))} as v from (
       select entity_id, n, l, {_trim('l', 'n', _SHARE.replace('{n}', 'n'))} as cm, m from (
         select entity_id, any_value(n) as n, list(q) as l, any_value(basemean) as m from cell join sizes using (condition) where n >= 3 group by entity_id, condition))) group by 1"""),
-    ("cooks", """select entity_id, max((y - m) * (y - m) / (m + rob * m * m) / 2 * (w / sw) / pow(1 - w / sw, 2)) as cooks
-    from fits join robust using (entity_id) join sizes using (condition) where n >= 3 group by 1"""),
-    ("tests", f"""select entity_id, basemean, lfc, se, lfc / se as stat, {_ERFC} as p, cooks, disp, fit, a
+    ("cooks", """select entity_id, max(d) filter (n >= 3) as cooks, list(y) as ys, arg_max(y, d) filter (isfinite(d)) as worst from (
+    select entity_id, n, y, (y - m) * (y - m) / (m + rob * m * m) / 2 * (w / sw) / pow(1 - w / sw, 2) as d
+    from fits join robust using (entity_id) join sizes using (condition)) group by 1"""),
+    ("tests", f"""select entity_id, basemean, lfc, se, lfc / se as stat, {_ERFC} as p, cooks, len(list_filter(ys, lambda y: y > worst)) as n_above, disp, fit, a
     from (select *, abs(lfc / se) / sqrt(2) as x from wald join alpha using (entity_id) left join cooks using (entity_id))"""),
 ]
 
@@ -174,6 +175,7 @@ def adjusted(p: str, source: str) -> list[tuple[str, str]]:
 
 
 COOKS_CUT = f"""(((select count(*) from smps) - 2) / 2.0 * (pow({1 - SEL.COOKS_QUANTILE:.17g}, -2.0 / ((select count(*) from smps) - 2)) - 1))"""
+CUT_OFF = f"(cooks > {COOKS_CUT} and n_above < {SEL.EXEMPT_ABOVE})"
 
 
 def _smooth() -> list[tuple[str, str]]:
@@ -204,7 +206,7 @@ REJECTION_VIEWS = [
 
 FILTER_VIEWS = [
     *TEST_VIEWS,
-    ("filterable", f"select entity_id, basemean, case when cooks > {COOKS_CUT} then null else p end as p from tests"),
+    ("filterable", f"select entity_id, basemean, case when {CUT_OFF} then null else p end as p from tests"),
     *REJECTION_VIEWS,
     *_smooth(),
     ("chosen", f"""select case when (select max(y) from rejected) <= {SEL.MIN_REJECTIONS} then 0 else coalesce((select min(i) from f3 where y > (

@@ -413,7 +413,7 @@ def q_map_dispersions(spark, sf_dir):
 
 
 @register("cooks_distances", "D09 (largest Cook's distance and its cut-off)", _chain(f"""
-select entity_id, {R6('cooks')} as "maxCooks", cooks > {DQ.COOKS_CUT} as cut from tests""", DQ.TEST_VIEWS))
+select entity_id, {R6('cooks')} as "maxCooks", {DQ.CUT_OFF} as cut from tests""", DQ.TEST_VIEWS))
 def q_cooks(spark, sf_dir):
     r = _unfiltered(spark, sf_dir)
     out = SEL.apply_cooks_cutoff(r.withColumn("_p", F.col("pvalue")), len(_pool_design(spark, sf_dir)[1].samples))

@@ -3,10 +3,12 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from duocount.operators.diffexp import dispersion as D
+from duocount.operators.diffexp import fit as FT
 from duocount.operators.diffexp import nbmath as M
 from duocount.operators.diffexp import select as SEL
 from duocount.operators.diffexp import trend as TR
@@ -132,3 +134,59 @@ def test_thousands_of_samples_need_no_expression_each(spark):
     for g, s, _, n in rows + rows[:7]:
         wanted[g][s] += int(n)
     assert m == {g: [wanted[g][s] for s in design.samples] for g in wanted}
+
+
+# --- outlier rules (D09) on hand-made genes ------------------------------------------------------
+
+def _wald(counts, groups, replace=True, trend=(0.1, 1.0)):
+    counts = np.asarray(counts, float)
+    genes = pd.DataFrame({"entity_id": [f"g{i}" for i in range(len(counts))], "counts": list(counts.astype(int)),
+                          "baseMean": counts.mean(axis=1), "allZero": (counts == 0).all(axis=1), "dispGeneEst": 0.1})
+    parts = FT.wald_mapper([1.0] * len(groups), groups, trend, 0.5, 1.0, replace=replace)(iter([genes]))
+    return pd.concat(list(parts)).reset_index(drop=True)
+
+
+def test_replaced_gene_takes_the_mean_and_trend_of_its_new_counts():
+    rng = np.random.default_rng(3)
+    plain = rng.poisson(60, (1, 16))
+    spiked = plain.copy()
+    spiked[0, 4] = 20000
+    empty = np.zeros((1, 16), int)
+    empty[0, 11] = 5000
+    out = _wald(np.concatenate([plain, spiked, empty]), [0] * 8 + [1] * 8)
+    assert list(out.replaced) == [False, True, True]
+    k = 3  # floor(16 * 0.2) values dropped at either end
+    new = spiked[0].copy()
+    new[4] = int(np.sort(spiked[0])[k:16 - k].mean())
+    assert abs(out.baseMean[1] - new.mean()) < 1e-9 and abs(out.dispFit[1] - (0.1 + 1.0 / new.mean())) < 1e-9
+    # refitted as the gene of the new counts would be, but for its own gene-wise estimate
+    alone = _wald([new], [0] * 8 + [1] * 8)
+    assert abs(out.log2FoldChange[1] - alone.log2FoldChange[0]) < 0.02
+    # every sample was open to replacement: nothing is left for the cut-off to judge
+    assert out.maxCooks.isna().all()
+    # a gene without counts after replacement has no test
+    assert out.baseMean[2] == 0 and out.allZero[2] and np.isnan(out.pvalue[2]) and np.isnan(out.dispFit[2])
+    assert abs(out.baseMean[0] - plain.mean()) < 1e-9
+
+
+def test_cut_off_judges_only_samples_that_were_not_replaceable():
+    rng = np.random.default_rng(4)
+    low, high = rng.poisson(50, 12), rng.poisson(50, 12)
+    low[2] = 9000      # of the group of 8: replaced
+    high[10] = 9000    # of the group of 4: judged
+    out = _wald([low, high], [0] * 8 + [1] * 4)
+    cut = (10 / 2) * (0.01 ** (-2 / 10) - 1)
+    assert list(out.replaced) == [True, False]
+    assert out.maxCooks[0] < cut < out.maxCooks[1] and out.nAbove[1] == 0
+    unreplaced = _wald([low], [0] * 8 + [1] * 4, replace=False)
+    assert unreplaced.maxCooks[0] > cut and not unreplaced.replaced[0]
+
+
+def test_larger_counts_than_the_outlier_exempt_a_gene(spark):
+    # the odd sample is the low one of the control: every test count and both other controls are larger
+    out = _wald([[400, 400, 0, 900, 900, 900], [10, 10, 500, 12, 12, 12]], [0, 0, 0, 1, 1, 1], replace=False)
+    assert list(out.nAbove) == [5, 0]
+    rows = [("cut", 50.0, 2, 0.01), ("exempt", 50.0, 3, 0.02), ("below", 1.0, 0, 0.03), ("unjudged", None, 0, 0.04)]
+    res = spark.createDataFrame(rows, "entity_id string, maxCooks double, nAbove int, pvalue double")
+    got = {r.entity_id: r.pvalue for r in SEL.apply_cooks_cutoff(res, 6).collect()}
+    assert got == {"cut": None, "exempt": 0.02, "below": 0.03, "unjudged": 0.04}
