@@ -1,6 +1,7 @@
 """Coordinate (GFF3) files: scan, header, write.
 
-Lines are read with the text source (splittable, one row per line); parsing is column expressions.
+Lines are read with the text source (splittable, one row per line); parsing is column expressions. Headers alone
+are read from the start of each file.
 """
 
 from __future__ import annotations
@@ -20,8 +21,7 @@ def _lines(spark: SparkSession, paths: Paths, path_glob: str = None) -> DataFram
     if path_glob:
         r = r.option("pathGlobFilter", path_glob)
     df = r.load(paths if isinstance(paths, str) else list(paths))
-    return df.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"),
-                     F.col("_metadata.file_block_start").alias("_block"))
+    return df.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"))
 
 
 def read_coordinates(spark: SparkSession, paths: Paths, comment: str = "inline", path_glob: str = None,
@@ -70,23 +70,57 @@ def unreadable_scores(coords: DataFrame, by: Sequence[str] = ("file_path",)) ->
     return coords.groupBy(*by).agg(F.count_if(bad).alias("unreadable_scores"))
 
 
+HEADER_SCHEMA = "file_path string, line_no long, text string"
+HEADER_PIECE = 65_536      # bytes asked of a file at a time, and characters of a line
+
+
+def _header_lines(path: str):
+    """(number, text) of the leading ``#`` lines of one file; reads on only while they last."""
+    import io
+
+    from pyarrow import fs
+
+    where, name = fs.FileSystem.from_uri(path)
+    with where.open_input_stream(name, compression="detect", buffer_size=HEADER_PIECE) as raw:
+        lines = io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline=None)
+        at, first = 0, None
+        while piece := lines.readline(HEADER_PIECE):
+            at += 1
+            text = piece
+            if text.startswith("#"):
+                while piece and not piece.endswith("\n"):   # the rest of a long comment
+                    piece = lines.readline(HEADER_PIECE)
+                    text += piece
+                first = at if first is None else first
+                yield at - first + 1, text.rstrip("\n")
+            elif text.strip(" \n"):
+                return
+
+
 def read_header(spark: SparkSession, paths: Paths, path_glob: str = None) -> DataFrame:
     """Leading ``#`` lines of each file, before its first data line (S02): ``file_path, line_no, text``.
 
-    Uses the first split of each file (``file_block_start = 0``) and the order of lines inside it
-    (``monotonically_increasing_id`` grows within a partition); assumes the header and the first
-    data line fall in the first split, which holds for any header shorter than a split.
+    Files are listed without their content, dealt over the tasks and opened there; reading ends at the first
+    data line, so the bytes read do not grow with the files. ``line_no`` counts from the first comment; empty lines
+    count but are not returned, nor are comments below the first data line. Paths must be ones that
+    ``pyarrow.fs`` opens (local, hdfs, s3, gs); files compressed by their suffix are unpacked.
     """
-    df = _lines(spark, paths, path_glob).where(F.col("_block") == 0).withColumn(
-        "_id", F.monotonically_increasing_id())
-    is_comment = F.col("line").startswith("#")
-    first_data = (df.where(~is_comment & (F.length(F.trim("line")) > 0))
-                  .groupBy("file_path").agg(F.min("_id").alias("_first")))
-    head = df.where(is_comment).join(first_data, "file_path", "left").where(
-        F.col("_first").isNull() | (F.col("_id") < F.col("_first")))
-    w_first = head.groupBy("file_path").agg(F.min("_id").alias("_id0"))
-    return (head.join(w_first, "file_path").select(
-        "file_path", (F.col("_id") - F.col("_id0") + 1).alias("line_no"), F.col("line").alias("text")))
+    r = spark.read.format("binaryFile")
+    if path_glob:
+        r = r.option("pathGlobFilter", path_glob)
+    listed = r.load(paths if isinstance(paths, str) else list(paths))
+    files = listed.where(F.col("length") > 0).select(F.col("_metadata.file_path").alias("file_path"))
+
+    def read(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for path in pdf["file_path"]:
+                rows = [(path, n, text) for n, text in _header_lines(path)]
+                yield pd.DataFrame(rows, columns=["file_path", "line_no", "text"])
+
+    parts = spark.sparkContext.defaultParallelism
+    return files.repartition(parts, "file_path").mapInPandas(read, HEADER_SCHEMA)
 
 
 def to_lines(coords: DataFrame) -> DataFrame:

@@ -53,6 +53,34 @@ def test_header_and_roundtrip(spark, tmp_out):
     assert back.count() == 3
 
 
+def test_header_reads_the_start_of_a_file_only(spark, tmp_out):
+    import gzip
+
+    os.makedirs(tmp_out, exist_ok=True)
+    long_comment = "#" + "x" * 200_000
+    cases = {"plain.gff": ("#a\n\n#b\n1\tdata\n#below\n", [(1, "#a"), (3, "#b")]), "none.gff": ("1\tdata\n#below\n", []),
+             "only.gff": ("#a\r\n#b", [(1, "#a"), (2, "#b")]), "empty.gff": ("", []),
+             "long one.gff": (long_comment + "\n#z\n" + "d" * 300_000 + "\n#below\n", [(1, long_comment), (2, "#z")])}
+    for name, (text, _) in cases.items():
+        write(os.path.join(tmp_out, name), text)
+    with gzip.open(os.path.join(tmp_out, "packed.gff.gz"), "wt") as f:
+        f.write("#p\n1\tdata\n")
+    cases["packed.gff.gz"] = ("", [(1, "#p")])
+    got = {}
+    for r in CO.read_header(spark, tmp_out, "*.gff*").collect():
+        got.setdefault(r.file_path.split("/")[-1].replace("%20", " "), []).append((r.line_no, r.text))
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, (_, v) in cases.items() if v}
+    # 64 MB of data below a header: about one piece is read
+    big = os.path.join(tmp_out, "big.txt")
+    with open(big, "w") as f:
+        f.write("#h\n" + ("1\tx\t" + "y" * 1000 + "\n") * 64_000)
+    with open("/proc/self/io") as f:
+        before = int(f.readline().split()[1])
+    assert list(CO._header_lines("file://" + big)) == [(1, "#h")]
+    with open("/proc/self/io") as f:
+        assert int(f.readline().split()[1]) - before < 4 * CO.HEADER_PIECE
+
+
 SCORES = ("seq_id,locus_tag,type,gene,start_pos,end_pos,feat_length,product,S_NIM_score,S_NRM_score,rep1_MP_control\n"
           "1,L1,CDS,,1,10,10,p1,1.5,NaN,3\n"
           "1,,CDS,g,20,30,11,p2,2.0,1.0,4\n"
