@@ -2,15 +2,52 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Optional, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duocount.operators.diffexp.dispersion import trend_of
 from duocount.operators.diffexp.trend import Parametric, Trend, as_trend
+from duocount.operators.ranges import number_rows
+from duocount.spec import CountDataError
 
 NTOP = 500
+# Fixed values of the published method's fast variant: genes its trend is fitted on, and the base mean they exceed.
+FAST_GENES = 1000
+FAST_MEAN = 5.0
+
+
+def spread_over_means(genes: DataFrame, n_genes: int = None) -> DataFrame:
+    """``n_genes`` genes (FAST_GENES by default) with a base mean above FAST_MEAN, at even steps of its order, least and
+    largest included (ties by id); no genes if fewer qualify. Positions come from ranges with prefix offsets, so no
+    task sorts all genes."""
+    n_genes = n_genes or FAST_GENES
+    placed = number_rows(genes.where(F.col("baseMean") > FAST_MEAN), [], ["baseMean", "entity_id"], "_at", "_total")
+    step = (F.col("_total") - 1).cast("double") / F.lit(float(max(n_genes - 1, 1)))
+    # with steps of one or more, only the step nearest to a position can land on it
+    nearest = F.rint(F.col("_at") / step)
+    on = F.when(step > 0, F.rint(nearest * step + 1) == F.col("_at") + 1).otherwise(True)
+    return placed.where((F.col("_total") >= n_genes) & on).drop("_at", "_total")
+
+
+def transform_trend(genes: DataFrame, trend: Optional[Trend], n_samples: int, variant: str = "auto") -> tuple[str, Trend]:
+    """(variant used, trend of the transform), D12. ``full``: the trend of all genes, ``trend`` or, if None, fitted here. ``fast``: one fitted on
+    genes spread over the means, an error with fewer than FAST_GENES to choose from. ``auto``: full where some sample has fewer
+    than FAST_GENES non-zero counts (or too few genes have the mean), else fast."""
+    if variant not in ("auto", "full", "fast"):
+        raise ValueError(f"variant must be 'auto', 'full' or 'fast', not {variant!r}")
+    if variant == "full":
+        return "full", trend or trend_of(genes, n_samples)
+    seen = genes.agg(F.count_if(F.col("baseMean") > FAST_MEAN).alias("means"), *[
+        F.count_if(F.col("counts")[j] != 0).alias(f"n{j}") for j in range(n_samples)]).first()
+    enough = seen["means"] >= FAST_GENES
+    if variant == "fast" and not enough:
+        raise CountDataError(f"the fast transform needs {FAST_GENES} entities with a mean above {FAST_MEAN}, there are {seen['means']}")
+    if not enough or (variant == "auto" and min(seen[f"n{j}"] for j in range(n_samples)) < FAST_GENES):
+        return "full", trend or trend_of(genes, n_samples)
+    return "fast", trend_of(spread_over_means(genes), n_samples)
 
 
 def vst(q: Column, trend: Trend, top: float = 1.0) -> Column:

@@ -26,13 +26,14 @@ class DEResult:
 
 
 def differential_abundance(long_counts: DataFrame, filtering: bool = True, levels=("control", "test"),
-                           with_pca: bool = True, results: bool = True, materialise: bool = True) -> DEResult:
+                           with_pca: bool = True, results: bool = True, materialise: bool = True,
+                           transform: str = "auto") -> DEResult:
     """Negative-binomial two-group test of ``entity_id, sample, condition, cnt`` (test over control).
 
     ``filtering=True``: Cook's cut-off and independent filtering (the default mode); ``False``: neither,
     BH over every p-value (D16). In filtered mode, counts flagged by Cook's distance in groups with
     at least 7 replicates are replaced and those genes refitted (D09), as in the published default. ``results=False`` stops after the dispersion trend (all
-    the PCA needs). Per-gene tables are materialised in the checkpoint folder between passes.
+    the PCA needs). ``transform``: variant of the PCA's transform (``pca.transform_trend``). Per-gene tables are materialised in the checkpoint folder between passes.
     """
     log = {"replicates": None, "run": False, "success": False, "reason": None}
     try:
@@ -59,8 +60,8 @@ def differential_abundance(long_counts: DataFrame, filtering: bool = True, level
         if materialise:
             gw = cut_lineage(gw, "genewise")
         S = len(design.samples)
-        trend = D.trend_of(gw, S)
-        log["trend"] = trend.name
+        # the PCA alone asks for the trend of all genes only where its transform uses that one
+        trend = D.trend_of(gw, S) if results or not with_pca else None
         res = None
         if results:
             prior_var, residual_sd = D.prior_variance(gw, trend, S)
@@ -77,10 +78,13 @@ def differential_abundance(long_counts: DataFrame, filtering: bool = True, level
                 res = SEL.adjust_all(res)
         pca = None
         if with_pca:
-            rows, explained = P.sample_pca(P.transformed(gw, trend), design.samples, design.conditions)
+            log["transform"], smooth = P.transform_trend(gw, trend, S, transform)
+            trend = trend or smooth
+            rows, explained = P.sample_pca(P.transformed(gw, smooth), design.samples, design.conditions)
             pca = long_counts.sparkSession.createDataFrame(rows, "sample string, condition string, pc1 double, pc2 double")
             log["explained"] = explained
             log.update(P.axis_labels(explained))
+        log["trend"] = trend.name
         log.update({"success": True, "size_factors": dict(zip(design.samples, sf)), "trend_coef": list(trend) if trend.name == "parametric" else None})
         return DEResult(res, pca, log)
     except Exception as e:

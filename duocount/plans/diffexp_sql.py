@@ -218,7 +218,17 @@ FILTER_VIEWS = [
 _MIDS = f"""select i, x, lag(x) over (order by i) as x0, greatest((x + lag(x) over (order by i)) / 2, 1e-9) as mid from (
   select i, (exp(s) - exp(-s)) / 2 as x from (select i, asinh(greatest((select max(q) from q), 2.0)) * i / {TR.TABLE - 1} as s from range({TR.TABLE}) as r(i)))"""
 
-PCA_VIEWS = [
+#: the trend of the transform: on genes spread over the means, where every sample and the means allow it
+FAST_VIEWS = [
+    ("ruled", f"""select (select min(n) from (select count(*) filter (cnt <> 0) as n from pm group by sample)) >= {P.FAST_GENES}
+    and count(*) >= {P.FAST_GENES} as fast, count(*) >= {P.FAST_GENES} as enough, (count(*) - 1)::DOUBLE / {P.FAST_GENES - 1}.0::DOUBLE as step from disp where basemean > {P.FAST_MEAN}"""),
+    ("steps", f"""select round_even(k * (select step from ruled) + 1, 0) as nth from range({P.FAST_GENES}) as r(k)"""),
+    ("spaced", f"""select entity_id from (select entity_id, row_number() over (order by basemean, entity_id) as nth from disp where basemean > {P.FAST_MEAN})
+    where nth in (select nth from steps)"""),
+    ("usable", f"select * from disp where disp >= {100 * D.MIN_DISP} and (not (select fast from ruled) or entity_id in (select entity_id from spaced))"),
+]
+
+FULL_PCA_VIEWS = [
     *DISPERSION_VIEWS[:DISPERSION_VIEWS.index(next(v for v in DISPERSION_VIEWS if v[0] == "resid"))],
     ("mids", _MIDS),
     ("midlog", _local("ln(mid)", "(select i, mid from mids where i > 0)", "i")),
@@ -236,6 +246,8 @@ PCA_VIEWS = [
     ("gram", "select a.sample as i, b.sample as j, sum(a.c * b.c) as v from centred a join centred b using (entity_id) group by 1, 2"),
 ]
 
+PCA_VIEWS = [w for v in FULL_PCA_VIEWS for w in (FAST_VIEWS if v is USABLE else [v])]
+
 
 def _axis(gram: str, name: str) -> list[tuple[str, str]]:
     """View ``name`` (sample, score): the first principal axis of a Gram matrix, by repeated squaring."""
@@ -251,6 +263,6 @@ def _axis(gram: str, name: str) -> list[tuple[str, str]]:
   from {name}_power where j = (select arg_max(i, v) from {name}_power where i = j)""")]
 
 
-AXIS_VIEWS = [*PCA_VIEWS, *_axis("gram", "axis1"),
-              ("rest", "select g.i, g.j, g.v - (select value from axis1_value) * p.v as v from gram g join axis1_power p using (i, j)"),
-              *_axis("rest", "axis2")]
+_AXES = [*_axis("gram", "axis1"), ("rest", "select g.i, g.j, g.v - (select value from axis1_value) * p.v as v from gram g join axis1_power p using (i, j)"),
+         *_axis("rest", "axis2")]
+AXIS_VIEWS, FULL_AXIS_VIEWS = [*PCA_VIEWS, *_AXES], [*FULL_PCA_VIEWS, *_AXES]

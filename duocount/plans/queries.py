@@ -320,6 +320,7 @@ from duocount.operators import ordered as OR  # noqa: E402
 from duocount.operators.diffexp import select as SEL  # noqa: E402
 from duocount.plans import diffexp_sql as DQ  # noqa: E402
 from duocount.operators.diffexp import counts as DC  # noqa: E402
+from duocount.operators.diffexp import pca as PCA  # noqa: E402
 from duocount.operators.diffexp.run import attach_results, differential_abundance  # noqa: E402
 
 POOL_VIEWS = (
@@ -453,13 +454,30 @@ def q_de_unf(spark, sf_dir):
     return finish(r.results.select("entity_id", "baseMean", "log2FoldChange", "lfcSE", "stat", "pvalue", "padj"))
 
 
-@register("sample_pca", "D12 D13 O04 (transform, most variable genes, principal axes)", _chain(f"""
-select s.sample, s.condition, {R6('a.score')} as pc1, {R6('b.score')} as pc2 from smps s join axis1 a using (sample) join axis2 b using (sample)""", DQ.AXIS_VIEWS))
+PCA_SELECT = f"select s.sample, s.condition, {R6('a.score')} as pc1, {R6('b.score')} as pc2 from smps s join axis1 a using (sample) join axis2 b using (sample)"
+
+
+@register("sample_pca", "D12 D13 O04 (transform by the rule that picks its variant, most variable genes, principal axes)", _chain(PCA_SELECT, DQ.AXIS_VIEWS))
 def q_pca(spark, sf_dir):
     r = differential_abundance(adapters.pools(spark, sf_dir), with_pca=True, results=False)
     return finish(r.pca)
 
 
+@register("sample_pca_full", "D12 D13 O04 (transform on the trend of all genes)", _chain(PCA_SELECT, DQ.FULL_AXIS_VIEWS))
+def q_pca_full(spark, sf_dir):
+    r = differential_abundance(adapters.pools(spark, sf_dir), with_pca=True, results=False, transform="full")
+    return finish(r.pca)
+
+
+@register("transform_genes", "D12 (genes the fast transform fits its trend on)", _chain(
+    "select entity_id from spaced where (select enough from ruled)", DQ.PCA_VIEWS))
+def q_transform_genes(spark, sf_dir):
+    long, design = _pool_design(spark, sf_dir)
+    matrix = DC.count_matrix(long, design)
+    genes = DC.normalised(matrix, DC.size_factors(matrix, design))
+    return PCA.spread_over_means(genes).select("entity_id")
+
+
 # --- attributes and coordinate files ------------------------------------------------------------
 
 import uuid  # noqa: E402

@@ -144,6 +144,48 @@ def test_pca_matches_numpy_up_to_sign(spark, sim, fit):
     assert abs(sum(explained) - 1) < 1e-9
 
 
+def test_spread_over_means_takes_even_steps(spark):
+    from duocount.operators.diffexp import pca as P
+    rng = np.random.default_rng(5)
+    for n, wanted in ((137, 20), (20, 20), (39, 20), (19, 20), (5, 1)):
+        means = np.round(rng.gamma(1.0, 40.0, n) + 5.2, 1)   # ties among them
+        rows = [(f"g{i:03d}", float(m)) for i, m in enumerate(means)] + [("low", 5.0), ("zero", 0.0)]
+        df = spark.createDataFrame(rows, "entity_id string, baseMean double")
+        got = sorted(r.entity_id for r in P.spread_over_means(df, wanted).collect())
+        order = [e for m, e in sorted((m, e) for e, m in rows if m > 5)]
+        at = [round(x) - 1 for x in np.linspace(1, n, wanted)] if n >= wanted and wanted > 1 else []
+        if wanted > 1:
+            assert got == sorted(order[i] for i in at), (n, wanted)
+            assert len(set(at)) == len(at)
+
+
+def test_transform_variant_is_picked_by_the_counts(spark, sim, fit, monkeypatch):
+    from duocount.operators.diffexp import pca as P
+    from duocount.operators.diffexp import dispersion as D
+    design = C.design_of(sim)
+    m = C.count_matrix(sim, design)
+    S = len(design.samples)
+    sf = C.size_factors(m, design)
+    gw = C.normalised(m, sf).mapInPandas(D.genewise_mapper(sf, design.groups), "entity_id string, counts array<bigint>, norm array<double>, "
+                                         "baseMean double, rowVar double, allZero boolean, dispGeneEst double").persist()
+    least = min(gw.agg(*[F.count_if(F.col("counts")[j] != 0) for j in range(S)]).first())
+    means = gw.where("baseMean > 5").count()
+    full = D.trend_of(gw, S)
+    assert P.transform_trend(gw, full, S, "full") == ("full", full)
+    monkeypatch.setattr(P, "FAST_GENES", max(least, means) + 1)
+    assert P.transform_trend(gw, full, S) == ("full", full)
+    with pytest.raises(CountDataError, match="fast transform"):
+        P.transform_trend(gw, full, S, "fast")
+    monkeypatch.setattr(P, "FAST_GENES", min(least, means) // 2)
+    name, fast = P.transform_trend(gw, full, S)
+    assert name == "fast" and fast != full and fast == D.trend_of(P.spread_over_means(gw), S)
+    at = np.array([20.0, 100.0, 400.0])
+    assert np.all(np.abs(np.log(fast.at(at) / full.at(at))) < 0.7)   # the same curve from fewer genes
+    with pytest.raises(ValueError):
+        P.transform_trend(gw, full, S, "quick")
+    gw.unpersist()
+
+
 def test_numerics():
     for x in (1e-3, 0.5, 1.0, 2.5, 7.9, 8.0, 150.0, 1e7):
         assert abs(M.lgamma(np.array([x]))[0] - math.lgamma(x)) < 1e-9 * max(1, abs(math.lgamma(x)))
