@@ -24,21 +24,20 @@ def _bucket_value(b: str) -> str:
 
 def _quality_rules() -> str:
     levels = []
+    shares = (("bottom", rules.BOTTOM), ("middle", rules.MIDDLE), ("top", rules.TOP))
+    least = "min(case when seen * 1000 >= total * {} then bucket end)"
+    quantiles = ", ".join(f"({_bucket_value(least.format(s))})::DOUBLE as {name}" for name, s in shares)
     for depth, own in ((2, ["lang", "source"]), (1, ["lang"]), (0, [])):
         by = ", ".join([*own, "measure"])
         levels.append(f"""
 h{depth} as (select {by}, bucket, sum(n) as n from sk group by all),
 r{depth} as (select *, sum(n) over (partition by {by} order by bucket) as seen, sum(n) over (partition by {by}) as total from h{depth}),
-q{depth} as (select {by}, max(total) as total, min(case when seen * 4 >= total then bucket end) as b1,
-  min(case when seen * 4 >= total * 3 then bucket end) as b3 from r{depth} group by {by})""")
+q{depth} as (select {by}, max(total)::DOUBLE / (max(total) + {rules.PRIOR}) as weight, {quantiles} from r{depth} group by {by})""")
     joins = " ".join(
         f"left join q{d} on " + " and ".join([f"g.measure = q{d}.measure", *[f"g.{k} is not distinct from q{d}.{k}" for k in own]])
         for d, own in ((2, ["lang", "source"]), (1, ["lang"]), (0, [])))
-    pick = " ".join(f"when q{d}.total >= {rules.MIN_GROUP} then q{d}.b{{}}" for d in (2, 1))
-    pick = f"case {pick} else q0.b{{}} end"
-    b1, b3 = (pick.replace("{}", x) for x in "13")
-    slack = " ".join(f"when '{m}' then {s}" for m, (s, _) in rules.MEASURES.items())
-    low = ", ".join(f"'{m}'" for m, (_, both) in rules.MEASURES.items() if both)
+    drawn = ", ".join(f"q2.weight * q2.{x} + (1 - q2.weight) * (q1.weight * q1.{x} + (1 - q1.weight) * q0.{x}) as {x}" for x, _ in shares)
+    low = ", ".join(f"'{m}'" for m, both in rules.MEASURES.items() if both)
     return f"""
 with d as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as t from documents),
 w as (select rid, doc_id, lang, source, t, {_words('t')} as w,
@@ -59,9 +58,9 @@ u as (select rid, base_failed, lang, source, measure, v from m unpivot (v for me
 sk as (select lang, source, measure, {_bucket('v')} as bucket, count(*) as n from u where not base_failed group by all),
 {",".join(levels)},
 g as (select distinct lang, source, measure from sk),
-f as (select g.lang, g.source, g.measure, {_bucket_value(f'({b1})')} as v1, {_bucket_value(f'({b3})')} as v3 from g {joins}),
-fence as (select lang, source, measure, v3 + {rules.REACH} * (v3 - v1) + (case measure {slack} end) as high,
-  case when measure in ({low}) then v1 - {rules.REACH} * (v3 - v1) - (case measure {slack} end) else -1 end as low from f),
+f as (select g.lang, g.source, g.measure, {drawn} from g {joins}),
+fence as (select lang, source, measure, top + {rules.REACH} * (top - middle) as high,
+  case when measure in ({low}) then bottom - {rules.REACH} * (middle - bottom) else -1 end as low from f),
 bad as (select distinct u.rid from u join fence f on u.measure = f.measure and u.lang is not distinct from f.lang
   and u.source is not distinct from f.source where u.v > f.high or u.v < f.low)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

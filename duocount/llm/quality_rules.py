@@ -4,12 +4,14 @@ Counts of each whole text become whole-number measures (per thousand words, line
 sketch is kept per language, source and measure: a histogram whose bucket is the value itself below 64
 and its leading six bits above (relative error 1/32). Sketches merge by adding counts, so they are one
 partial aggregation whatever the skew, and a language's or the corpus' sketch is the sum of its
-sources'. A measure's limits are Tukey fences of its own group,
+sources'. A measure's limits come from the TOP, middle and BOTTOM quantiles of its own group's sketch,
 
-    high = q75 + REACH * (q75 - q25) + slack        low = q25 - REACH * (q75 - q25) - slack
+    high = top + REACH * (top - middle)        low = bottom - REACH * (middle - bottom)
 
-taken from the finest of (language, source), language, corpus with at least MIN_GROUP documents, and
-joined back to the documents. Sketches cover all documents that pass the base rules.
+Each quantile is drawn towards that of the language, and the language's towards the corpus', with weight n / (n + PRIOR) on
+the finer one of n documents: small groups lean on their parents, large ones hardly, and no size switches between them.
+Where nearly all documents of a group have none of something, its limit is near none. Limits are joined back to
+the documents. Sketches cover all documents that pass the base rules.
 
 Defined results: null text counts as empty (0 everywhere, base_failed); null language or source is a
 group of its own; ties and repeated rows are judged row by row; clashing columns of the documents are
@@ -24,11 +26,11 @@ from pyspark.sql import functions as F
 from duocount.session import cut_lineage
 
 SPACE = " \t\n\x0b\x0c\r"
-MIN_WORDS, MIN_GROUP, REACH = 50, 200, 3
+MIN_WORDS, PRIOR, REACH = 50, 200, 3
+BOTTOM, MIDDLE, TOP = 10, 500, 990   # quantiles in thousandths
 BROADCAST_ROWS = 50_000  # limits of about 200 bytes each
-#: measure -> (slack, whether a low fence holds too)
-MEASURES = {"word_length": (60, True), "symbols": (40, False), "dup_lines": (300, False), "repeat_words": (250, False),
-            "capitals": (40, False), "bangs": (40, False)}
+#: measure -> whether a low limit holds too
+MEASURES = {"word_length": True, "symbols": False, "dup_lines": False, "repeat_words": False, "capitals": False, "bangs": False}
 
 
 def text_counts(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang",
@@ -112,29 +114,36 @@ def limits(sketch: DataFrame) -> DataFrame:
         cells = merged.groupBy(*own, "measure").agg(
             F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("cells"), F.sum("n").alias("total"))
 
-        def at(quarter: int) -> Column:
+        def at(share: int) -> Column:
             found = F.aggregate(
                 "cells", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("bucket")),
                 lambda acc, c: F.struct(
                     (acc["seen"] + c["n"]).alias("seen"),
-                    F.when(acc["bucket"].isNull() & ((acc["seen"] + c["n"]) * 4 >= F.col("total") * quarter), c["bucket"])
+                    F.when(acc["bucket"].isNull() & ((acc["seen"] + c["n"]) * 1000 >= F.col("total") * share), c["bucket"])
                     .otherwise(acc["bucket"]).alias("bucket")))
-            return bucket_value(found["bucket"])
+            return bucket_value(found["bucket"]).cast("double")
 
-        levels.append((depth, own, cells.select(*own, "measure", "total", at(1).alias("q1"), at(3).alias("q3"))))
+        levels.append((depth, own, cells.select(
+            *own, "measure", (F.col("total").cast("double") / (F.col("total") + PRIOR)).alias("weight"),
+            at(BOTTOM).alias("bottom"), at(MIDDLE).alias("middle"), at(TOP).alias("top"))))
     groups = sketch.select(*keys).distinct()
     for depth, own, table in levels:
         on = groups["measure"] == table["measure"]
         for k in own:
             on = on & groups[k].eqNullSafe(table[k])
-        names = [F.when(table["total"] >= (MIN_GROUP if depth else 0), F.struct(table["q1"], table["q3"])).alias(f"q_{depth}")]
         kept = [groups[c] for c in groups.columns]
-        groups = groups.join(table, on, "left").select(*kept, *names)
-    q = F.coalesce("q_2", "q_1", "q_0")
-    slack = F.create_map(*[F.lit(x) for m, (s, _) in MEASURES.items() for x in (m, s)])[F.col("measure")]
-    low = F.create_map(*[F.lit(x) for m, (_, b) in MEASURES.items() for x in (m, b)])[F.col("measure")]
-    reach = REACH * (q["q3"] - q["q1"]) + slack
-    fences = groups.select(*keys, (q["q3"] + reach).alias("high"), F.when(low, q["q1"] - reach).otherwise(-1).alias("low"))
+        groups = groups.join(table, on, "left").select(
+            *kept, F.struct(*[table[c] for c in ("weight", "bottom", "middle", "top")]).alias(f"q_{depth}"))
+
+    def drawn(name: str) -> Column:
+        fine, coarse, all_ = (F.col(f"q_{d}") for d in (2, 1, 0))
+        parent = coarse["weight"] * coarse[name] + (1 - coarse["weight"]) * all_[name]
+        return fine["weight"] * fine[name] + (1 - fine["weight"]) * parent
+
+    low = F.create_map(*[F.lit(x) for m, b in MEASURES.items() for x in (m, b)])[F.col("measure")]
+    bottom, middle, top = (drawn(c) for c in ("bottom", "middle", "top"))
+    fences = groups.select(*keys, (top + REACH * (top - middle)).alias("high"),
+                           F.when(low, bottom - REACH * (middle - bottom)).otherwise(-1.0).alias("low"))
     return fences.groupBy("lang", "source").agg(
         F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high")))).alias("fence"))
 
