@@ -290,6 +290,33 @@ def test_rules_on_odd_rows(odd, nothing):
     assert quality_rules.judge(nothing, nothing.columns).count() == 0
 
 
+def test_limits_are_drawn_quantiles_of_each_group(spark):
+    """Against lists in memory; values below 64, which the sketch keeps exactly. Sources that differ have limits that differ."""
+    import random
+
+    rng = random.Random(6)
+    names = list(quality_rules.MEASURES)
+    sizes = {("en", "a"): (400, 60), ("en", "b"): (90, 20), ("de", "a"): (3, 9), (None, None): (50, 40)}
+    rows = [(lang, source, *[rng.randrange(most) for _ in names]) for (lang, source), (n, most) in sizes.items() for _ in range(n)]
+    table = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{m} long" for m in names))
+    got = {(r.lang, r.source): r.fence for r in quality_rules.limits(quality_rules.sketches(table)).collect()}
+    assert set(got) == set(sizes)
+    for (lang, source), fence in got.items():
+        for k, m in enumerate(names):
+            groups = [[r[2 + k] for r in rows if keep(r)] for keep in (
+                lambda r: r[:2] == (lang, source), lambda r: r[0] == lang, lambda r: True)]
+
+            def drawn(share):
+                own, parent, corpus = (sorted(g)[-(-len(g) * share // 1000) - 1] for g in groups)
+                w, v = (len(g) / (len(g) + quality_rules.PRIOR) for g in groups[:2])
+                return w * own + (1 - w) * (v * parent + (1 - v) * corpus)
+
+            low, mid, top = (drawn(x) for x in (quality_rules.BOTTOM, quality_rules.MIDDLE, quality_rules.TOP))
+            assert fence[m].high == pytest.approx(top + quality_rules.REACH * (top - mid))
+            assert fence[m].low == pytest.approx(low - quality_rules.REACH * (mid - low) if quality_rules.MEASURES[m] else -1)
+            assert len({f[m].high for f in got.values()}) == len(sizes)
+
+
 def test_contained_items(spark, odd, nothing):
     text = odd.where("doc_id = 4").first().text
     items = spark.createDataFrame([(1, " ".join(text.split()[3:15])), (2, None), (3, ""), (4, "not here at all my friend"), (4, "two words")],
