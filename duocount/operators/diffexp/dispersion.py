@@ -94,40 +94,59 @@ def fit_trend(genes: DataFrame, n_samples: int):
         base.unpersist()
 
 
-def _fit_trend_iterations(base: DataFrame):
-    a0, a1 = 0.1, 1.0
-    for _ in range(TREND_MAX_OUTER):
-        fitted = F.lit(a0) + F.lit(a1) * F.col("x")
-        sub = base.where((F.col("y") / fitted > TREND_RESID_RANGE[0]) & (F.col("y") / fitted < TREND_RESID_RANGE[1]))
-        b0, b1 = a0, a1
-        for _ in range(TREND_MAX_INNER):
-            mu = F.lit(b0) + F.lit(b1) * F.col("x")
-            w = F.lit(1.0) / (mu * mu)
-            s = sub.agg(F.sum(w).alias("w"), F.sum(w * F.col("x")).alias("wx"), F.sum(w * F.col("x") * F.col("x")).alias("wxx"),
-                        F.sum(w * F.col("y")).alias("wy"), F.sum(w * F.col("x") * F.col("y")).alias("wxy")).first()
-            if s["w"] is None:
-                return None
-            det = s["w"] * s["wxx"] - s["wx"] ** 2
-            if det == 0:
-                return None
-            n0 = (s["wy"] * s["wxx"] - s["wx"] * s["wxy"]) / det
-            n1 = (s["w"] * s["wxy"] - s["wx"] * s["wy"]) / det
-            done = (abs(n0 - b0) <= TREND_INNER_TOL * (abs(b0) + 1e-12)
-                    and abs(n1 - b1) <= TREND_INNER_TOL * (abs(b1) + 1e-12))
-            b0, b1 = n0, n1
-            if done:
-                break
-            if b0 <= 0 and b1 <= 0:
-                return None
-        else:
-            return None  # the refit did not converge
-        if b0 <= 0 or b1 <= 0:
+def trend_sums(a0, a1, b0, b1) -> list:
+    """The five sums of one IRLS step over ``x`` = 1 / mean and ``y`` = dispersion: weights by the coefficients ``b`` of the
+    step before, genes in range of the trend ``a`` of the refit before (columns or numbers)."""
+    a0, a1, b0, b1 = (F.lit(c) for c in (a0, a1, b0, b1))
+    x, y = F.col("x"), F.col("y")
+    ratio = y / (a0 + a1 * x)
+    mu = b0 + b1 * x
+    w = F.when((ratio > TREND_RESID_RANGE[0]) & (ratio < TREND_RESID_RANGE[1]), F.lit(1.0) / (mu * mu))
+    return [F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * x * x).alias("wxx"),
+            F.sum(w * y).alias("wy"), F.sum(w * x * y).alias("wxy")]
+
+
+class TrendFit:
+    """Where the fit of one parametric trend stands. ``coef`` is None unless it settled."""
+
+    def __init__(self):
+        self.a = self.b = (0.1, 1.0)
+        self.refits = self.steps = 0
+        self.done, self.coef = False, None
+
+    def _end(self, coef=None):
+        self.done, self.coef = True, coef
+
+    def advance(self, w, wx, wxx, wy, wxy) -> None:
+        """Take the sums of one step."""
+        det = 0 if w is None else w * wxx - wx ** 2
+        if det == 0:
+            return self._end()
+        new = ((wy * wxx - wx * wxy) / det, (w * wxy - wx * wy) / det)
+        settled = all(abs(n - b) <= TREND_INNER_TOL * (abs(b) + 1e-12) for n, b in zip(new, self.b))
+        self.b = new
+        self.steps += 1
+        if not settled:
+            if max(new) <= 0 or self.steps == TREND_MAX_INNER:   # the latter: the refit did not converge
+                self._end()
             return None
-        change = math.log(b0 / a0) ** 2 + math.log(b1 / a1) ** 2
-        a0, a1 = b0, b1
+        if min(new) <= 0:
+            return self._end()
+        change = sum(math.log(n / a) ** 2 for n, a in zip(new, self.a))
+        self.a, self.steps = new, 0
+        self.refits += 1
         if change < TREND_TOL:
-            return a0, a1
-    return None  # the set of genes in range never settled
+            return self._end(new)
+        if self.refits == TREND_MAX_OUTER:   # the set of genes in range never settled
+            self._end()
+        return None
+
+
+def _fit_trend_iterations(base: DataFrame):
+    fit = TrendFit()
+    while not fit.done:
+        fit.advance(*base.agg(*trend_sums(*fit.a, *fit.b)).first())
+    return fit.coef
 
 
 def usable(genes: DataFrame) -> DataFrame:

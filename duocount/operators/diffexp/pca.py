@@ -19,12 +19,12 @@ FAST_GENES = 1000
 FAST_MEAN = 5.0
 
 
-def spread_over_means(genes: DataFrame, n_genes: int = None) -> DataFrame:
-    """``n_genes`` genes (FAST_GENES by default) with a base mean above FAST_MEAN, at even steps of its order, least and
+def spread_over_means(genes: DataFrame, n_genes: int = None, by: Sequence[str] = ()) -> DataFrame:
+    """``n_genes`` genes (FAST_GENES by default) of each group ``by`` with a base mean above FAST_MEAN, at even steps of its order, least and
     largest included (ties by id); no genes if fewer qualify. Positions come from ranges with prefix offsets, so no
     task sorts all genes."""
     n_genes = n_genes or FAST_GENES
-    placed = number_rows(genes.where(F.col("baseMean") > FAST_MEAN), [], ["baseMean", "entity_id"], "_at", "_total")
+    placed = number_rows(genes.where(F.col("baseMean") > FAST_MEAN), by, ["baseMean", "entity_id"], "_at", "_total")
     step = (F.col("_total") - 1).cast("double") / F.lit(float(max(n_genes - 1, 1)))
     # with steps of one or more, only the step nearest to a position can land on it
     nearest = F.rint(F.col("_at") / step)
@@ -87,6 +87,12 @@ def sample_pca(tr: DataFrame, samples: Sequence[str], conditions: Sequence[str],
     gram = np.zeros((S, S))
     for r in g:
         gram[r["i"], r["j"]] = r["v"]
+    return components(gram, samples, conditions)
+
+
+def components(gram: np.ndarray, samples: Sequence[str], conditions: Sequence[str]):
+    """Scores of the first two components and the shares of variance, from a Gram matrix of centred samples."""
+    S = len(samples)
     vals, vecs = np.linalg.eigh(gram)
     order = np.argsort(vals)[::-1]
     vals, vecs = np.clip(vals[order], 0, None), vecs[:, order]

@@ -130,6 +130,19 @@ def filter_grid(res: DataFrame) -> tuple[np.ndarray, list]:
     return theta, [float(q[f"t{i}"]) for i in range(N_THETA)]
 
 
+def chosen_cutoff(theta: np.ndarray, num_rej: np.ndarray) -> int:
+    """Index of the cut-off that independent filtering takes: the first whose rejections come within the residual
+    spread of the smoothed curve's top; the first of all where rejections are few."""
+    if num_rej.max() <= MIN_REJECTIONS:
+        return 0
+    fit = M.lowess(theta, num_rej, LOWESS_FRAC)
+    pos = num_rej > 0
+    resid = num_rej[pos] - fit[pos] if pos.any() else np.zeros(1)
+    thresh = fit.max() - np.sqrt(np.mean(resid ** 2))
+    above = np.nonzero(num_rej > thresh)[0]
+    return int(above[0]) if len(above) else 0
+
+
 def independent_filtering(res: DataFrame, alpha: float = ALPHA):
     """Choose the baseMean quantile cut that maximises rejections (D10); returns ``(res with padj, info)``.
 
@@ -137,15 +150,7 @@ def independent_filtering(res: DataFrame, alpha: float = ALPHA):
     """
     theta, cutoffs = filter_grid(res)
     num_rej = np.asarray(rejections_per_cutoff(res, cutoffs, alpha), float)
-    if num_rej.max() <= MIN_REJECTIONS:
-        j = 0
-    else:
-        fit = M.lowess(theta, num_rej, LOWESS_FRAC)
-        pos = num_rej > 0
-        resid = num_rej[pos] - fit[pos] if pos.any() else np.zeros(1)
-        thresh = fit.max() - np.sqrt(np.mean(resid ** 2))
-        above = np.nonzero(num_rej > thresh)[0]
-        j = int(above[0]) if len(above) else 0
+    j = chosen_cutoff(theta, num_rej)
     cut = cutoffs[j]
     kept = res.withColumn("_p_f", F.when(F.col("baseMean") >= F.lit(cut), F.col("pvalue")))
     out = bh_adjust(kept, "_p_f", "padj").drop("_p_f")

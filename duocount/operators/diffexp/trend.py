@@ -38,6 +38,10 @@ class Parametric(NamedTuple):
         root = F.sqrt(F.lit(a0) * q * (F.lit(1.0 + a1) + F.lit(a0) * q))
         return F.log2((F.lit(1.0 + a1) + F.lit(2.0 * a0) * q + F.lit(2.0) * root) / F.lit(4.0 * a0))
 
+    def transform_at(self, q: np.ndarray, top: float) -> np.ndarray:
+        a0, a1 = max(self.a0, 1e-12), self.a1
+        return np.log2((1.0 + a1 + 2.0 * a0 * q + 2.0 * np.sqrt(a0 * q * (1.0 + a1 + a0 * q))) / (4.0 * a0))
+
 
 class Local(NamedTuple):
     """Log dispersion by linear interpolation over log mean, constant beyond the first and last knot."""
@@ -55,12 +59,19 @@ class Local(NamedTuple):
     def transform(self, q: Column, top: float) -> Column:
         """The integral by the trapezium rule on TABLE points even in asinh up to ``top``, scaled so that doubling
         a value near ``top`` adds one."""
+        return interpolate(F.asinh(q), *self._integral(top))
+
+    def transform_at(self, q: np.ndarray, top: float) -> np.ndarray:
+        return np.interp(np.arcsinh(q), *self._integral(top))
+
+    def _integral(self, top: float) -> tuple:
+        """Points in asinh and the scaled integral there."""
         x = np.sinh(np.linspace(0.0, math.asinh(max(top, 2.0)), TABLE))
         mid = np.maximum((x[1:] + x[:-1]) / 2, 1e-9)
         total = np.concatenate([[0.0], np.cumsum(np.diff(x) / np.sqrt(mid + self.at(mid) * mid ** 2))])
         half = np.interp(x[-1] / 2, x, total)
         scaled = np.log2(x[-1]) + (total - total[-1]) / (total[-1] - half)
-        return interpolate(F.asinh(q), np.arcsinh(x), scaled)
+        return np.arcsinh(x), scaled
 
 
 Trend = Union[Parametric, Local]
@@ -111,13 +122,22 @@ def local_lines(x: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_local(usable: DataFrame) -> Trend:
-    """The local trend of ``mean``, ``disp`` (both over 0), a gene's weight its mean; None without genes."""
+def local_bins(usable: DataFrame, by=()) -> list:
+    """Rows (``by``..., bin, n, w, wx, wy, wxx, wxy) of ``mean``, ``disp`` (both over 0), a gene's weight its mean, in order of bin."""
     x, y, w = F.log("mean"), F.log("disp"), F.col("mean")
-    bins = usable.groupBy(F.floor(x / F.lit(BIN_WIDTH)).alias("bin")).agg(
+    return usable.groupBy(*by, F.floor(x / F.lit(BIN_WIDTH)).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(w), F.sum(w * x), F.sum(w * y), F.sum(w * x * x), F.sum(w * x * y)).orderBy("bin").collect()
+
+
+def local_trend(bins: list) -> Trend:
+    """The local trend of rows (bin, n, w, wx, wy, wxx, wxy) in order of bin; None without rows."""
     if not bins:
         return None
-    centre = (np.array([r["bin"] for r in bins], float) + 0.5) * BIN_WIDTH
+    centre = (np.array([r[0] for r in bins], float) + 0.5) * BIN_WIDTH
     values = local_lines(centre, np.array([tuple(r)[1:] for r in bins], float))
     return Local(tuple(centre.tolist()), tuple(values.tolist()))
+
+
+def fit_local(usable: DataFrame) -> Trend:
+    """The local trend of ``mean``, ``disp``; None without genes."""
+    return local_trend(local_bins(usable))
