@@ -322,6 +322,7 @@ from duocount.plans import diffexp_sql as DQ  # noqa: E402
 from duocount.operators.diffexp import counts as DC  # noqa: E402
 from duocount.operators.diffexp import pca as PCA  # noqa: E402
 from duocount.operators.diffexp.run import attach_results, differential_abundance  # noqa: E402
+from duocount.operators.diffexp.runs import differential_abundance_runs  # noqa: E402
 
 POOL_VIEWS = (
     ("ents", "select distinct entity_id from pool"),
@@ -454,6 +455,48 @@ def q_de_unf(spark, sf_dir):
     return finish(r.results.select("entity_id", "baseMean", "log2FoldChange", "lfcSE", "stat", "pvalue", "padj"))
 
 
+RUN_VIEWS = [("both_runs", """select 'pools' as run_id, 1 as side union all select 'swapped', -1""")]
+
+
+@register("de_runs", "D02-D11 D16 by run_id (the pools, and the pools with conditions swapped, in the same jobs)", _chain(f"""
+select b.run_id, t.entity_id, {R6('t.basemean')} as "baseMean", {R6('b.side * lfc')} as "log2FoldChange", {R6('se')} as "lfcSE",
+       {R6('b.side * stat')} as stat, {R6('x.p')} as pvalue, {R6('padj')} as padj
+from both_runs b, tests t left join filterable x using (entity_id) left join padj using (entity_id)""", [*DQ.FILTER_VIEWS, *RUN_VIEWS]))
+def q_de_runs(spark, sf_dir):
+    r = differential_abundance_runs(_two_runs(adapters.pools(spark, sf_dir)))
+    return finish(r.results.select("run_id", "entity_id", "baseMean", "log2FoldChange", "lfcSE", "stat", "pvalue", "padj"))
+
+
+def _two_runs(pools):
+    """``pools``, and ``swapped`` with the conditions of all replicates exchanged."""
+    other = F.when(F.col("condition") == "test", "control").otherwise("test")
+    return pools.withColumn("run_id", F.lit("pools")).unionByName(
+        pools.withColumn("condition", other).withColumn("run_id", F.lit("swapped")))
+
+
+@register("pca_runs", "D12 D13 O04 by run_id", _chain(f"""
+select b.run_id, p.sample, case when b.side = 1 then p.condition when p.condition = 'test' then 'control' else 'test' end as condition,
+       p.pc1, p.pc2 from both_runs b, (SELECTED) p""".replace("SELECTED", f"select s.sample, s.condition, {R6('a.score')} as pc1, {R6('b.score')} as pc2 from smps s join axis1 a using (sample) join axis2 b using (sample)"),
+    [*DQ.AXIS_VIEWS, *RUN_VIEWS]))
+def q_pca_runs(spark, sf_dir):
+    return finish(differential_abundance_runs(_two_runs(adapters.pools(spark, sf_dir)), filtering=False, with_pca=True).pca)
+
+
+@register("runs_log", "D15 of many runs in the same jobs (two usable runs, one with fractional counts, one of one condition)", with_views("""
+select run_id, (select count(*) from smps) as replicates, true as run, true as success, cast(null as varchar) as reason
+from (values ('pools'), ('swapped')) r(run_id)
+union all
+select 'bad', (select count(*) from smps), true, false, concat(cast(count(*) as varchar), ' counts are negative or not integers') from pool
+union all
+select 'lone', (select count(*) from smps where condition = 'test'), true, false, 'both conditions need replicates'""", *POOL_VIEWS))
+def q_runs_log(spark, sf_dir):
+    pools = adapters.pools(spark, sf_dir)
+    bad = pools.withColumn("cnt", F.col("cnt") + F.lit(0.5)).withColumn("run_id", F.lit("bad"))
+    lone = pools.where("condition = 'test'").withColumn("run_id", F.lit("lone"))
+    runs = _two_runs(pools).withColumn("cnt", F.col("cnt").cast("double"))
+    return differential_abundance_runs(runs.unionByName(bad).unionByName(lone.withColumn("cnt", F.col("cnt").cast("double"))), filtering=False).log
+
+
 PCA_SELECT = f"select s.sample, s.condition, {R6('a.score')} as pc1, {R6('b.score')} as pc2 from smps s join axis1 a using (sample) join axis2 b using (sample)"
 
 
