@@ -365,6 +365,24 @@ def test_pipeline_stages(spark, odd, nothing, small):
     assert odd_left == sorted([1, 2, 3, 4, 7, 9, None, 10, 11], key=str)
 
 
+def test_pipeline_decides_by_row(spark):
+    import corpus_pipeline as p
+    item = next(r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").collect() if len((r.text or "").split()) >= 8)
+    copied = " ".join(f"alpha{i}" for i in range(60))
+    clean = " ".join(f"beta{i}" for i in range(60))
+    other = " ".join(f"gamma{i}" for i in range(60))
+    rows = [(3, copied), (5, clean), (5, copied + " end"), (6, "leak " + item + " leak"), (6, other), (None, item), (None, "delta " + other),
+            (8, ""), (8, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("k")).withColumn("_g", F.lit(1))
+    left = p.jaccard_dedup(spark, docs, SMALL)
+    assert left.columns == docs.columns and {(r.key, r["_g"]) for r in left.collect()} == {("k", 1)}
+    found = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    assert found == sorted([(d, t) for d, t in rows if t not in ("", copied + " end")] + [(8, "")], key=str)
+    left = p.decontamination(spark, docs, SMALL)
+    found = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    assert found == sorted([(d, t) for d, t in rows if item not in (t or "")], key=str)
+
+
 def test_pipeline_run_packs_what_the_stages_keep(spark):
     import corpus_pipeline as p
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
