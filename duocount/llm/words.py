@@ -15,6 +15,7 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 LONG_WORD = 256
+HASH_SPANS = 1 << 14  # hashed at a time, few enough for the processor's caches
 
 _U = np.uint64
 _M1, _M2, _GOLD = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
@@ -31,10 +32,8 @@ def _odd_constants(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=_U) * _GOLD) | _U(1)
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A"):ord("Z") + 1] += 32
+_WORD = bytes(b not in (0x20, *range(0x09, 0x0E)) for b in range(256))   # 1 for the bytes of words
+_LOWER = bytes(range(256)).lower()
 _TAIL = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [2 ** 64 - 1], dtype=_U)
 
 
@@ -64,14 +63,26 @@ def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=pad.data, strides=(1,))
     length = (ends - starts).astype(np.int64)
     h = length.astype(_U) * _GOLD
-    live, at = np.arange(len(starts)), 0
-    while len(live) and at < LONG_WORD:
-        left = length[live] - at
-        part = eight[starts[live] + at] & _TAIL[np.minimum(left, 8)]
-        h[live] = mix(h[live] ^ (part * _M1 + _GOLD))
-        at += 8
-        live = live[left > 8]
-    for i in live:
+    for k in range(0, len(starts), HASH_SPANS):
+        live, first, left = None, starts[k:k + HASH_SPANS], length[k:k + HASH_SPANS]
+        own = h[k:k + HASH_SPANS]
+        for at in range(0, LONG_WORD, 8):
+            part = eight[first]
+            part &= _TAIL.take(np.minimum(left, 8))
+            part *= _M1
+            part += _GOLD
+            part ^= own if live is None else own.take(live)
+            part = mix(part)
+            if live is None:
+                own[:] = part
+            else:
+                own[live] = part
+            more = np.flatnonzero(left > 8)
+            if not len(more):
+                break
+            live = more if live is None else live.take(more)
+            first, left = first.take(more) + 8, left.take(more) - 8
+    for i in np.flatnonzero(length > LONG_WORD):
         digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
         h[i] = _U(int.from_bytes(digest, "little"))
     return h
@@ -79,9 +90,11 @@ def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def spans(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
     """(bytes, word starts, word ends, first word of each row) of one slice."""
+    raw = data.tobytes()
     if lower:
-        data = _LOWER[data]
-    word = ~_SPACE[data]
+        raw = raw.translate(_LOWER)
+        data = np.frombuffer(raw, np.uint8)
+    word = np.frombuffer(raw.translate(_WORD), bool)
     first = word.copy()
     first[1:] &= ~word[:-1]
     last = word.copy()

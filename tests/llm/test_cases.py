@@ -236,6 +236,43 @@ def test_lm_trains_on_every_position(spark):
     assert lm_score.targets(np.array([0, 3, 3, 10]), 0, 4).tolist() == [0, 3, 7]
 
 
+def test_lm_step_and_lookup_equal_plain_ones():
+    rng = np.random.default_rng(4)
+    row = np.array([0, 0, 1, 4, 4, 40, 700])
+    tokens = np.minimum(rng.pareto(0.4, 700) * 3, lm_score.TOKENS - 1).astype(np.int32)
+    around, at = lm_score.Windows(tokens, row), rng.permutation(700)
+    own = lm_score.Trainer(lm_score.Network().flat)
+    plain, memory = lm_score.Network(), np.full(own.net.flat.size, 1e-8)
+    for some in (at[:300], at[300:]):
+        own.learn(*around(some), 0.1)
+        g = lm_score.Network(np.zeros(plain.flat.size))
+        for i in some:   # one position at a time, every weight moved
+            text = np.searchsorted(row, i, side="right") - 1
+            near = [tokens[i + p] if row[text] <= i + p < row[text + 1] else lm_score.EDGE for p in lm_score._PLACES]
+            assert lm_score.contexts(tokens, row, np.array([i]))[:, 0].tolist() == near
+            c, m = divmod(int(tokens[i]), lm_score.MEMBERS)
+            h = np.maximum(sum(plain.embedding[k][w].astype(float) for k, w in enumerate(near)) + plain.bias, 0)
+            p, q = (np.exp(z) / np.exp(z).sum() for z in (h @ plain.cls + plain.cls_bias, h @ plain.member[c] + plain.member_bias[c]))
+            p[c] -= 1
+            q[m] -= 1
+            back = (plain.cls @ p + plain.member[c] @ q) * (h > 0)
+            for part, x in ((g.cls, np.outer(h, p)), (g.cls_bias, p), (g.member[c], np.outer(h, q)), (g.member_bias[c], q), (g.bias, back),
+                            *((g.embedding[k][w], back) for k, w in enumerate(near))):
+                part += x
+        g = g.flat / len(some)
+        memory += g * g
+        plain = lm_score.Network((plain.flat - 0.1 * g / (np.sqrt(memory) + 1e-6)).astype(np.float32))
+    moved = plain.flat != lm_score.Network().flat
+    assert moved.any() and ((own.net.flat != lm_score.Network().flat) <= moved).all()
+    assert np.abs(own.net.flat - plain.flat).max() < 2e-3 and np.abs(own.net.flat - plain.flat).mean() < 1e-6
+    head = np.uint64(7) << np.uint64(48)
+    hashes = np.array([head + np.uint64(5), np.uint64(3), head, np.uint64(2 ** 64 - 1), head + np.uint64(1)], np.uint64)
+    words = np.concatenate([hashes, hashes + np.uint64(2), rng.integers(0, 2 ** 63, 50).astype(np.uint64)])
+    known = {int(w): k for k, w in enumerate(hashes)}
+    other = lm_score.TOKENS - lm_score.FREQUENT
+    assert lm_score.Vocabulary(hashes).tokens(words).tolist() == [known.get(int(w), lm_score.FREQUENT + int(w) % other) for w in words]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     sf = "/root/testdata/sf0.1"
