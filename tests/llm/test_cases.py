@@ -92,6 +92,25 @@ def test_encoder_equals_the_library_on_mixed_texts():
             assert np.frombuffer(ids, "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids, x
 
 
+def test_encoder_keeps_words_and_tails_once(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from duocount.llm import encode
+    path = tokenizer_path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), encode.IdEncoder(path)
+    texts = ["zyxqua zyxqua. Zyxqua, (zyxqua zyxqua...", "zyxqua", "zyxqua.", "...", None, "über, über", "it's. a.b 12. x" + "y" * 90 + "!"]
+    monkeypatch.setattr(encode, "CACHE_ENTRIES", 12)
+    for k in range(3):   # unknown, known, and after the table was emptied
+        for some in (texts, texts[::-1], texts[:1]):
+            wanted = [t.encode(x or "", add_special_tokens=False).ids for x in some]
+            assert [np.frombuffer(ids, "<u4").tolist() for ids in e(pa.array(some))] == wanted
+    e = encode.IdEncoder(path)
+    e(pa.array(texts[:5]))
+    assert len(e.known) == 5   # zyxqua . , ... (zyxqua
+    assert e._encode_words([b"one", "\u0130".encode(), b"two"]) == e._encode(["one", "\u0130", "two"])   # two units
+
+
 @pytest.mark.parametrize("name", ["odd", "small"])
 def test_packing_places_every_id_once(request, name):
     docs = request.getfixturevalue(name)
