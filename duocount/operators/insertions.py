@@ -43,9 +43,11 @@ def profile_from_coordinates(coords: DataFrame, by: Sequence[str] = ("condition"
     ``dedupe='sum'`` (rule Q11). ``ignore_seq=True`` drops ``seq_id`` from the keys (rule Q10).
     Both branches are one plan: the mode flag is a per-group aggregate, written once and joined back,
     by broadcast where it has at most FEW_GROUPS rows, so the rows are not shuffled by a key of few values.
+    The columns needed are written once: flag and branches read them, so files are parsed once.
     """
     by = list(by)
     seq = [] if ignore_seq else ["seq_id"]
+    coords = cut_lineage(coords.select(*dict.fromkeys([*by, *seq, "start", "score"])), "coordinates")
     if by:
         flag = cut_lineage(score_is_empty(coords, by).select(*[F.col(c).alias(f"_by_{c}") for c in by], "empty_score"),
                            "modes")

@@ -41,20 +41,20 @@ def parse_coordinates(lines: DataFrame, comment: str = "inline", keep: Sequence[
     """The rows of :func:`read_coordinates` from a table (or stream) of lines ``line``, then the columns ``keep``."""
     line = F.col("line")
     if comment == "inline":
-        text = F.regexp_replace(line, "#.*$", "")
+        text = F.when(line.contains("#"), F.regexp_replace(line, "#.*$", "")).otherwise(line)
     elif comment == "line":
         text = F.when(line.startswith("#"), F.lit("")).otherwise(line)
     else:
         raise ValueError("comment must be 'inline' or 'line'")
     df = lines.select(*keep, text.alias("_text")).where(F.length(F.trim(F.col("_text"))) > 0)
-    parts = F.split(F.col("_text"), "\t")
+    df = df.select("*", F.split(F.col("_text"), "\t").alias("_parts"))   # a column of its own: each line is split once
+    parts = F.col("_parts")
     ok = F.size(parts) == len(GFF_COLUMNS)
     fields = []
     for i, name in enumerate(GFF_COLUMNS):
         v = F.when(ok, parts.getItem(i))
         if name in ("start", "end"):
-            v = F.expr(f"try_cast(split(_text, '\\t')[{i}] as bigint)")
-            v = F.when(ok, v)
+            v = F.when(ok, F.expr(f"try_cast(_parts[{i}] as bigint)"))
         fields.append(v.alias(name))
     return df.select(*fields, F.when(~ok, F.col("_text")).alias("_corrupt"), *keep)
 

@@ -182,3 +182,26 @@ def test_parse_attributes(spark):
     assert m[0].m == {"a": "b", "n": "2"} and m[1].m == {"ID": "7"}
     w = widen_attributes(df.select(parse_attributes("attributes").alias("attr_map")), "attr_map")
     assert sorted(w.columns) == ["ID", "a", "n"]
+
+
+def test_coordinate_lines_are_read_once_for_a_profile(spark):
+    from pyspark.sql import functions as F
+    from duocount.operators import insertions as I
+    from duocount.sources.coordinates import parse_coordinates
+    read = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    row = "s\tx\tm\t{}\t{}\t{}\t.\t.\tn=1;"
+    lines = [("control", "##gff # 3"), ("control", row.format(5, 5, ".")), ("control", row.format(5, 5, ".") + "#end\t"), ("control", "  "),
+             ("test", row.format(7, 7, "2.5")), ("test", row.format(7, 7, "1")), ("test", row.format("x", 9, "#.")), ("test", "a\tb"), ("test", "# a\u2028b")]
+    df = spark.createDataFrame(lines, "condition string, line string").mapInPandas(make, "condition string, line string")
+    coords = parse_coordinates(df, keep=["condition"])
+    got = sorted(((r.condition, r.seq_id, r.position, r["count"]) for r in I.profile_from_coordinates(coords).collect()), key=str)
+    assert read.value == len(lines)
+    assert ("control", "s", 5, 2.0) in got and [x for x in got if x[:3] == ("test", "s", 7)] == [("test", "s", 7, 1.0), ("test", "s", 7, 2.5)]
+    corrupt = sorted(r._corrupt for r in coords.collect() if r._corrupt is not None)
+    assert corrupt == ["# a\u2028b", "a\tb", "s\tx\tm\tx\t9\t"]
