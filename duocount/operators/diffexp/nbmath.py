@@ -14,6 +14,7 @@ COARSE = 12                # candidates a gene on the grid that brackets its bes
 NEWTON_STEPS = 80          # at most; a step that leaves the bracket is replaced by halving it
 NEWTON_TOL = 1e-13         # change of log dispersion that ends a gene's search
 BLOCK_VALUES = 2_000_000   # doubles in one (genes, candidates, samples) array
+CACHE_VALUES = 16_384      # doubles of such an array worked on at a time, few enough for the processor's caches
 
 
 def trigamma(x: float) -> float:
@@ -139,7 +140,12 @@ def best_log_alpha(y, mu, groups, n_groups: int, lo: float, hi: float, prior_mea
         return d1 - (la - prior[rows]) * weight, d2 - weight
 
     grid = np.linspace(lo, hi, COARSE)
-    value = nb_loglik_cr(np.tile(grid, (len(y), 1)), y, mu, groups, n_groups) - 0.5 * weight * (grid[None, :] - prior[:, None]) ** 2
+    size = max(1, CACHE_VALUES // (COARSE * y.shape[1]))
+    value = np.empty((len(y), COARSE))
+    for k in range(0, len(y), size):
+        some = y[k:k + size]
+        value[k:k + size] = nb_loglik_cr(np.tile(grid, (len(some), 1)), some, mu[k:k + size], groups, n_groups)
+    value -= 0.5 * weight * (grid[None, :] - prior[:, None]) ** 2
     top = value.argmax(axis=1)
     low, high = grid[np.maximum(top - 1, 0)], grid[np.minimum(top + 1, COARSE - 1)]
     at, live = grid[top].copy(), np.arange(len(y))

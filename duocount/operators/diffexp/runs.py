@@ -380,10 +380,12 @@ def differential_abundance_runs(long_counts: DataFrame, run: str = "run_id", fil
     """Negative-binomial two-group test of every run of ``run, entity_id, sample, condition, cnt``, each as
     ``differential_abundance`` would give it alone (``results`` with ``run_id`` first, null if no run could be fitted).
 
-    Up to ``runs_at_once`` runs (on average, by hash) share their jobs; beyond that the counts are written once by block."""
+    The counts are written once, for the steps that read them. Up to ``runs_at_once`` runs (on average, by hash) share their
+    jobs; beyond that the counts are written once more by block."""
     spark = long_counts.sparkSession
     long = long_counts.select(F.col(run).cast("string").alias("run_id"), F.col("entity_id").cast("string").alias("entity_id"),
                               F.col("sample").cast("string").alias("sample"), "condition", "cnt")
+    long = cut_lineage(long, "run-counts")
     blocks = max(1, math.ceil(long.select("run_id").distinct().count() / runs_at_once))
     parts = [long]
     if blocks > 1:

@@ -85,3 +85,20 @@ def test_jobs_do_not_follow_the_number_of_runs(spark, singles):
     one = singles["two"].withColumn("run_id", F.lit("r0"))
     many = one.withColumn("run_id", F.explode(F.array([F.lit(f"r{i}") for i in range(12)])))
     assert jobs(many) <= jobs(one) + 4
+
+
+def test_counts_of_runs_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = [(f"g{g}", f"{c}{k}", c, 20 + (g * 7 + k * 13 + (c == "test") * g) % 90) for g in range(40) for c in ("control", "test") for k in range(3)]
+    counts = spark.createDataFrame([(r, *x) for r in ("a", None) for x in rows], "run_id string, entity_id string, sample string, condition string, cnt long")
+    counts.count()
+    out = differential_abundance_runs(counts.mapInPandas(make, counts.schema), filtering=False, with_pca=True)
+    assert {(r.run_id, r.success) for r in out.log.collect()} == {("a", True), (None, True)}
+    assert out.pca.count() == 12 and out.results.count() == 80
+    assert made.value == 2 * len(rows)
